@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,19 @@ BATCH_ROWS = 512
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session; every operator calls it before it plans Python work."""
+    """Bound the Arrow batches of this session and send this package to its executors, once; every operator calls it
+    before it plans Python work."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    sc = spark.sparkContext
+    if not getattr(sc, "_evidra_sent", False):
+        root = Path(__file__).resolve().parents[1]
+        handle, archive = tempfile.mkstemp(suffix=".zip", prefix="evidra-")
+        os.close(handle)
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(archive)
+        sc._evidra_sent = True
     return spark
 
 

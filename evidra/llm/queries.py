@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import licences, quality
+from evidra.llm import licences, pii, quality, secrets
 from evidra.llm.common import table
 
 
@@ -12,11 +12,21 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), model, keep="doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op8_quality_rules)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op8_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

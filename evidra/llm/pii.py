@@ -106,6 +106,10 @@ def windows(a: int, b: int) -> list[int]:
     return list(range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE))
 
 
+def padded(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([ids, np.full(WINDOW - len(ids), tagger.PAD, np.int16)])
+
+
 def tags_of(spans: list[tuple[int, int, int]], a: int, n: int) -> np.ndarray:
     out = np.zeros(n, np.int8)
     for k, s, e in spans:
@@ -169,7 +173,7 @@ def fit(docs: DataFrame) -> tagger.Tagger:
                 for s in windows(a, b):
                     part = text[s : s + WINDOW]
                     out["doc_id"].append(doc), out["at"].append(s)
-                    out["ids"].append(tagger.encode(part).astype("<i2").tobytes().ljust(2 * WINDOW, bytes([tagger.PAD, 0])))
+                    out["ids"].append(padded(tagger.encode(part)).astype("<i2").tobytes())
                     out["tags"].append(tags_of(spans, s, WINDOW).tobytes())
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.binary()), ("tags", pa.binary())]))
 
@@ -211,7 +215,7 @@ def model_spans(model: tagger.Tagger, texts: list[str]) -> list[list[tuple[int,
         codes = tagger.encode(texts[i][a:b])
         for s in windows(0, b - a):
             part = codes[s : s + WINDOW]
-            pieces.append(np.concatenate([part, np.full(WINDOW - len(part), tagger.PAD, np.int16)]))
+            pieces.append(padded(part))
             where.append((filled + s, len(part)))
             if len(pieces) == 512:
                 add()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import licences, pii, quality, secrets
+from evidra.llm import licences, mixing, pii, quality, secrets, urls
 from evidra.llm.common import table
 
 
@@ -17,6 +17,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(docs, pii.fit(docs))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -28,5 +36,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op8_quality_rules, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op5_source_mixing, op6_url_rules, op8_quality_rules, op10_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import licences, mixing, pii, quality, secrets, urls
+from evidra.llm import licences, mixing, packing, pii, quality, secrets, urls
 from evidra.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(docs, pii.fit(docs))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op5_source_mixing, op6_url_rules, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op8_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL}

@@ -76,7 +76,9 @@ class Encoder:
         return self._direct(first) + b"".join(map(self.words.__getitem__, rest))
 
 
-encoder = cache(Encoder)
+@cache
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import licences, mixing, packing, pii, quality, secrets, urls
+from evidra.llm import licences, mixing, packing, pii, quality, secrets, substrings, urls
 from evidra.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,5 +44,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op8_quality_rules, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op7_substring_dedup, op8_quality_rules, op10_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL, "op7_substring_dedup": substrings.ORACLE_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import licences, mixing, nearduplicates, packing, pii, quality, secrets, substrings, urls
+from evidra.llm import embeddings, licences, mixing, nearduplicates, packing, pii, quality, secrets, substrings, urls
 from evidra.llm.common import table
 
 
@@ -43,10 +43,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), model, keep="doc_id")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op7_substring_dedup, op8_quality_rules, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": nearduplicates.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL, "op7_substring_dedup": substrings.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op7_substring_dedup, op8_quality_rules, op9_embedding_near_dedup, op10_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": nearduplicates.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL, "op7_substring_dedup": substrings.ORACLE_SQL, "op9_embedding_near_dedup": embeddings.ORACLE_SQL}

@@ -108,14 +108,14 @@ def score(docs: DataFrame, model: tuple[boosting.Trees, float], keep: str = "")
     trees, threshold = model
     session(docs.sparkSession)
     more = [c for c in keep.split(",") if c]
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("__text"), *[docs[c] for c in more])
+    rows = docs.select(*more) if "text" in more else docs.select(*more, "text")
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [statistics(t) for t in batch.column(0).to_pylist()]
+        found = [statistics(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
         prob = trees.probability(np.array([f for _, f in found]).reshape(-1, len(FEATURES)))
         failed = np.array([fails_rules(c[0], c[4]) for c, _ in found], bool)
-        columns = {c: batch.column(i + 1) for i, c in enumerate(more)} | {c: pa.array(counts[:, i]) for i, c in enumerate(COUNTS)}
+        columns = {c: batch.column(i) for i, c in enumerate(more)} | {c: pa.array(counts[:, i]) for i, c in enumerate(COUNTS)}
         return pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "quality_score": pa.array(prob), "kept": pa.array(~failed & (prob >= threshold))})
 
     kinds = dict(docs.select(*more).dtypes)

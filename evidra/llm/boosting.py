@@ -35,12 +35,13 @@ class Trees:
         return 1 / (1 + np.exp(-self.raw(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 1.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 1.0, least: float = 2.0, fewest: int = 3) -> Trees:
     """Second-order boosting of the logistic loss on quantile bins.
 
     monotone: feature -> +1 (score may only rise with it) or -1; kept by refusing splits whose children's values are in
     the wrong order and by bounding what stands below a split by the mean of its children's values.
-    With no rows, or one class only, the result has no trees and a constant score."""
+    Both classes weigh the same in all, however rare one is. least, fewest: second derivatives and rows of a child, at
+    least. With no rows, or one class only, the result has no trees and a constant score."""
     monotone = monotone or {}
     n, k = x.shape
     inner, leaves = (1 << depth) - 1, 1 << depth
@@ -48,13 +49,14 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, ro
     base = float(np.log(p / (1 - p)))
     if n == 0 or y.min() == y.max():
         return Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), base, depth)
+    weight, base = np.where(y > 0, n / (2 * y.sum()), n / (2 * (n - y.sum()))), 0.0
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(k)], axis=1)  # bin b: x <= edges[b]
     score = np.full(n, base)
     feature, threshold, leaf = [], [], []
     for _ in range(rounds):
         prob = 1 / (1 + np.exp(-score))
-        g, h = prob - y, np.maximum(prob * (1 - prob), 1e-6)
+        g, h = weight * (prob - y), weight * np.maximum(prob * (1 - prob), 1e-6)
         f, t, v = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(leaves)
         node = np.zeros(n, np.int64)
         bounds = {0: (-np.inf, np.inf)}
@@ -73,7 +75,8 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, ro
                     hl = np.cumsum(np.bincount(binned[at, j], h[at], m + 1))[:m]
                     left, right = np.clip(-gl / (hl + l2), lo, hi), np.clip(-(gs - gl) / (hs - hl + l2), lo, hi)
                     gain = gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)
-                    gain[(hl < least) | (hs - hl < least)] = 0
+                    rows = np.cumsum(np.bincount(binned[at, j], minlength=m + 1))[:m]
+                    gain[(hl < least) | (hs - hl < least) | (rows < fewest) | (len(at) - rows < fewest)] = 0
                     if j in monotone:
                         gain[monotone[j] * (right - left) < 0] = 0
                     b = int(gain.argmax())

@@ -187,7 +187,8 @@ def groups(table: DataFrame, least: float = COSINE) -> DataFrame:
         n = np.flatnonzero(join.links)
         return pd.DataFrame({"a": np.concatenate([ids[n], ids[[i for i, _ in join.edges]]]).astype("int64"), "b": np.concatenate([ids[n], ids[[j for _, j in join.edges]]]).astype("int64"), "links": np.concatenate([join.links[n], np.zeros(len(join.edges), np.int64)])})
 
-    found = written(side("a").unionByName(side("b")).groupBy(*key).applyInPandas(joined, "a long, b long, links long"))
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks cost time, not bytes: as many tasks as the cluster is set to
+    found = written(side("a").unionByName(side("b")).repartition(n, *key).groupBy(*key).applyInPandas(joined, "a long, b long, links long"))
     counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     label = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("id"), "component")
     known = written(classes.select("same", "id", "size").join(counts, "id", "left").join(label, "id", "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))

@@ -215,7 +215,8 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
         return pdf.iloc[used][[*key, "id", "size", "grp", "own_tier", "part", "registers"]]
 
     kinds = "family long, tier long, p long, kind int, q long, id long, size long, grp long, own_tier long, part long, registers binary"
-    some = written(met.groupBy(*key).applyInPandas(likely_in_block, kinds))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks cost time, not bytes: as many tasks as the cluster is set to
+    some = written(met.repartition(n, *key).groupBy(*key).applyInPandas(likely_in_block, kinds))
 
     def confirmed_in_block(pdf):
         left, right = _sides(pdf)
@@ -231,7 +232,7 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
 
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
-    more = some.join(sets, "id").groupBy(*key).applyInPandas(confirmed_in_block, "a long, b long")
+    more = some.join(sets, "id").repartition(n, *key).groupBy(*key).applyInPandas(confirmed_in_block, "a long, b long")
     return links.union(more)
 
 

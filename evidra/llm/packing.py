@@ -231,6 +231,9 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: str
     placed = numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     if not with_ids:
         return placed
-    ids = cut.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"])
-    same = [placed[c].eqNullSafe(ids[c]) for c in ("doc_id", "piece", "ids_crc32")]
-    return placed.join(ids, same[0] & same[1] & same[2]).select(placed["*"], ids["ids"])
+    names = ("doc_id", "piece", "ids_crc32")
+    ids = cut.select(*[F.col(c).alias(f"of_{c}") for c in names], "ids").dropDuplicates([f"of_{c}" for c in names])
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return placed.join(ids, same).drop(*[f"of_{c}" for c in names])

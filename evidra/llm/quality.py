@@ -19,7 +19,7 @@ SAMPLE = 4096
 #: Share of the sample's good documents that the threshold keeps.
 KEEP_GOOD = 0.998
 #: No document goes unless its probability of being good is below this.
-SURELY_BAD = 0.2
+SURELY_BAD = 0.1
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The statistics that trees see, and the direction in which they may move the score of good quality.

@@ -187,7 +187,7 @@ def schema_refs(json: Column) -> Column:
 def excerpt(c: Column, most: int = 1200) -> Column:
     """At most `most` bytes, cut at a character's end, with a mark."""
     raw = c.cast("binary")
-    cut = F.regexp_replace(F.decode(F.substring(raw, 1, most), "UTF-8"), r"\x{FFFD}+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, most).cast("string")), r"\x{FFFD}+$", "")
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(cut, F.lit("…")))
 
 

@@ -34,6 +34,7 @@ WINDOW, STRIDE, REACH = 64, 32, 44
 SURE = 0.95
 TAGS = 1 + 2 * len(KINDS)
 _ANCHOR = re.compile("[0-9@]")
+_IP = re.compile(f"(?<![0-9]){PATTERNS['ip'].pattern}")  # the same matches: each starts where a run of digits does
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -69,7 +70,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             if kind == "email":
                 out += [(k, *m) for m in _emails(text)]
             else:
-                out += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m[0])]
+                pattern = _IP if kind == "ip" else PATTERNS[kind]
+                out += [(k, m.start(), m.end()) for m in pattern.finditer(text) if _holds(kind, m[0])]
     return out
 
 

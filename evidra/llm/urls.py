@@ -20,12 +20,17 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first "://"; empty without one."""
+    return F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
+
+
 def host(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
+    return F.translate(F.regexp_extract(_rest(url), "^[^/?#]*", 0), _UPPER, _LOWER)
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
 def rule(h: Column, p: Column, rules=RULES) -> Column:
@@ -40,7 +45,7 @@ def rule(h: Column, p: Column, rules=RULES) -> Column:
 def node(url: Column) -> Column:
     """What makes two urls the same place: host, path and query, without scheme and fragment; null without a host."""
     h = host(url)
-    rest = F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^#]*)", 1)
+    rest = F.regexp_extract(_rest(url), "^[^/?#]*([^#]*)", 1)
     return F.when(h != "", F.concat(h, F.when(F.substring(rest, 1, 1) == "/", rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
@@ -60,8 +65,8 @@ def absolute(href: Column, base: Column) -> Column:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b) urls: from each page to its canonical link and to where it redirects."""
-    link = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
+    link = F.regexp_extract("html", r"""(?is)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>""", 0)
+    refresh = F.regexp_extract("html", r"""(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>""", 0)
     hrefs = F.array(F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1), F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     return pages.where("url is not null and html is not null").select("url", F.explode(hrefs).alias("href")).where("href <> ''").select(F.col("url").alias("a"), absolute(F.col("href"), F.col("url")).alias("b"))
 

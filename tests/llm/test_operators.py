@@ -169,6 +169,11 @@ def test_emails_as_the_pattern_finds_them():
         assert pii._emails(t) == [(m.start(), m.end()) for m in pii.PATTERNS["email"].finditer(t)]
 
 
+def test_long_runs_of_digits_and_spaces():
+    assert pii.base_spans("1" * 200_000 + ".1.1.1" + " " * 100_000 + "1.2.3.4.5") == [(1, 300_006, 300_013)]
+    assert pii.base_spans("+" * 1000 + "1 " * 3 + "(" * 50_000) == []
+
+
 def test_luhn_known_numbers():
     assert pii.luhn("4532015112830366") and not pii.luhn("4532015112830367")
 
@@ -421,6 +426,8 @@ def test_url_rules(spark):
         (10, "a://net?://b/", "net", "", None, "allow"),
         (11, "http://a.net\n/x", "a.net\n", "/x", None, "allow"),
     ]
+    cases.append((12, "x" * 60_000 + "/?", "", "", None, "allow"))
+    cases.append((13, "h" * 30_000 + "://A.Net/" + "y" * 30_000, "a.net", "/" + "y" * 30_000, "net/", "block"))
     cases[8] = (9, "x://:b/z", ":b", "/z", None, "allow")
     rows = rows_by_id(urls.judge(spark.createDataFrame([(i, u, None) for i, u, *_ in cases], "page_id long, url string, html string")), "page_id")
     for i, _, *want in cases:

@@ -11,7 +11,7 @@ _SPACE = r"[ \t\n\x0B\f\r]"
 
 
 def trim_ends(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{_SPACE}+", ""), rf"{_SPACE}+\z", "")
+    return F.regexp_replace(F.regexp_replace(c, f"^{_SPACE}+", ""), rf"(?<!{_SPACE}){_SPACE}++\z", "")  # a run of spaces is tried once
 
 
 def short_hash(sha: Column) -> Column:
@@ -25,7 +25,7 @@ def document_id(source_id: Column, sha: Column) -> Column:
 
 def normalised_page(c: Column) -> Column:
     """Lines without trailing white space, and the page without surrounding white space."""
-    return trim_ends(F.regexp_replace(c, r"[ \t\x0B\f\r]+(?=\n)", ""))
+    return trim_ends(F.regexp_replace(c, r"(?<![ \t\x0B\f\r])[ \t\x0B\f\r]++(?=\n)", ""))
 
 
 def significant_chars(c: Column) -> Column:

@@ -60,3 +60,92 @@ def retrieval_figures(hits: DataFrame, relevant: DataFrame, query: str, key: str
     """queries, recall@k, precision@k and mean reciprocal rank of hits(query, key, rank) against relevant(query, key)."""
     found = relevant.join(hits.where(F.col("rank") <= k), [query, key], "left").groupBy(query).agg(F.count(F.lit(1)).alias("wanted"), F.count("rank").alias("found"), F.min("rank").alias("first"))
     return found.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.col("found") / F.col("wanted")), 6).alias("recall"), F.round(F.avg(F.col("found") / k), 6).alias("precision"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+# --- fields
+
+
+#: What a match in a field counts.
+BOOSTS = {"title": 2.0, "section_context": 0.5, "content": 1.0}
+IDENTIFIER_BOOST = 3.0
+
+
+def quantised(length: Column) -> Column:
+    """Lengths as an index keeps them: exact below 40, then eight steps to each doubling of their distance from 24."""
+    g = F.floor(F.log2((length - 24) / 16.0))
+    start, step = 24 + 16 * F.pow(F.lit(2.0), g), F.pow(F.lit(2.0), g + 1)
+    return F.when(length < 40, length.cast("double")).otherwise(start + F.floor((length - start) / step) * step)
+
+
+def index_terms(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(postings(key, field, term, tf, length), figures(field, n, mean_length)) of records(key, title, section_context,
+    content, identifiers): stems of the text fields, identifiers as they are. Build once, ask often."""
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) <= 40))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), words(F.col(f)).alias("terms")) for f in BOOSTS], F.struct(F.lit("identifiers").alias("field"), F.transform(F.coalesce("identifiers", F.array().cast("array<string>")), F.lower).alias("terms")))
+    rows = records.select(key, F.explode(fields).alias("f")).select(key, "f.field", F.size("f.terms").alias("length"), "f.terms")
+    figures = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    raw = rows.select(key, "field", "length", F.explode("terms").alias("term")).groupBy(key, "field", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    from evidra.functions.stem import stemmed
+
+    text = raw.where("field <> 'identifiers'")
+    stems = text.join(stemmed(text), "term").groupBy(key, "field", "length", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return stems.unionByName(raw.where("field = 'identifiers'")), figures
+
+
+def ask(records: DataFrame, postings: DataFrame, figures: DataFrame, key: str, queries: DataFrame, filters: list[str]) -> DataFrame:
+    """(q, key, score) for queries(q, text, and one column for each filter; null: any): BM25 over all fields, words that a
+    question repeats counting twice, and identifiers; statistics are those of all records, before any filter, and each
+    filter adds the weight of its own value, as a required term does."""
+    from evidra.functions.stem import stemmed
+
+    words = queries.select("q", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("term"))
+    wanted = words.join(stemmed(words), "term").groupBy("q", F.col("stem").alias("term")).agg(F.count(F.lit(1)).alias("times")).crossJoin(F.broadcast(figures.where("field <> 'identifiers'").select("field")))  # three fields
+    exact = queries.select("q", F.explode(T.query_terms(F.col("text"))).alias("term")).select("q", "term", F.lit(1).cast("long").alias("times"), F.lit("identifiers").alias("field"))
+    wanted = wanted.select("q", "term", "times", "field").unionByName(exact)
+    asked = postings.join(wanted.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    df = asked.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    boost = F.lit(IDENTIFIER_BOOST)
+    for f, b in BOOSTS.items():
+        boost = F.when(F.col("field") == f, b).otherwise(boost)
+    w = boost * idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), quantised(F.col("length")), F.col("mean_length"))
+    weighed = asked.join(df, ["field", "term"]).join(F.broadcast(figures), "field").select(key, "field", "term", w.alias("w"))  # four fields
+    scores = weighed.join(wanted, ["field", "term"]).groupBy("q", key).agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    out = scores.join(records.select(key, *filters), key).join(queries.select("q", *[F.col(f).alias(f"_{f}") for f in filters]), "q")
+    total = F.broadcast(records.agg(F.count(F.lit(1)).alias("n")))  # one row
+    out = out.crossJoin(total)
+    for f in filters:
+        counts = records.groupBy(f).agg(F.count(F.lit(1)).alias(f"{f}_df"))
+        out = out.where(F.col(f"_{f}").isNull() | (F.col(f) == F.col(f"_{f}"))).join(counts, f)
+        out = out.withColumn("score", F.col("score") + F.when(F.col(f"_{f}").isNotNull(), idf(F.col("n"), F.col(f"{f}_df"))).otherwise(0.0))
+    return out.select("q", key, F.round("score", 3).alias("score"))
+
+
+def collapse_hits(hits: DataFrame, limit: int) -> DataFrame:
+    """hits(q, rank, key_id, version, sha256, source_id, page, locator, record_type) collapsed in rank order: equal text of
+    a version, the same page of a source, the same schema of a version. kept_by: the rank of the hit that a hit stands
+    behind, or its own; reason; after `limit` are kept, later hits only attach. A question's hits are few, so each is one
+    small group."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[tuple, int] = {}
+        kept, rows = 0, []
+        for r in pdf.sort_values("rank").itertuples():
+            keys = []
+            if r.sha256:
+                keys.append(("identical_content", r.version, r.sha256))
+            if r.record_type == "chunk":
+                keys.append(("same_page", r.source_id, r.page))
+            if r.record_type == "schema":
+                keys.append(("same_schema", r.version, r.locator))
+            hit = next((k for k in keys if k in seen), None)
+            if hit:
+                rows.append((r.q, r.rank, seen[hit], hit[0]))
+            elif kept < limit:
+                kept += 1
+                for k in keys:
+                    seen.setdefault(k, r.rank)
+                rows.append((r.q, r.rank, r.rank, None))
+        return pd.DataFrame(rows, columns=["q", "rank", "kept_by", "reason"])
+
+    return hits.groupBy("q").applyInPandas(run, f"q {dict(hits.dtypes)['q']}, rank int, kept_by int, reason string")

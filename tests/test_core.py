@@ -283,3 +283,61 @@ def test_search_scores(spark):
     asked = spark.createDataFrame([(0, ["beta", "alpha"]), (1, ["none"])], "q int, terms array<string>")
     rows = search.top(search.scored(docs, "id", "text", asked, "q", "terms"), "q", "id", 5).orderBy("rank").collect()
     assert [(r.q, r.id) for r in rows] == [(0, 1), (0, 2)]
+
+
+@pytest.mark.parametrize(("word", "want"), [("consigning", "consign"), ("generated", "generat"), ("communism", "communism"), ("skies", "sky"), ("hopping", "hop"), ("hoping", "hope"), ("abilities", "abil"), ("conditional", "condit"), ("ties", "tie"), ("by", "by"), ("luxuriating", "luxuri"), ("knightly", "knight")])
+def test_stems(word, want):
+    from evidra.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_quantised_lengths(spark):
+    got = [r.v for r in spark.range(0, 340).select(search.quantised(F.col("id")).alias("v")).collect()]
+    steps = [*range(40), *range(40, 56, 2), *range(56, 88, 4), *range(88, 152, 8), *range(152, 280, 16), *range(280, 340, 32)]
+    assert sorted(set(got)) == steps and all(v <= i for i, v in enumerate(got))
+
+
+def test_fielded_scores_match_plain_python(spark):
+    import math
+
+    from evidra.functions.stem import stem
+
+    records = [(1, "v1", "pdf", "Account access", "Guide", "Accounts are accessed with a consent by accounts", ["/accounts", "x-id"]), (2, "v1", "text", "Payments", None, "payment of an account " * 12, None), (3, "v2", "pdf", None, None, "nothing here", ["x-id"])]
+    df = spark.createDataFrame(records, "id int, version string, kind string, title string, section_context string, content string, identifiers array<string>")
+    asked = spark.createDataFrame([(0, "account accounts x-id", "v1", None), (1, "payment", None, "text")], "q int, text string, version string, kind string")
+    postings, figures = search.index_terms(df, "id")
+    got = {(r.q, r.id): r.score for r in search.ask(df, postings, figures, "id", asked, ["version", "kind"]).collect()}
+    import re
+
+    words = lambda t: [stem(w) for w in re.split(r"[^0-9a-z]+", (t or "").lower()) if w]
+    fields = {f: {r[0]: words(r[i]) for r in records} for f, i in (("title", 3), ("section_context", 4), ("content", 5))} | {"identifiers": {r[0]: r[6] or [] for r in records}}
+    idf = lambda n, d: math.log(1 + (n - d + 0.5) / (d + 0.5))
+    floor = lambda n: n if n < 40 else n - n % 2
+    want = {}
+    for q, text, version, kind in ((0, "account accounts x-id", "v1", None), (1, "payment", None, "text")):
+        for r in records:
+            if (version and r[1] != version) or (kind and r[2] != kind):
+                continue
+            score, hit = 0.0, False
+            for f, rows in fields.items():
+                terms = [text, *text.split()] if f == "identifiers" else words(text)
+                terms = sorted(set(terms)) if f == "identifiers" else terms
+                mean = sum(map(len, rows.values())) / 3
+                for t in terms:
+                    tf = rows[r[0]].count(t)
+                    if tf:
+                        hit = True
+                        n = sum(t in x for x in rows.values())
+                        score += (search.BOOSTS | {"identifiers": 3.0})[f] * idf(3, n) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * floor(len(rows[r[0]])) / mean))
+            if hit:
+                score += (idf(3, sum(x[1] == version for x in records)) if version else 0) + (idf(3, sum(x[2] == kind for x in records)) if kind else 0)
+                want[(q, r[0])] = round(score, 3)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0011 for k in want)
+
+
+def test_collapse_in_rank_order(spark):
+    rows = [("a", "h1", "s", 1, None, "chunk"), ("b", "h2", "s", 1, None, "chunk"), ("c", "h3", "s", 2, None, "chunk"), ("d", "h3", "t", 1, None, "chunk"), ("e", "h5", "u", None, "schema:X", "schema"), ("f", "h6", "u", 7, None, "chunk"), ("g", "h7", "u", 8, None, "chunk"), ("h", "h8", "w", None, "schema:X", "schema")]
+    hits = spark.createDataFrame([(0, i + 1, k, "v", sha, src, page, loc, kind) for i, (k, sha, src, page, loc, kind) in enumerate(rows)], "q int, rank int, key_id string, version string, sha256 string, source_id string, page int, locator string, record_type string")
+    got = {r["rank"]: (r.kept_by, r.reason) for r in search.collapse_hits(hits, 4).collect()}
+    assert got == {1: (1, None), 2: (1, "same_page"), 3: (3, None), 4: (3, "identical_content"), 5: (5, None), 6: (6, None), 8: (5, "same_schema")}

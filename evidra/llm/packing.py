@@ -28,7 +28,7 @@ from evidra.llm.common import id_text, session, written
 LENGTH, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
 #: Words that a worker keeps the ids of, at most.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _SPECIAL = {"<|endoftext|>": 50256}
 #: Below U+0250 all versions of Unicode agree on what is a letter; other texts go to the reference tokenizer.
 _PLAIN = bytes([*range(0xCA), *range(0xF8, 0x100)])

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker keeps the hashes of, at most.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 _FACTOR = 0x9E3779B97F4A7C15
 
 

@@ -196,7 +196,7 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
     here = tiers.select("family", "tier", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"), "lo", "hi")
     upper = here.select("family", (F.col("tier") - 1).alias("tier"), F.col("parts").alias("next_parts"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi"))
     lower = here.select("family", (F.col("tier") + 1).alias("tier"), F.col("parts").alias("prev_parts"), F.col("lo").alias("prev_lo"), F.col("hi").alias("prev_hi"))
-    around = here.join(upper, ["family", "tier"], "left").join(lower, ["family", "tier"], "left")
+    around = written(here.join(upper, ["family", "tier"], "left").join(lower, ["family", "tier"], "left"))  # so that a hot tier's join can be split
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     placed = family.join(around, ["family", "tier"]).withColumn("part", part)
     none = F.array().cast("array<struct<tier:bigint,p:bigint,kind:int,q:bigint>>")

@@ -68,9 +68,16 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer: a small table in one file would keep one core busy.
+    Tables of any size have more partitions than that, and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), whatever else the table has."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def sample_ids(df: DataFrame, n: int, key: str = "doc_id", seed: int = 17) -> DataFrame:

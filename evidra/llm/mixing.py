@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.llm.common import written
+from evidra.llm.common import spread, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -34,6 +34,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source key (nulls last), size and the id's hash; written once, so that texts are read once."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
     text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    docs = spread(docs.select("doc_id", "source", "text"))
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.md5(text.cast("binary")).alias("line")))
 
 

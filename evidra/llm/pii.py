@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import tagger
-from evidra.llm.common import id_text, map_batches, sample_ids, session
+from evidra.llm.common import id_text, map_batches, sample_ids, session, spread
 
 #: The kinds, in the order of all results, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -310,4 +310,4 @@ def redact(docs: DataFrame, model: tagger.Tagger | None) -> DataFrame:
             columns[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(batch.column(chars).to_pylist(), texts, out, strict=True)], kind)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return map_batches(docs, masked, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return map_batches(spread(docs), masked, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import boosting
-from evidra.llm.common import id_text, map_batches, sample_ids, session
+from evidra.llm.common import id_text, map_batches, sample_ids, session, spread
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 4096
@@ -108,7 +108,7 @@ def score(docs: DataFrame, model: tuple[boosting.Trees, float], keep: str = "")
     trees, threshold = model
     session(docs.sparkSession)
     more = [c for c in keep.split(",") if c]
-    rows = docs.select(*more) if "text" in more else docs.select(*more, "text")
+    rows = spread(docs.select(*more) if "text" in more else docs.select(*more, "text"))
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [statistics(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.operators import chunks, graph, pages, search
-from evidra.sources.tables import table, written
+from evidra.sources.tables import spread, table, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def query(sql: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
@@ -116,7 +120,7 @@ def clean_pages_margin_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dehyphenated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.rejoined(pages.split_pages(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return pages.rejoined(pages.split_pages(_documents(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
 @query()
@@ -126,7 +130,7 @@ def chunks_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paged = pages.with_status(pages.split_pages(table(spark, sf_dir, "documents").where("doc_id is not null"), "doc_id", "text"))
+    paged = pages.with_status(pages.split_pages(_documents(spark, sf_dir).where("doc_id is not null"), "doc_id", "text"))
     return chunks.chunk_pages(paged, "doc_id").select("doc_id", "page", "ordinal", "chunk_id", "section", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
@@ -143,7 +147,7 @@ FROM k WHERE kind IS NOT NULL
 UNION ALL
 SELECT doc_id, -1, 'lines', CAST(count(*) AS VARCHAR), '' FROM p GROUP BY doc_id""")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(T.trim_ends(F.col("x")) != "")
     found = lines.withColumn("h", T.heading(F.col("x"))).where("h is not null").select("doc_id", "line", "h.kind", "h.number", "h.label")
     counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).cast("string").alias("number")).select("doc_id", F.lit(-1).alias("line"), F.lit("lines").alias("kind"), "number", F.lit("").alias("label"))
@@ -213,7 +217,7 @@ _CODE = r"""(length({0}) BETWEEN 2 AND 200 AND regexp_matches({0}, '[\p{{L}}\p{{
 WITH w AS (SELECT doc_id, [{_TRIM} FOR t IN regexp_split_to_array(text, '[ \t\n\x0B\f\r]+') IF t <> ''] AS words FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct([lower(t) FOR t IN words IF {_CODE.format('t')}])), ' ') AS identifiers FROM w""")
 def code_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.identifiers(F.col("text")), " ").alias("identifiers"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(T.identifiers(F.col("text")), " ").alias("identifiers"))
 
 
 @query(r"""
@@ -228,13 +232,13 @@ SELECT doc_id, regexp_replace(source || 'Name', '([a-z0-9])(\p{Lu})', '\1 \2', '
   CAST(len([t FOR t IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF octet_length(encode(t)) >= 2]) AS BIGINT) AS n_tokens
 FROM documents""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", T.split_camel(F.concat("source", F.lit("Name"))).alias("spaced"), T.pointer_escape(F.concat(F.lit("/a~b/"), "lang")).alias("pointer"), F.size(T.search_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query()
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+    return _documents(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 # --- search
@@ -256,7 +260,7 @@ def related_terms_per_benchmark_item(spark: SparkSession, sf_dir: str) -> DataFr
 
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select("item_id", search.related_terms(F.col("text")).alias("terms"))
-    return search.top(search.scored(table(spark, sf_dir, "documents"), "doc_id", "text", asked, "item_id", "terms"), "item_id", "doc_id", k)
+    return search.top(search.scored(_documents(spark, sf_dir), "doc_id", "text", asked, "item_id", "terms"), "item_id", "doc_id", k)
 
 
 _BM25_SQL = _TERMS_SQL + r""",
@@ -278,7 +282,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25_SQL}, hits AS (SELECT * FROM ranked WHERE rank <= 20), h AS (SELECT h.item_id, h.doc_id, h.score, CAST(h.rank AS INT) AS rank, sha256(d.text) AS sha FROM hits h JOIN documents d USING (doc_id)) SELECT item_id, doc_id, score, rank, CAST(min(rank) OVER w AS INT) AS first_rank, row_number() OVER (PARTITION BY item_id, sha ORDER BY rank) = 1 AS kept FROM h WINDOW w AS (PARTITION BY item_id, sha)")
 def collapse_identical_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir, 20)
-    shas = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    shas = _documents(spark, sf_dir).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return search.collapse(hits.join(shas, "doc_id"), ["item_id", "sha"], "rank").select("item_id", "doc_id", "score", "rank", "first_rank", "kept")
 
 
@@ -291,7 +295,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of documents that hold all terms of a statement, how many are among its ten best."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", search.related_terms(F.col("text")).alias("terms"))
     terms = asked.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
+    words = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
     relevant = words.join(terms, "term").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("item_id", "doc_id")
     return search.retrieval_figures(_hits(spark, sf_dir, 10), relevant, "item_id", "doc_id", 10)
 
@@ -305,7 +309,7 @@ def find_by_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which each of a statement's first three longer tokens begins some token."""
     tokens = F.array_distinct(F.slice(F.filter(T.search_tokens(F.col("text")), lambda t: F.octet_length(t) >= 4), 1, 3))
     asked = table(spark, sf_dir, "benchmark").select("item_id", tokens.alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token")).withColumn("head", F.substring("token", 1, 3))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).withColumn("head", F.substring("term", 1, 3))
+    words = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).withColumn("head", F.substring("term", 1, 3))
     met = words.join(asked, "head").where(F.col("term").startswith(F.col("token"))).select("item_id", "doc_id", "n", "token").distinct()
     return met.groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("item_id", "doc_id")
 
@@ -313,7 +317,7 @@ def find_by_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bm25_fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best English documents for each statement: first line as title, stems, identifiers and the version's weight."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("version"), F.substring_index("text", "\n", 1).alias("title"), F.lit(None).cast("string").alias("section_context"), F.col("text").alias("content"), T.identifiers(F.col("text")).alias("identifiers"))
+    d = _documents(spark, sf_dir).select("doc_id", F.col("lang").alias("version"), F.substring_index("text", "\n", 1).alias("title"), F.lit(None).cast("string").alias("section_context"), F.col("text").alias("content"), T.identifiers(F.col("text")).alias("identifiers"))
     postings, figures = search.index_terms(d, "doc_id")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text", F.lit("en").alias("version"))
     return search.top(search.ask(d, written(postings), written(figures), "doc_id", asked, ["version"]), "q", "doc_id", 10)
@@ -437,7 +441,7 @@ def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang AS version, count(*) FILTER (n_chars < 1000) AS short, count(*) FILTER (n_chars BETWEEN 1000 AND 9999) AS medium, count(*) FILTER (n_chars >= 10000) AS long FROM documents GROUP BY lang")
 def docs_by_version_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 10000, "medium").otherwise("long")
-    return table(spark, sf_dir, "documents").withColumn("kind", kind).groupBy(F.col("lang").alias("version")).pivot("kind", ["short", "medium", "long"]).agg(F.count(F.lit(1))).fillna(0, ["short", "medium", "long"])
+    return _documents(spark, sf_dir).withColumn("kind", kind).groupBy(F.col("lang").alias("version")).pivot("kind", ["short", "medium", "long"]).agg(F.count(F.lit(1))).fillna(0, ["short", "medium", "long"])
 
 
 # --- graph

@@ -1,12 +1,13 @@
 """Chunks of paged text: headings with the stack of those above, and sentence-aligned packing with overlap.
 
-Pages of a document must be read in order, because headings reach over page ends; so one document is one group."""
+Pages of a document must be read in order, because headings reach over page ends."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,39 +72,52 @@ def pack(paragraphs: list[str], most: int = MAX_CHARS, overlap: int = OVERLAP) -
     return ["".join((g if i else "") + u for i, (g, u) in enumerate(c)) for c in chunks if c]
 
 
-def chunk_pages(pages: DataFrame, key: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """(key, page, ordinal, chunk_id, section, section_path, text) of extracted pages(key, page, status, text)."""
-    kind = dict(pages.dtypes)[key]
+def page_chunks(text: str, stack: list, most: int, overlap: int) -> list[tuple[list[str], str]]:
+    """(section path, text) of a page's chunks; stack: the headings that are open, which the page's own change."""
+    groups: list[tuple[list[str], list[str]]] = [([s[2] for s in stack], [])]
+    paragraph: list[str] = []
+
+    def end() -> None:
+        if paragraph:
+            groups[-1][1].append("\n".join(paragraph))
+            paragraph.clear()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, rows = [], []
-        for r in pdf.sort_values("page").itertuples():
-            groups: list[tuple[list[str], list[str]]] = [([s[2] for s in stack], [])]
-            paragraph: list[str] = []
-
-            def end():
-                if paragraph:
-                    groups[-1][1].append("\n".join(paragraph))
-                    paragraph.clear()
-
-            for line in r.text.split("\n"):
-                if h := heading(line):
-                    end()
-                    while stack and not _above(stack[-1], h):
-                        stack.pop()
-                    stack.append(h)
-                    groups.append(([s[2] for s in stack], [h[2]]))
-                elif line.strip():
-                    paragraph.append(line.rstrip())
-                else:
-                    end()
+    for line in text.split("\n"):
+        if h := heading(line):
             end()
-            ordinal = 0
-            for path, paragraphs in groups:
-                for text in pack(paragraphs, most, overlap):
-                    rows.append((getattr(r, key), r.page, ordinal, f"{getattr(r, key)}:p{r.page}:c{ordinal}", path[-1] if path else None, path, text))
-                    ordinal += 1
-        return pd.DataFrame(rows, columns=[key, "page", "ordinal", "chunk_id", "section", "section_path", "text"])
+            while stack and not _above(stack[-1], h):
+                stack.pop()
+            stack.append(h)
+            groups.append(([s[2] for s in stack], [h[2]]))
+        elif line.strip():
+            paragraph.append(line.rstrip())
+        else:
+            end()
+    end()
+    return [(path, chunk) for path, paragraphs in groups for chunk in pack(paragraphs, most, overlap)]
+
+
+def chunk_pages(pages: DataFrame, key: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """(key, page, ordinal, chunk_id, section, section_path, text) of extracted pages(key, page, status, text).
+
+    Documents are dealt out whole and their pages sorted; a partition is read page by page, so that neither a document
+    nor a group has to fit into memory."""
+    kind = dict(pages.dtypes)[key]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+    names = ["page", "ordinal", "chunk_id", "section", "section_path", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stack = object(), []
+        for b in batches:
+            keys, rows = [], []
+            for k, page, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != last:
+                    last, stack = k, []
+                for n, (path, chunk) in enumerate(page_chunks(text, stack, most, overlap)):
+                    keys.append(k)
+                    rows.append((page, n, f"{k}:p{page}:c{n}", path[-1] if path else None, path, chunk))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[key, *names])
 
     schema = f"{key} {kind}, page long, ordinal long, chunk_id string, section string, section_path array<string>, text string"
-    return pages.where("status = 'extracted'").select(key, F.col("page").cast("long").alias("page"), "text").groupBy(key).applyInPandas(run, schema)
+    rows = pages.where("status = 'extracted'").select(key, F.col("page").cast("long").alias("page"), "text")
+    return rows.repartition(key).sortWithinPartitions(key, "page").mapInArrow(run, schema)

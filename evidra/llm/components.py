@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import written
 
+#: Rows of one file of a round's tables.
+ROWS = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges(a, b), undirected; component is the smallest node it reaches.
@@ -16,17 +19,18 @@ def components(edges: DataFrame) -> DataFrame:
     their ends point; the smallest node of a component always stays. A hub costs a partial aggregate, never one task."""
     links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
-    while not links.isEmpty():
+    while n := links.count():  # from the files' footers
+        parts = -(-2 * n // ROWS)  # no table of a round has more than 2n rows: few files for few rows
         ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-        pointers = written(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("component")))
+        pointers = written(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("component")).coalesce(parts))
         for _ in range(2):
             further = pointers.select(F.col("node").alias("component"), F.col("component").alias("next")).where("component <> next")
-            pointers = written(pointers.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+            pointers = written(pointers.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component")).coalesce(parts))
         moved = pointers.where("node <> component")
         for end in ("a", "b"):
             to = moved.select(F.col("node").alias(end), F.col("component").alias("to"))
             links = links.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts))
         rounds.append(pointers)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")

@@ -30,6 +30,8 @@ PATTERNS = {
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 1500
 #: Characters of a window, from one window to the next, and read on either side of a digit or @.
 WINDOW, STRIDE, REACH = 64, 32, 44
+#: Characters of the texts that are read together.
+GROUP_CHARS = 1_000_000
 #: Mean probability of the tags of a span that the network adds.
 SURE = 0.95
 TAGS = 1 + 2 * len(KINDS)
@@ -195,8 +197,22 @@ def _plausible(kind: int, found: str) -> bool:
 
 
 def model_spans(model: tagger.Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The network's spans of each text: windows' tag scores are averaged, the middle of a window counting most, and
-    each stretch is decoded as a whole."""
+    """The network's spans of each text. Texts are read in groups of bounded length, so that many long ones that are
+    full of digits don't fill the memory."""
+    out: list[list[tuple[int, int, int]]] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
+            size += len(texts[end])
+            end += 1
+        out += _model_spans(model, texts[at:end])
+        at = end
+    return out
+
+
+def _model_spans(model: tagger.Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """Windows' tag scores are averaged, the middle of a window counting most, and each stretch is decoded as a whole."""
     stretches = [(i, a, b) for i, t in enumerate(texts) for a, b in neighbourhoods(t)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     weight = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)

@@ -280,6 +280,16 @@ def test_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in rows_by_id(nearduplicates.groups(docs)).items()} == _plain_groups(dict(enumerate(texts)))
 
 
+def test_small_pairs_at_the_limit(spark):
+    """Pairs of 5 and 4, 6 and 5 shingles, whose registers are mostly borrowed."""
+    texts = []
+    for k in range(4000):
+        ws = [f"w{k}x{i}" for i in range(8 + k % 2)]
+        texts += [" ".join(ws), " ".join(ws[:-1])]
+    got = rows_by_id(nearduplicates.groups(documents(spark, texts)))
+    assert [i for i, r in got.items() if r.component_id != i - i % 2] == []
+
+
 def test_register_estimates():
     rng = np.random.default_rng(1)
     errors = []

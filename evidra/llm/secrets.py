@@ -2,8 +2,8 @@
 
 A candidate is a run of 16 or more letters, digits and +/_=.- that holds a digit. Offsets are code points, end
 exclusive. Null and empty texts have no spans. Rows are judged one by one: repeated rows have equal results, an empty
-table gives an empty result, extra columns don't matter. Candidates of any length are judged by their first and last
-characters and what stands around them."""
+table gives an empty result, extra columns don't matter. Candidates of any length are read whole, in overlapping windows
+with what stands around them, and judged by the most suspicious one."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs of fewer characters are dropped, so they needn't be found
 KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-#: Characters of a candidate and of either side of it that the network reads.
+#: Characters of a window of a candidate and of either side of it that the network reads.
 BODY, SIDE = 48, 20
 LENGTH = BODY + 2 * SIDE
 #: Documents whose candidates the network is fitted on, and candidates, at most.
@@ -57,13 +57,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if any(c in "0123456789" for c in m[0])]
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The candidate itself, or windows of BODY characters that cover a longer one, each half over the one before."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(at, at + BODY) for at in [*range(start, end - BODY, BODY // 2), end - BODY]]
+
+
 def view(text: str, start: int, end: int) -> np.ndarray:
-    """What the network reads of a candidate: SIDE characters before, BODY of it (its two ends if it is longer), SIDE
-    characters after, each padded to its own place."""
+    """What the network reads of a window: SIDE characters before, up to BODY of it, SIDE characters after, each padded to
+    its own place."""
     pad = lambda ids, n: np.concatenate([ids, np.full(n - len(ids), tagger.PAD, np.int16)])
-    body = text[start:end] if end - start <= BODY else text[start : start + BODY // 2] + text[end - BODY // 2 : end]
     before = tagger.encode(text[max(0, start - SIDE) : start])
-    return np.concatenate([pad(before[::-1], SIDE)[::-1], pad(tagger.encode(body), BODY), pad(tagger.encode(text[end : end + SIDE]), SIDE)])
+    return np.concatenate([pad(before[::-1], SIDE)[::-1], pad(tagger.encode(text[start:end]), BODY), pad(tagger.encode(text[end : end + SIDE]), SIDE)])
 
 
 def made_candidates(n: int, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +104,7 @@ def fit(docs: DataFrame) -> convnet.ConvNet:
         out: dict[str, list] = {"doc_id": [], "at": [], "ids": [], "y": []}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             base = base_spans(text)
-            for s, e in candidates(text):
+            for s, e in (w for c in candidates(text) for w in windows(*c)):
                 out["doc_id"].append(doc), out["at"].append(s), out["ids"].append(view(text, s, e).astype("<i2").tobytes())
                 out["y"].append(int(any(s < b and a < e for _, a, b in base)))
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.binary()), ("y", pa.int32())]))
@@ -114,24 +120,25 @@ def fit(docs: DataFrame) -> convnet.ConvNet:
 def all_spans(net: convnet.ConvNet, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(the patterns' spans, all spans) of each text; the network adds candidates that touch none of the patterns'."""
     base = [base_spans(t) for t in texts]
-    added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    added: list[dict[tuple[int, int, int], None]] = [{} for _ in texts]
     views, whose = [], []
 
     def judge() -> None:
         for p, (i, s, e) in zip(net.probability(np.stack(views)), whose, strict=True):
             if p >= net.threshold:
-                added[i].append((3, s, e))
+                added[i][3, s, e] = None  # once for all windows
         views.clear(), whose.clear()
 
     for i, t in enumerate(texts):
         for s, e in candidates(t):
             if not any(s < b and a < e for _, a, b in base[i]):
-                views.append(view(t, s, e)), whose.append((i, s, e))
-                if len(views) == 1024:
-                    judge()
+                for w in windows(s, e):
+                    views.append(view(t, *w)), whose.append((i, s, e))
+                    if len(views) == 1024:
+                        judge()
     if views:
         judge()
-    return [(b, sorted(b + a, key=lambda x: (x[1], x[0]))) for b, a in zip(base, added, strict=True)]
+    return [(b, sorted([*b, *a], key=lambda x: (x[1], x[0]))) for b, a in zip(base, added, strict=True)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

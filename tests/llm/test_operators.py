@@ -610,6 +610,16 @@ def test_secret_edges():
     assert secrets.base_spans("f" * 32 + " AKIA" + "B" * 12) == [(2, 0, 32), (1, 33, 49)]
 
 
+@pytest.mark.parametrize("at", [0, 57, 80, 101, 160])
+def test_key_inside_a_long_run(net, at):
+    """A long candidate is read whole: two that differ only in their middle get verdicts of their own."""
+    run = ("some/plain.words/of_a-path.v2/" * 7)[:200]
+    key = "ghp_Xk29QmZ7LwT4vB8nRc1Yd6Hs3Jf5Pg0aUeKi"
+    for body, found in ((run, []), (run[:at] + key + run[at + len(key) :], [(3, 4, 204)])):
+        assert secrets.all_spans(net, ["see " + body + " there"])[0][1] == found
+    assert {k for s, e in secrets.windows(3, 203) for k in range(s, e)} == set(range(3, 203))
+
+
 def test_network_held_out(net):
     ids, y = secrets.made_candidates(600, seed=50)
     found = net.probability(ids) >= net.threshold

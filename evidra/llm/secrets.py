@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate and its surroundings.
 
-A candidate is a run of 16 or more letters, digits and +/_=.- that holds a digit. Offsets are code points, end
+A candidate is a run of 16 or more letters, digits and +/_=.-, with or without a digit. Offsets are code points, end
 exclusive. Null and empty texts have no spans. Rows are judged one by one: repeated rows have equal results, an empty
 table gives an empty result, extra columns don't matter. Candidates of any length are read whole, in overlapping windows
 with what stands around them, and judged by the most suspicious one."""
@@ -51,10 +51,7 @@ _LONG_HEX = re.compile(rb"[a-f]{32}")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    raw = text.encode("utf-8", "surrogatepass")
-    if len(raw.translate(None, b"0123456789")) == len(raw):
-        return []
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if any(c in "0123456789" for c in m[0])]
+    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text)]
 
 
 def windows(start: int, end: int) -> list[tuple[int, int]]:
@@ -83,10 +80,10 @@ def made_candidates(n: int, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         y[i] = i % 2
         if y[i]:
-            body = pick(lambda: s(low + up + dig, 40), lambda: "ghp_" + s(low + up + dig, 36), lambda: "sk_live_" + s(low + up + dig, 24), lambda: s("0123456789abcdef", 40), lambda: "AKIA" + s(up + dig, 16), lambda: s(low + up + dig + "+/", 43) + "=", lambda: s("0123456789abcdef", 18), lambda: "xoxb-" + s(dig, 12) + "-" + s(low + up + dig, 24))()
+            body = pick(lambda: s(low + up + dig, 40), lambda: "ghp_" + s(low + up + dig, 36), lambda: "sk_live_" + s(low + up + dig, 24), lambda: s("0123456789abcdef", 40), lambda: "AKIA" + s(up + dig, 16), lambda: s(low + up + dig + "+/", 43) + "=", lambda: s("0123456789abcdef", 18), lambda: "xoxb-" + s(dig, 12) + "-" + s(low + up + dig, 24), lambda: s(low + up, int(rng.integers(16, 41))), lambda: s(low + up, 20))()
             left = pick("token = \"", "password=", "key: ", "secret: ", "auth=", "Bearer ", f"{word()} ", f"{word()}_KEY=", "credentials ")
         else:
-            body = pick(lambda: f"{word()}.{word()}{s(dig, 1)}.example.com", lambda: "/".join([word(), word(), s(dig, 4), word()]), lambda: s(dig, 16), lambda: f"20{s(dig, 2)}-{s(dig, 2)}-{s(dig, 2)}T{s(dig, 2)}", lambda: f"{word()}_{word()}_{word()}_v{s(dig, 2)}", lambda: f"{word()}-{word()}-{word()}-{s(dig, 3)}", lambda: f"{s(dig, 3)}.{s(dig, 3)}.{s(dig, 3)}.{s(dig, 3)}.{s(dig, 2)}", lambda: s(dig, 20), lambda: f"www.{word()}{word()}.org/{s(dig, 3)}", lambda: "=" * 14 + s(dig, 3), lambda: f"{word()}.{s(dig, 2)}@"[:-1] + word() + word())()
+            body = pick(lambda: f"{word()}.{word()}{s(dig, 1)}.example.com", lambda: "/".join([word(), word(), s(dig, 4), word()]), lambda: s(dig, 16), lambda: f"20{s(dig, 2)}-{s(dig, 2)}-{s(dig, 2)}T{s(dig, 2)}", lambda: f"{word()}_{word()}_{word()}_v{s(dig, 2)}", lambda: f"{word()}-{word()}-{word()}-{s(dig, 3)}", lambda: f"{s(dig, 3)}.{s(dig, 3)}.{s(dig, 3)}.{s(dig, 3)}.{s(dig, 2)}", lambda: s(dig, 20), lambda: f"www.{word()}{word()}.org/{s(dig, 3)}", lambda: "=" * 14 + s(dig, 3), lambda: f"{word()}.{s(dig, 2)}@"[:-1] + word() + word(), lambda: "".join(word() for _ in range(4)), lambda: (word() + word() + word() + word()).capitalize(), lambda: pick("-", "_", ".", "/").join(word() for _ in range(4)), lambda: word() + "".join(word().capitalize() for _ in range(3)), lambda: "".join(word() for _ in range(4)).upper(), lambda: pick("=", "-", ".", "_") * int(rng.integers(16, BODY + 1)))()
             left = pick(f"{word()} ", "see ", "https://", f"{word()}@", "file ", "id ", "on ", f"{word()}, ")
         text = f"{word()} {word()} {word()} {left}"
         ids[i] = view(text + body + pick(" ", "\" ", ". ", "\n", ",") + f"{word()} {word()} {word()}", len(text), len(text) + len(body))

@@ -620,6 +620,17 @@ def test_key_inside_a_long_run(net, at):
     assert {k for s, e in secrets.windows(3, 203) for k in range(s, e)} == set(range(3, 203))
 
 
+def test_runs_without_digits_are_judged(net):
+    """Tokens that happen to hold no digit are found, in texts without one, and long plain words aren't."""
+    rng = np.random.default_rng(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f"then send {left}{''.join(letters[i] for i in rng.integers(0, 52, 20))} to them" for left in ("Bearer ", "key: ", "auth=") for _ in range(40)]
+    assert all(secrets.candidates(t) for t in texts)
+    assert np.mean([bool(a) for _, a in secrets.all_spans(net, texts)]) > 0.9
+    plain = ["Donaudampfschifffahrtsgesellschaft", "internationalization", "counterrevolutionary", "state-of-the-art-methods", "src/main/resources/messages", "=" * 40, "uncharacteristically"]
+    assert sum(bool(a) for _, a in secrets.all_spans(net, [f"we read {w} here" for w in plain])) <= 1
+
+
 def test_network_held_out(net):
     ids, y = secrets.made_candidates(600, seed=50)
     found = net.probability(ids) >= net.threshold

@@ -314,6 +314,24 @@ def find_by_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("item_id", "doc_id")
 
 
+@query()
+def find_by_all_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which each of a statement's tokens begins some token, as in services.find_requirement."""
+    return documents_with_prefixes(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def documents_with_prefixes(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents(doc_id, text) in which each token of benchmark(item_id, text) begins some token.
+
+    Terms are matched with tokens once for all documents and statements; tokens have 2 bytes, so 1 character, at least."""
+    asked = benchmark.select("item_id", F.array_distinct(T.search_tokens(F.col("text"))).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    words = documents.select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).distinct()
+    starts = words.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring("term", F.lit(1), k))).alias("token"))
+    met = starts.join(asked.select("token").distinct(), "token")
+    held = words.join(met, "term").select("doc_id", "token").distinct()
+    return held.join(asked, "token").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("item_id", "doc_id")
+
+
 @query()
 def bm25_fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best English documents for each statement: first line as title, stems, identifiers and the version's weight."""

@@ -1,13 +1,14 @@
 """The library outside llm: functions, pages, contracts, differences, index generations, services, streams."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
-from evidra.jobs import index, services
+from evidra.jobs import index, registry, services
 from evidra.operators import chunks, endpoints, graph, pages, search
 from evidra.sources import contracts, manifest
 from evidra.sources.generations import Generations
@@ -341,3 +342,13 @@ def test_collapse_in_rank_order(spark):
     hits = spark.createDataFrame([(0, i + 1, k, "v", sha, src, page, loc, kind) for i, (k, sha, src, page, loc, kind) in enumerate(rows)], "q int, rank int, key_id string, version string, sha256 string, source_id string, page int, locator string, record_type string")
     got = {r["rank"]: (r.kept_by, r.reason) for r in search.collapse_hits(hits, 4).collect()}
     assert got == {1: (1, None), 2: (1, "same_page"), 3: (3, None), 4: (3, "identical_content"), 5: (5, None), 6: (6, None), 8: (5, "same_schema")}
+
+
+def test_all_tokens_of_a_statement_are_asked(spark):
+    """Against brute force; the fourth and later tokens count, too, and short ones."""
+    asked = {1: "Alpha beta gamma delta", 2: "alpha BETA gamma omega", 3: "be al", 4: "..."}
+    texts = {1: "gammas deltas alphabet betas", 2: "alpha beta gamma", 3: "omega, gamma; alpha-beta", 4: "", 5: "beta"}
+    tokens = lambda t: {w for w in re.split(r"[^a-z]+", t.lower()) if len(w) >= 2}
+    want = {(q, d) for q, a in asked.items() for d, t in texts.items() if tokens(a) and all(any(w.startswith(x) for w in tokens(t)) for x in tokens(a))}
+    got = registry.documents_with_prefixes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(asked.items()), "item_id long, text string"))
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == want == {(1, 1), (2, 3), (3, 1), (3, 2), (3, 3)}

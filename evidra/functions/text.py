@@ -153,11 +153,11 @@ def code_like(t: Column) -> Column:
     return (F.length(t) >= 2) & (F.length(t) <= 200) & t.rlike(r"[\p{L}\p{N}]") & (t.startswith("/") | plain)
 
 
-def identifiers(text: Column, most: int = 256) -> Column:
+def identifiers(text: Column) -> Column:
     """Sorted identifiers of a text, lower-cased, and METHOD /path pairs of neighbouring tokens."""
     words = F.transform(tokens(text), lambda t: F.regexp_replace(F.regexp_replace(t, f"^{_EDGE}+", ""), f"{_EDGE}+$", ""))
     pairs = F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.when(F.upper(a).isin(*METHODS) & (F.upper(a) == a) & b.startswith("/"), F.concat(F.lower(a), F.lit(" "), F.lower(b))))
-    return F.slice(F.array_sort(F.array_distinct(F.concat(F.transform(F.filter(words, code_like), F.lower), F.filter(pairs, lambda p: p.isNotNull())))), 1, most)
+    return F.array_sort(F.array_distinct(F.concat(F.transform(F.filter(words, code_like), F.lower), F.filter(pairs, lambda p: p.isNotNull()))))
 
 
 def query_terms(text: Column) -> Column:

@@ -60,6 +60,11 @@ def test_identifiers(spark):
     assert value(spark, T.identifiers(F.lit(text))) == ["/v2/things/{thing-id}/parts", "get /v2/things/{thing-id}/parts", "sortorder", "x-trace-id"]
 
 
+def test_many_identifiers_are_all_kept(spark):
+    want = [f"key-{i:04}" for i in range(1000)]
+    assert value(spark, T.identifiers(F.lit(" ".join(reversed(want))))) == want
+
+
 @pytest.mark.parametrize(("line", "want"), [("## Scope", ("markdown", "2", "Scope")), ("4.2. Access rules", ("numbered", "4.2", "4.2 Access rules")), ("4.2 access rules", None), ("Annex B", ("annex", "", "Annex B")), ("10 Items are listed here:", None), ("#hash", None)])
 def test_headings_agree(spark, line, want):
     got = value(spark, T.heading(F.lit(line)))

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.sources.tables import written
 
-MAX_DEPTH = 64
-
-
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): what each root reaches over edges(src, dst), itself at depth 0, each at its least depth.
 
     One join a level against what isn't reached yet; each level is written, so a lost executor costs one level."""
     edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     reached = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     last = reached
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # ends, as each level adds nodes or is the last
         step = last.join(edges, last.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         last = written(step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():

@@ -357,3 +357,10 @@ def test_all_tokens_of_a_statement_are_asked(spark):
     want = {(q, d) for q, a in asked.items() for d, t in texts.items() if tokens(a) and all(any(w.startswith(x) for w in tokens(t)) for x in tokens(a))}
     got = registry.documents_with_prefixes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(asked.items()), "item_id long, text string"))
     assert {(r.item_id, r.doc_id) for r in got.collect()} == want == {(1, 1), (2, 3), (3, 1), (3, 2), (3, 3)}
+
+
+def test_closure_of_a_long_chain(spark):
+    """More than 64 levels."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(67)], "src int, dst int")
+    got = graph.closure(edges, spark.createDataFrame([(0,)], "root int"))
+    assert {(r.node, r.depth) for r in got.collect()} == {(i, i) for i in range(68)}

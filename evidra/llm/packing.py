@@ -2,8 +2,8 @@
 
 A document's ids are those of a byte-level BPE vocabulary, then one end id; null text is empty text. Documents longer than
 a sequence, and no others, are cut into full pieces, what is left over coming first. The pieces' lengths are counted (at
-most one row a length), patterns of two to four lengths that fill a sequence are fitted to the counts by non-negative
-least squares and rounded down, and what they leave is packed best fit, longest first. Pieces of one length are then
+most one row a length), patterns of one to four lengths that occur are fitted to the counts by non-negative least squares,
+rounded and fitted again to what is left, and the last hundredth of the pieces is packed best fit, longest first. Pieces of one length are then
 numbered and dealt to the places that the patterns have for it.
 
 Repeated rows are documents like any other; an empty table gives an empty result; extra columns don't matter; a null
@@ -27,10 +27,12 @@ from evidra.llm.common import id_text, session, written
 
 LENGTH, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
+#: Share of the pieces that a fit may miss, and that is left to best fit.
+MISFIT, REST = 0.03, 0.01
 #: Words that a worker keeps the ids of, at most.
 KEPT_WORDS = 100_000
 _SPECIAL = {"<|endoftext|>": 50256}
-#: Below U+0250 all versions of Unicode agree on what is a letter; other texts go to the reference tokenizer.
+#: Up to U+027F all versions of Unicode agree on what is a letter; other texts go to the reference tokenizer.
 _PLAIN = bytes([*range(0xCA), *range(0xF8, 0x100)])
 _SPACES = [chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0)]
 
@@ -51,7 +53,7 @@ class _Words(dict):
 
 class Encoder:
     """Little-endian 32-bit ids of texts: a token never goes across a single space, so words are encoded one by one and
-    remembered; texts where white space precedes a space, and characters beyond U+024F, take the direct way."""
+    remembered; texts where white space precedes a space, and characters beyond U+027F, take the direct way."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers as P
@@ -109,34 +111,62 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: st
     return id_text(docs).mapInArrow(cut, schema)
 
 
-def few_document_patterns(length: int) -> list[tuple[int, ...]]:
-    """Lengths of two, three and four pieces that fill a sequence: all pairs, and the others on a grid."""
-    out = [(length - a, a) for a in range(1, length // 2 + 1)]
-    step = max(1, length // 341)
-    out += [(length - a - b, b, a) for a in range(1, length // 3 + 1, step) for b in range(a, (length - a) // 2 + 1, step)]
-    step = max(1, length // 21)
-    out += [(length - a - b - c, c, b, a) for a in range(1, length // 4 + 1, step) for b in range(a, length // 3 + 1, step) for c in range(b, (length - a - b) // 2 + 1, step)]
-    return out
-
-
-def fitted(counts: np.ndarray, patterns: list[tuple[int, ...]], sweeps: int = 12) -> np.ndarray:
-    """Repeats of each pattern, not negative, whose sum of squared differences from the counts is least: coordinate
-    descent, each pattern in turn taking its best value."""
-    rest = counts.astype(float).tolist()
-    uses = [[(v, p.count(v)) for v in set(p)] for p in patterns]
-    norm = [sum(n * n for _, n in u) for u in uses]
-    x = [0.0] * len(patterns)
-    for _ in range(sweeps):
-        for i, u in enumerate(uses):
-            old = x[i]
-            new = old + sum(n * rest[v] for v, n in u) / norm[i]
-            if new < 0:
-                new = 0.0
-            if new != old:
-                x[i] = new
-                for v, n in u:
-                    rest[v] -= n * (new - old)
-    return np.array(x)
+def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> np.ndarray:
+    """Patterns of one to four lengths that occur, longest first (rows of 4, 0: none), that leave at most slack of a
+    sequence and that the counts have the pieces for: all pairs, each with the longest third that fits, with the longest
+    two that fit in turn, and with two that share what is left."""
+    have = np.flatnonzero(counts)
+    upto = np.zeros(length + 1, np.int64)  # the longest length that occurs, up to each
+    upto[have] = have
+    upto = np.maximum.accumulate(upto)
+    i, j = np.tril_indices(len(have))
+    fits = have[i] + have[j] <= length
+    a, b = have[i][fits], have[j][fits]
+    left, none = length - a - b, np.zeros(fits.sum(), np.int64)
+    rows = [np.stack([have, *[np.zeros_like(have)] * 3], 1), np.stack([a, b, none, none], 1), np.stack([a, b, upto[np.minimum(left, b)], none], 1)]
+    for share in (1, 2, 3):
+        c = upto[np.minimum(left // share, b)]
+        rows.append(np.stack([a, b, c, upto[np.minimum(left - c, c)]], 1))
+    rows = np.concatenate(rows)
+    rows = np.unique(rows[length - rows.sum(1) <= slack], axis=0)
+    for k in range(4):
+        rows = rows[counts[rows[:, k]] >= (rows == rows[:, k : k + 1]).sum(1) * (rows[:, k] > 0)]
+    return rows[np.lexsort((length - rows.sum(1), -rows[:, 1], -rows[:, 0]))]
+
+
+def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float = 0.5, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Repeats of each pattern, not negative, with the least sum of squared differences from the counts, plus a small cost
+    of what patterns leave empty; and the sum of the differences. Projected gradient steps with momentum, until the
+    differences are small or no longer fall."""
+    flat, wanted = patterns.ravel(), counts.astype(float)
+    wanted[0] = 0
+    waste = cost * wanted.sum() / max(np.count_nonzero(wanted), 1) * (length - patterns.sum(1)) / length
+
+    def pieces_of(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(flat, np.repeat(x, patterns.shape[1]), len(wanted))
+        out[0] = 0  # places that a pattern doesn't use
+        return out
+
+    v = np.ones(len(patterns))
+    for _ in range(8):  # the steepest direction bounds the step
+        v = pieces_of(v)[patterns].sum(1)
+        steep = np.linalg.norm(v)
+        v /= steep
+    steep *= 1.05
+    x = np.zeros(len(patterns))
+    y, momentum, before = x, 1.0, np.inf
+    for step in range(1, steps + 1):
+        z = np.maximum(0, y - ((pieces_of(y) - wanted)[patterns].sum(1) + waste) / steep)
+        if np.dot(y - z, z - x) > 0:
+            momentum = 1.0
+        faster = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        y, x, momentum = z + (momentum - 1) / faster * (z - x), z, faster
+        if step % 50 == 0:
+            off = float(np.abs(wanted - pieces_of(x)).sum())
+            if off <= 0.002 * wanted.sum() or off > 0.98 * before:
+                break
+            before = off
+    return x, float(np.abs(wanted - pieces_of(x)).sum())
 
 
 def best_fit(counts: list[int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -167,27 +197,42 @@ def best_fit(counts: list[int], length: int) -> list[tuple[tuple[int, ...], int]
 
 
 def planned(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up the counts of lengths."""
-    left = [0] * (length + 1)
+    """(pattern, repeats) that use up the counts of lengths.
+
+    Patterns that fill a sequence are fitted first; where these can't make up the counts to within MISFIT of the pieces, those
+    that leave a little more are allowed, too. Repeats are rounded down; where that places few pieces, fractions are added up in
+    the patterns' order and give one more whenever they reach a whole. What is left is fitted again, until REST of the pieces
+    remain or a round places next to none; those are packed best fit."""
+    left = np.zeros(length + 1, np.int64)
     for v, n in counts.items():
         left[v] = n
-    out = [((length,), left[length])] if left[length] else []
+    out = [((length,), int(left[length]))] if left[length] else []
     left[length] = 0
-    whole = best_fit(list(left), length)
-    patterns = few_document_patterns(length)
-    by_patterns = []
-    for _ in range(2):  # what rounding has left is fitted once more
-        repeats = fitted(np.array(left), patterns)
-        for i in np.argsort(-repeats, kind="stable"):
-            p = patterns[i]
-            n = min(int(repeats[i]), *(left[v] // p.count(v) for v in p))
+    total, slack = int(left.sum()), 0
+    while left.sum() > REST * total + 8:
+        while True:
+            patterns = few_document_patterns(left, length, slack)
+            if len(patterns):
+                repeats, off = fitted(left, patterns, length)
+                if off <= MISFIT * left.sum():
+                    break
+            if slack >= length:
+                break
+            slack = min(length, max(1, 3 * slack))
+        whole = np.floor(repeats + 1e-6).astype(np.int64)
+        if (whole * (patterns > 0).sum(1)).sum() < 0.2 * left.sum():
+            whole += np.diff(np.floor(np.cumsum(repeats - whole) + 0.5), prepend=0).astype(np.int64)
+        before, some = int(left.sum()), np.flatnonzero(whole)
+        for i in some[np.argsort(-repeats[some], kind="stable")].tolist():
+            pattern = tuple(v for v in patterns[i].tolist() if v)
+            n = min(int(whole[i]), *(int(left[v]) // pattern.count(v) for v in pattern))
             if n > 0:
-                for v in p:
+                for v in pattern:
                     left[v] -= n
-                by_patterns.append((p, n))
-    by_patterns += best_fit(left, length)
-    size = lambda plan: sum(n for _, n in plan)
-    return out + (by_patterns if size(by_patterns) <= size(whole) else whole)  # the patterns must not cost a sequence
+                out.append((pattern, n))
+        if before - left.sum() < 0.05 * before:
+            break
+    return out + best_fit(left.tolist(), length)
 
 
 def places(plan: list[tuple[tuple[int, ...], int]], length: int = LENGTH) -> tuple[np.ndarray, ...]:

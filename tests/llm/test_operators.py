@@ -343,10 +343,49 @@ def test_plan_uses_up_all_lengths():
 
 
 def test_fitted_repeats_solve_least_squares():
-    counts = np.zeros(11)
+    counts = np.zeros(11, np.int64)
     counts[[4, 6, 5]] = 7, 7, 4
-    x = packing.fitted(counts, [(6, 4), (5, 5)], sweeps=50)
-    assert np.allclose(x, [7, 2])
+    patterns = np.array([[6, 4, 0, 0], [5, 5, 0, 0], [5, 0, 0, 0]])
+    x, off = packing.fitted(counts, patterns, 10)
+    assert np.allclose(x, [7, 2, 0], atol=0.05) and off < 0.2
+
+
+def test_patterns_are_those_of_the_lengths():
+    counts = np.zeros(21, np.int64)
+    counts[[12, 8, 5, 3, 4]] = 3, 1, 1, 9, 0
+    rows = {tuple(v for v in r if v) for r in packing.few_document_patterns(counts, 20, 20).tolist()}
+    assert {(12, 8), (12, 5, 3), (8, 5, 3, 3), (12,), (3, 3, 3, 3)} <= rows and (8, 8) not in rows and not any(4 in r for r in rows)
+    assert {tuple(v for v in r if v) for r in packing.few_document_patterns(counts, 20, 0).tolist()} == {(12, 8), (12, 5, 3)}
+
+
+def _histogram(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/{folder}/documents.parquet")
+    return {r["length"]: r["n"] for r in packing.pieces(docs).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def test_patterns_place_the_pieces(spark):
+    """On given tables and their multiples, fitted patterns place nearly all pieces and cost at most a sequence in 500 more than plain
+    best fit does, on most of them less."""
+    gain = 0
+    for folder, times in (("sf0.001", 1), ("sf0.001", 10), ("sf0.01", 10)):
+        counts = {v: n * times for v, n in _histogram(spark, folder).items()}
+        left = [0] * 1025
+        for v, n in counts.items():
+            left[v] = n
+        plain = sum(n for _, n in packing.best_fit(left, 1024))
+        plan = packing.planned(counts)
+        used = Counter()
+        for p, n in plan:
+            for v in p:
+                used[v] += n
+        assert used == counts and all(sum(p) <= 1024 for p, _ in plan)
+        size = sum(n for _, n in plan)
+        assert size <= 1.002 * plain + 0.5, (folder, times, size, plain)
+        assert sum(len(p) * n for p, n in plan if len(p) <= 4) >= 0.97 * sum(counts.values())
+        gain += plain - size
+    assert gain > 0
 
 
 # --- mixing

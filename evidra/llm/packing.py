@@ -134,7 +134,7 @@ def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> np.nda
     return rows[np.lexsort((length - rows.sum(1), -rows[:, 1], -rows[:, 0]))]
 
 
-def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float = 0.5, steps: int = 300) -> tuple[np.ndarray, float]:
+def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float = 0.5, steps: int = 600) -> tuple[np.ndarray, float]:
     """Repeats of each pattern, not negative, with the least sum of squared differences from the counts, plus a small cost
     of what patterns leave empty; and the sum of the differences. Projected gradient steps with momentum, until the
     differences are small or no longer fall."""

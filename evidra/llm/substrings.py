@@ -2,15 +2,21 @@
 
 Words are runs of characters other than space and U+0009 to U+000D. Every document is indexed by blocks of BLOCK words
 that its own content picks: of each window of WINDOW words, the block with the smallest hash. Equal windows pick equal
-blocks, so a window that stands in two documents has a block that the index holds for both. Each document is then
-parsed: a factor starts at a window whose block another document has and whose words stand in a document with a smaller
-id, and grows word by word as long as its last WINDOW words do; every window at its two ends is looked up, so it stops
-at the very word where the match does. Words in factors go.
+blocks, so passages that two documents share have their inner blocks, and the links from each block to the next, in
+common. The index keeps, for each link, the place where the smallest id has it.
+
+A document is parsed greedily: a factor (first word, end, reference document, place there) starts at a link whose
+reference has a smaller id and grows link by link as long as the reference goes on at the same distance. Words are compared by
+128-bit hashes of whole links. Factors so end at block borders; all windows of WINDOW words that hold a shared block and lie
+within no single factor, so those across every factor's two ends, are looked up by 128-bit hash, with the smallest id and
+place that has them. They extend factors of the same reference word by word to their true ends, or make factors of their own.
+Factors of WINDOW words or more go.
 
 Windows are judged on the input. Documents with equal words are one: all but the smallest id lose everything (if they
 have WINDOW words), and only that one is indexed. Null and empty texts have no words and lose none, like all documents
-of fewer than WINDOW words. Rows that repeat an id and its text have equal results; a row without an id is compared with
-nothing. An empty table gives an empty result; extra columns don't matter. Windows are compared by 64-bit hashes."""
+of fewer than WINDOW words. Rows that repeat an id and its text have equal results; of rows that repeat an id with other texts,
+each is parsed for itself, and neither is the other's reference. A row without an id is compared with nothing. An empty
+table gives an empty result; extra columns don't matter."""
 
 from __future__ import annotations
 
@@ -45,89 +51,159 @@ def _digest(ws: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(ws)).hexdigest()
 
 
+def _two(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word; runs hashed by both have 128 bits."""
+    h = words.hashes(ws)
+    return h, words.mixed(h + np.uint64(0x5851F42D4C957F2D))
+
+
+def _runs(h: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """A 128-bit hash of each run of words, wherever it stands: from sums over the text, each word weighed by a power of its
+    place, and the start's power divided out."""
+    n = len(h[0])
+    ones = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate((ones, np.full(n, words.FACTOR, np.uint64))), dtype=np.uint64)
+    inverse = np.cumprod(np.concatenate((ones, np.full(n, pow(words.FACTOR, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+    found = np.empty((len(starts), 2), np.uint64)
+    for k, x in enumerate(h):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[:-1], dtype=np.uint64)))
+        found[:, k] = words.mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    raw = found.tobytes()
+    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+
+
 def _indexed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], [], [], []]
     for text in batch.column(1).to_pylist():
         ws = words.split(text)
         joined = b" ".join(ws)
-        blocks, at = chosen_blocks(words.hashes(ws)) if len(ws) >= WINDOW else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        places = np.unique(at)
-        for column, v in zip(out, (len(ws), xxhash.xxh3_128_digest(joined), hashlib.sha256(joined).digest(), blocks[places].view(np.int64), places.astype(np.int32)), strict=True):
+        blocks, places, links = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        if len(ws) >= WINDOW:
+            h = _two(ws)
+            blocks, at = chosen_blocks(h[0])
+            places = np.unique(at)
+            links = _runs(h, places[:-1], places[1:] + BLOCK)
+        for column, v in zip(out, (len(ws), xxhash.xxh3_128_digest(joined), hashlib.sha256(joined).digest(), blocks[places].view(np.int64), places.astype(np.int32), links), strict=True):
             column.append(v)
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "same", "kept", "blocks", "places"])
-
-
-def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    starts, found = [], []
-    for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-        h = words.hashes(words.split(text))
-        at = np.flatnonzero(np.isin(chosen_blocks(h)[1], np.array(places, np.int64)))
-        starts.append(at.astype(np.int32)), found.append(words.mixed(words.rolling(h, WINDOW)[at]).view(np.int64))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text", "starts", "windows"])
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "same", "kept", "blocks", "places", "links"])
 
 
-def factors(starts: list[int]) -> list[tuple[int, int]]:
-    """(first word, end word) of the factors that looked-up windows make."""
+def grown(links: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first word, end, reference document, place there) of the factors of a document's links (the same four each), greedily:
+    a factor takes the next link that its reference goes on with."""
     out: list[list[int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + WINDOW)
+    open_: dict[tuple[int, int], int] = {}  # reference and distance: its last factor
+    for start, end, doc, place in sorted(links):
+        k = open_.get((doc, place - start))
+        if k is not None and start <= out[k][1]:
+            out[k][1] = max(out[k][1], end)
         else:
-            out.append([s, s + WINDOW])
-    return [(a, b) for a, b in out]
+            open_[doc, place - start] = len(out)
+            out.append([start, end, doc, place])
+    return [tuple(f) for f in out]
 
 
-def duplicate_starts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(every document's counts and hash of its words, texts of documents that share a block with another, and the
-    starts of their windows that a document with a smaller id has)."""
-    session(docs.sparkSession)
-    texts = id_text(docs)
-    indexed = written(map_batches(texts, _indexed, "doc_id long, n_words long, same binary, kept binary, blocks array<long>, places array<int>"))
-    first = written(indexed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+def open_windows(n: int, at: np.ndarray, shared: np.ndarray, factors: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Starts of the windows whose picked block (at) is shared and that lie within no single factor."""
+    todo = np.isin(at, shared)
+    for start, end, _, _ in factors:
+        todo[start : max(start, end - WINDOW + 1)] = False
+    return np.flatnonzero(todo)
+
+
+_FACTORS = "array<struct<start:int,end:int,doc:bigint,place:int>>"
+
+
+def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of rows (doc_id, text, same, places, links): the links' factors and the windows to look up; rows whose text is another
+    one of the same id give nothing."""
+    out: list[list] = [[], [], [], [], [], []]
+    rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+    for doc, text, same, places, links in rows:
+        ws = words.split(text)
+        if xxhash.xxh3_128_digest(b" ".join(ws)) != same:
+            continue
+        h = _two(ws)
+        factors = grown([(x["start"], x["end"], x["doc"], x["place"]) for x in links or []])
+        starts = open_windows(len(ws), chosen_blocks(h[0])[1], np.array(places, np.int64), factors)
+        pairs = [words.mixed(words.rolling(x, WINDOW)[starts]).view(np.int64) for x in h]
+        for column, v in zip(out, (doc, same, [dict(zip(("start", "end", "doc", "place"), f, strict=True)) for f in factors], starts.astype(np.int32), *pairs), strict=True):
+            column.append(v)
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("doc", pa.int64()), ("place", pa.int32())])), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "same", "factors", "starts", "w1", "w2"])
+
+
+def factors(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every row's counts and hash of its words; the factors of documents that have some, by doc_id and same).
+
+    Two looks at the index: links first, then only the windows that these leave open."""
+    session(table.sparkSession)
+    texts = id_text(table)
+    indexed = written(map_batches(texts, _indexed, "doc_id long, n_words long, same binary, kept binary, blocks array<long>, places array<int>, links array<binary>"))
+    first = written(indexed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first"))
     # copies are few or many; only those whose words another document has need a look at which is the first
-    every = indexed.select("doc_id", "n_words", "same", "kept").join(first, "same", "left").select("doc_id", "n_words", "kept", (F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("copy"))
-    every = written(every)
-    alone = indexed.join(first, "same", "left").where("doc_id is not null and (first is null or first = doc_id)")
-    blocks = written(alone.select("doc_id", F.explode(F.arrays_zip("blocks", "places")).alias("b")).select("doc_id", F.col("b.blocks").alias("block"), F.col("b.places").alias("place")))
+    every = written(indexed.select("doc_id", "n_words", "same", "kept").join(first, "same", "left").select("doc_id", "n_words", "same", "kept", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")))
+    alone = indexed.where("doc_id is not null and size(places) > 0").join(first, "same", "left").where("first is null or first = doc_id").dropDuplicates(["doc_id", "same"])
+    runs = F.arrays_zip("blocks", "places", F.slice("places", 2, F.size("places")).alias("next"), "links")
+    blocks = written(alone.select("doc_id", "same", F.explode(runs).alias("b")).select("doc_id", "same", F.col("b.blocks").alias("block"), F.col("b.places").alias("place"), (F.col("b.next") + BLOCK).cast("int").alias("end"), F.col("b.links").alias("link")))
     shared = written(blocks.groupBy("block").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("block"))
-    places = blocks.join(shared, "block", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    once = texts.join(places, "doc_id").select("doc_id", "text", "places")
-    looked = written(map_batches(once, _windows, "doc_id long, text string, starts array<int>, windows array<long>"))
-    windows = looked.select("doc_id", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("doc_id", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
-    least = written(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"))
-    again = windows.join(least, "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return every, looked.select("doc_id", "text"), again
+    inside = written(blocks.join(shared, "block", "left_semi"))
+    least = written(inside.where("link is not null").groupBy("link").agg(F.min(F.struct("doc_id", "place")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").select("link", "ref"))
+    found = inside.join(least, "link").where("ref.doc_id < doc_id").groupBy("doc_id", "same").agg(F.collect_list(F.struct(F.col("place").alias("start"), "end", F.col("ref.doc_id").alias("doc"), F.col("ref.place").alias("place"))).alias("links"))
+    places = inside.groupBy("doc_id", "same").agg(F.collect_list("place").alias("places")).join(found, ["doc_id", "same"], "left")
+    looked = written(map_batches(texts.join(places, "doc_id").select("doc_id", "text", "same", "places", F.col("links").cast(_FACTORS).alias("links")), _windows, f"doc_id long, same binary, factors {_FACTORS}, starts array<int>, w1 array<long>, w2 array<long>"))
+    windows = looked.select("doc_id", "same", F.explode(F.arrays_zip("w1", "w2", "starts")).alias("w")).select("doc_id", "same", "w.w1", "w.w2", F.col("w.starts").alias("start"))
+    sources = written(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").select("w1", "w2", "ref"))
+    hits = windows.join(sources, ["w1", "w2"]).where("ref.doc_id < doc_id").select("doc_id", "same", F.struct("start", (F.col("start") + WINDOW).cast("int").alias("end"), F.col("ref.doc_id").alias("doc"), F.col("ref.start").alias("place")).alias("f"))
+    long_ones = looked.select("doc_id", "same", F.explode("factors").alias("f")).where(F.col("f.end") - F.col("f.start") >= WINDOW)
+    return every, hits.unionByName(long_ones).groupBy("doc_id", "same").agg(F.collect_set("f").alias("found"))
+
+
+def covered(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """(first word, end) of what factors cover."""
+    out: list[list[int]] = []
+    for start, end, *_ in sorted(found):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out]
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space); with_text: and that text."""
-    every, texts, starts = duplicate_starts(docs)
-    cut = texts.join(starts, "doc_id")
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one space); with_text: and that text and the
+    factors that went (first word, end, reference document, place there)."""
+    every, parsed = factors(docs)
+    texts = id_text(docs)
 
-    def parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, digest, kept_text = [], [], []
-        for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], [], []]
+        for doc, text, same, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             ws = words.split(text)
+            if xxhash.xxh3_128_digest(b" ".join(ws)) != same:  # another text of the same id
+                continue
+            gone = grown([(x["start"], x["end"], x["doc"], x["place"]) for x in found])
             kept, last = [], 0
-            for a, b in factors(at):
+            for a, b in covered(gone):
                 kept += ws[last:a]
                 last = b
             kept += ws[last:]
-            n.append(len(ws) - len(kept)), digest.append(_digest(kept)), kept_text.append(b" ".join(kept).decode("utf-8", "surrogatepass") if with_text else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+            for column, v in zip(out, (doc, same, len(ws) - len(kept), _digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if with_text else None, [dict(zip(("start", "end", "doc", "place"), f, strict=True)) for f in gone] if with_text else None), strict=True):
+                column.append(v)
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("doc", pa.int64()), ("place", pa.int32())])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "same", "n_removed", "kept_sha256", "kept_text", "factors"])
 
-    shorter = written(map_batches(cut, parsed, "doc_id long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id"]))
+    shorter = written(map_batches(texts.join(parsed, "doc_id").select("doc_id", "text", "same", "found"), cut, f"doc_id long, same binary, n_removed long, kept_sha256 string, kept_text string, factors {_FACTORS}").dropDuplicates(["doc_id", "same"]))
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
     empty = hashlib.sha256(b"").hexdigest()
-    out = every.join(shorter, "doc_id", "left").select(
+    return every.join(shorter, ["doc_id", "same"], "left").select(
         "doc_id",
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("kept")))).alias("kept_sha256"),
-        *([F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
+        *([F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "factors"] if with_text else []),
     )
-    return out
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,8 @@ import xxhash
 
 #: Words that a worker keeps the hashes of, at most.
 KEPT_WORDS = 100_000
-_FACTOR = 0x9E3779B97F4A7C15
+#: Odd, so that it can be divided out.
+FACTOR = 0x9E3779B97F4A7C15
 
 
 class _Hashes(dict):
@@ -43,11 +44,11 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
                 out, done = power, n
             else:
                 m = len(h) - done - n + 1
-                out, done = out[:m] * np.uint64(pow(_FACTOR, n, 1 << 64)) + power[done : done + m], done + n
+                out, done = out[:m] * np.uint64(pow(FACTOR, n, 1 << 64)) + power[done : done + m], done + n
         if done == k:
             return out
         m = len(power) - n
-        power = power[:m] * np.uint64(pow(_FACTOR, n, 1 << 64)) + power[n : n + m]
+        power = power[:m] * np.uint64(pow(FACTOR, n, 1 << 64)) + power[n : n + m]
         n *= 2
 
 

@@ -527,6 +527,47 @@ def test_passages_of_all_lengths_and_places(spark):
     assert {i: tuple(r[1:]) for i, r in rows_by_id(substrings.dedup(docs)).items()} == _plain_substrings(dict(enumerate(texts)))
 
 
+def test_repeated_ids_lose_only_what_others_have(spark):
+    """Rows of one id with different texts: what stands nowhere else stays, and neither is the other's reference."""
+    rng = random.Random(4)
+    text = lambda: [rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(80)]
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + c), (3, c), (4, c[:60])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup(docs).collect())
+    assert got == sorted([(1, 80, 0), (2, 80, 80), (2, 80, 0), (2, 80, 0), (3, 160, 80), (3, 80, 0), (4, 60, 60)])
+
+
+def test_factors_are_matches(small, texts, spark):
+    """Each factor's words stand at its reference's place, in a document with a smaller id; factors of one reference that
+    meet are one; and all that a plain parser finds is covered."""
+    rng = random.Random(21)
+    shared = [f"p{i}" for i in range(300)]
+    made = {k: " ".join([f"u{k}_{j}" for j in range(rng.randint(0, 70))] + shared[(at := rng.randint(0, 150)) : at + rng.randint(45, 150)] + [f"v{k}_{j}" for j in range(rng.randint(0, 70))] + shared[:60] * rng.randint(0, 1)) for k in range(40)}
+    for table in (texts, made):
+        docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+        ws = {i: WORD.findall(t) for i, t in table.items()}
+        want = _plain_substrings(table)
+        n = 0
+        for r in substrings.dedup(docs, with_text=True).collect():
+            seen = set()
+            for f in r.factors or []:
+                n += 1
+                assert f.end - f.start >= 50 and f.doc < r.doc_id and ws[r.doc_id][f.start : f.end] == ws[f.doc][f.place : f.place + f.end - f.start]
+                seen.update(range(f.start, f.end))
+            assert r.n_removed == want[r.doc_id][1] and (not r.factors or len(seen) == r.n_removed)
+            for x in r.factors or []:
+                assert not any(x is not y and (x.doc, x.place - x.start) == (y.doc, y.place - y.start) and x.start <= y.start <= x.end for y in r.factors)
+        assert n > 0
+
+
+def test_run_hashes_do_not_depend_on_place():
+    ws = [b"a", b"b", b"c", b"d"]
+    x = substrings._runs(substrings._two(ws * 3), np.array([0, 4, 8, 1, 0]), np.array([4, 8, 12, 4, 3]))
+    y = substrings._runs(substrings._two([b"z", *ws]), np.array([1]), np.array([5]))
+    assert x[0] == x[1] == x[2] == y[0] and len({x[0], x[3], x[4]}) == 3
+
+
 def test_rolling_hashes():
     h = words.hashes([b"a", b"b", b"a", b"b", b"c", b"a", b"b"])
     for k in range(1, 8):

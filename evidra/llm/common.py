@@ -13,14 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to a Python worker: bounds a worker's memory by its longest texts.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: A table of more bytes than this for each core isn't dealt out anew.
+SPREAD_BYTES = 64 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches of this session and send this package to its executors, once; every operator calls it
     before it plans Python work."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not getattr(sc, "_evidra_sent", False):
         root = Path(__file__).resolve().parents[1]
@@ -45,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -58,7 +63,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Apply a function of one Arrow batch to each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,9 +74,12 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer: a small table in one file would keep one core busy.
-    Tables of any size have more partitions than that, and stay as they are."""
+    """df in as many partitions as there are cores, if it has fewer and is small: a small table in one file would keep one
+    core busy. Tables of more than SPREAD_BYTES for each core stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -15,11 +15,11 @@ have SMALL shingles or more, the share of equal registers, less what equal regis
 not be below the similarity by more than MARGIN, either; smaller sets go straight to the exact check.
 
 Documents with equal sets are one class from the start, however many they are. Each class is first compared with the
-smallest id of each of its bands; the links found join classes to groups. Bands that still hold several groups are
+first one of each of its bands; the links found join classes to groups. Bands that still hold several groups are
 then compared in blocks of bounded size: only classes of different groups whose sizes allow a link, without regard to
 which is the smallest. So no band's pairs are written out, and no link that a band shows is lost.
 
-Repeated rows have equal results; a null doc_id is linked with nothing; an empty table gives an empty result; extra
+Repeated rows have equal results; rows that repeat an id with another text are one document with all their links; a null doc_id is linked with nothing; an empty table gives an empty result; extra
 columns don't matter. Texts of any length are read whole."""
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ REGISTERS = ROWS * BANDS
 MARGIN = 0.15
 #: Pairs with a set of fewer shingles are confirmed whatever their estimate, as borrowed registers move it far.
 SMALL = 256
-#: Classes of one block of a group of bands.
-BLOCK = 256
+#: Classes of one part of a tier, and their shingles.
+BLOCK, SHINGLES = 128, 2_000_000
 _TRIES = 64
 _BORROW = np.random.default_rng(7).integers(0, REGISTERS, (_TRIES, REGISTERS))  # whose register an empty one looks at
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -179,19 +179,28 @@ def groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     session(docs.sparkSession)
     texts = id_text(docs)
     signed = written(map_batches(texts, lambda b: _signed(b, shingle), "doc_id long, n_shingles long, same binary, registers binary"))
-    classes = written(
-        signed.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"))
-    )
-    links = written(_links(texts, classes, shingle, percent))
-    found = components(links).select(F.col("node").alias("id"), "component")
-    labels = written(classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("label")))
+    some = signed.where("same is not null and doc_id is not null")
+    classes = some.groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))  # a class's number; stays as written
+    links = written(_links(texts, classes, shingle, percent).union(_shared_ids(some, classes)))
+    found = written(classes.select("id", "same", "doc").join(components(links).select(F.col("node").alias("id"), "component"), "id"))
+    least = found.groupBy("component").agg(F.min("doc").alias("label"))
+    known = found.join(least, "component").select("same", "label")
+    labels = written(classes.select("same", "doc").join(known, "same", "left").select("same", F.coalesce("label", "doc").alias("label")))
     out = signed.select("doc_id", "n_shingles", "same").join(labels, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _shared_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) classes that are one document's: those of the rows that repeat an id with another set."""
+    repeated = some.groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("doc_id")
+    held = some.join(repeated, "doc_id").select("doc_id", "same").distinct().join(classes.select("same", "id"), "same")
+    return held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+
+
 def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) ids of classes that are linked: enough of them to connect all that links connect."""
+    """(a, b) classes that are linked: enough of them to connect all that links connect."""
     bands = written(map_batches(classes.select("id", "size", "registers"), _band_rows, "band long, id long, size long"))
     first = written(bands.groupBy("band").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.col("first.id").alias("first"), F.col("first.size").alias("first_size")))
     members = written(bands.join(first, "band"))
@@ -208,7 +217,8 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
 
     likely = written(map_batches(pairs, near, "id long, first long"))
     wanted = members.select("id").distinct()
-    sets = written(map_batches(texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id"), lambda b: _sets(b, shingle), "id long, members binary").dropDuplicates(["id"]))
+    wanted = wanted.join(classes.select("id", "same", F.col("doc").alias("doc_id")), "id")
+    sets = written(map_batches(texts.join(wanted, "doc_id").select("id", "same", "text"), lambda b: _sets(b, shingle), "id long, members binary").dropDuplicates(["id"]))
     both = likely.join(sets.select("id", F.col("members").alias("x")), "id").join(sets.select(F.col("id").alias("first"), F.col("members").alias("y")), "first").select("id", "first", "x", "y")
     links = written(both.mapInArrow(lambda it: _pair_links(it, percent), "a long, b long"))
 
@@ -220,21 +230,27 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
     family = written(known.join(firsts, "band").select("family", "id", "size", "grp").distinct())
     step = float(-np.log(percent / 100) + 1e-9) if percent < 100 else 1.0
     family = family.withColumn("tier", F.floor(F.log(F.col("size").cast("double")) / F.lit(step)).cast("long"))  # linked sizes differ by one tier at most
-    tiers = family.groupBy("family", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-    # a tier meets itself and the next one, part by part; parts hold BLOCK classes or so
-    here = tiers.select("family", "tier", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"), "lo", "hi")
-    upper = here.select("family", (F.col("tier") - 1).alias("tier"), F.col("parts").alias("next_parts"), F.col("lo").alias("next_lo"), F.col("hi").alias("next_hi"))
-    lower = here.select("family", (F.col("tier") + 1).alias("tier"), F.col("parts").alias("prev_parts"), F.col("lo").alias("prev_lo"), F.col("hi").alias("prev_hi"))
-    around = written(here.join(upper, ["family", "tier"], "left").join(lower, ["family", "tier"], "left"))  # so that a hot tier's join can be split
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    placed = family.join(around, ["family", "tier"]).withColumn("part", part)
-    none = F.array().cast("array<struct<tier:bigint,p:bigint,kind:int,q:bigint>>")
-    own = F.when(F.col("lo") != F.col("hi"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.col("tier").alias("tier"), F.least("part", k).alias("p"), F.lit(0).alias("kind"), F.greatest("part", k).alias("q")))).otherwise(none)
-    up = F.when(F.col("next_parts").isNotNull() & ((F.least("lo", "next_lo") != F.greatest("hi", "next_hi"))), F.transform(F.sequence(F.lit(0).cast("long"), F.col("next_parts") - 1), lambda k: F.struct(F.col("tier").alias("tier"), F.col("part").alias("p"), F.lit(1).alias("kind"), k.alias("q")))).otherwise(none)
-    down = F.when(F.col("prev_parts").isNotNull() & ((F.least("lo", "prev_lo") != F.greatest("hi", "prev_hi"))), F.transform(F.sequence(F.lit(0).cast("long"), F.col("prev_parts") - 1), lambda k: F.struct((F.col("tier") - 1).alias("tier"), k.alias("p"), F.lit(1).alias("kind"), F.col("part").alias("q")))).otherwise(none)
-    met = placed.select("family", "id", "size", "grp", F.col("tier").alias("own_tier"), "part", F.explode(F.concat(own, up, down)).alias("m"))
-    met = met.select("family", "m.*", "id", "size", "grp", "own_tier", "part").join(regs, "id")
-    key = ["family", "tier", "p", "kind", "q"]
+    # a tier's large groups have parts of their own, the small ones share parts; parts hold about BLOCK classes and SHINGLES shingles
+    load = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / SHINGLES)).cast("long")
+    spans = family.groupBy("family", "tier", "grp").agg(load.alias("own"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
+    large = written(spans.where("own > 1"))
+    rest = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("m") / SHINGLES)).cast("long")
+    small = written(spans.where("own = 1").groupBy("family", "tier").agg(rest.alias("shared")))
+    placed = family.join(large.select("family", "tier", "grp", "own"), ["family", "tier", "grp"], "left").join(small, ["family", "tier"], "left")
+    placed = placed.withColumn("of", F.when(F.col("own").isNotNull(), F.col("grp")).otherwise(-1)).withColumn("part", F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id"), "own")).otherwise(F.pmod(F.xxhash64("grp"), "shared")))
+    where = ["family", "tier", "of", "part"]
+    placed = written(placed.select(*where, "id", "size", "grp"))
+    parts = written(placed.groupBy(*where).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).withColumn("x", F.monotonically_increasing_id()))
+    # part pairs of one tier or of neighbouring ones, but those of one and the same group, before any registers move
+    other = parts.select("family", F.col("x").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), "tier")
+    same_tier = parts.join(other, ["family", "tier"]).where("x <= y")
+    next_tier = parts.join(other.withColumn("tier", F.col("tier") - 1), ["family", "tier"])
+    pairs = written(same_tier.unionByName(next_tier).where("least(lo, lo_y) <> greatest(hi, hi_y)").select("x", "y"))
+    in_part = placed.join(parts.select(*where, "x"), where).select(F.col("x").alias("at"), "id", "size", "grp")
+    left = in_part.join(pairs, in_part.at == pairs.x).select("x", "y", F.lit(0).alias("side"), "id", "size", "grp")
+    right = in_part.join(pairs.where("x <> y"), in_part.at == F.col("y")).select("x", "y", F.lit(1).alias("side"), "id", "size", "grp")
+    met = left.unionByName(right).join(regs, "id")
+    key = ["x", "y"]
 
     def likely_in_block(pdf):
         left, right = _sides(pdf)
@@ -242,9 +258,9 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
         used = np.zeros(len(pdf), bool)
         for i, js in _block_candidates(regs_, pdf["size"].to_numpy(), pdf["grp"].to_numpy(), left, right, percent):
             used[i] = used[js] = True
-        return pdf.iloc[np.flatnonzero(used)][[*key, "id", "size", "grp", "own_tier", "part", "registers"]]
+        return pdf.iloc[np.flatnonzero(used)][[*key, "side", "id", "size", "grp", "registers"]]
 
-    kinds = "family long, tier long, p long, kind int, q long, id long, size long, grp long, own_tier long, part long, registers binary"
+    kinds = "x long, y long, side int, id long, size long, grp long, registers binary"
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks cost time, not bytes: as many tasks as the cluster is set to
     some = written(met.repartition(n, *key).groupBy(*key).applyInPandas(likely_in_block, kinds))
 
@@ -268,20 +284,22 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
 
 
 def _sides(pdf) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a block's two sides: two tiers, two parts of one tier, or one part with itself."""
+    """Places of a block's two sides: two parts, or one part with itself."""
     at = np.arange(len(pdf))
-    kind, p, q = int(pdf["kind"].iloc[0]), pdf["p"].iloc[0], pdf["q"].iloc[0]
-    if kind:
-        low = (pdf["own_tier"] == pdf["tier"]).to_numpy()
-        return at[low], at[~low]
-    if p == q:
+    if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
         return at, at
-    first = (pdf["part"] == p).to_numpy()
-    return at[first], at[~first]
+    left = (pdf["side"] == 0).to_numpy()
+    return at[left], at[~left]
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "members"])
+    """Sets of rows (id, same, text); rows whose set is another one of the same document give nothing."""
+    ids, members = [], []
+    for i, same, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        raw = shingles(text, n).tobytes()
+        if xxhash.xxh3_128_digest(raw) == same:
+            ids.append(i), members.append(raw)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], names=["id", "members"])
 
 
 ORACLE_SQL = r"""

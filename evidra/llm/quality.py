@@ -102,21 +102,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[boosting.Trees, float]:
     return trees, threshold
 
 
-def score(docs: DataFrame, model: tuple[boosting.Trees, float], keep: str = "") -> DataFrame:
-    """doc_id, the counts, base_failed, quality (probability of being good) and kept; keep: further columns of docs
-    that stay, comma-separated."""
+def _judged(texts: list, model: tuple[boosting.Trees, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, whether the fixed rules fail, probabilities of being good, and verdicts."""
     trees, threshold = model
+    found = [statistics(t or "") for t in texts]
+    counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
+    prob = trees.probability(np.array([f for _, f in found]).reshape(-1, len(FEATURES)))
+    failed = np.array([fails_rules(c[0], c[4]) for c, _ in found], bool)
+    return counts, failed, prob, ~failed & (prob >= threshold)
+
+
+def score(docs: DataFrame, model: tuple[boosting.Trees, float]) -> DataFrame:
+    """doc_id, the counts, base_failed, quality_score (probability of being good) and kept."""
     session(docs.sparkSession)
-    more = [c for c in keep.split(",") if c]
-    rows = spread(docs.select(*more) if "text" in more else docs.select(*more, "text"))
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [statistics(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
-        prob = trees.probability(np.array([f for _, f in found]).reshape(-1, len(FEATURES)))
-        failed = np.array([fails_rules(c[0], c[4]) for c, _ in found], bool)
-        columns = {c: batch.column(i) for i, c in enumerate(more)} | {c: pa.array(counts[:, i]) for i, c in enumerate(COUNTS)}
-        return pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "quality_score": pa.array(prob), "kept": pa.array(~failed & (prob >= threshold))})
-
-    kinds = dict(docs.select(*more).dtypes)
-    return map_batches(rows, scored, ", ".join([f"`{c}` {kinds[c]}" for c in more] + [f"{c} long" for c in COUNTS] + ["base_failed boolean", "quality_score double", "kept boolean"]))
+        counts, failed, prob, kept = _judged(batch.column(1).to_pylist(), model)
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {c: pa.array(counts[:, i]) for i, c in enumerate(COUNTS)} | {"base_failed": pa.array(failed), "quality_score": pa.array(prob), "kept": pa.array(kept)})
+
+    return map_batches(id_text(docs), scored, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality_score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: tuple[boosting.Trees, float]) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns and whatever these are called."""
+    session(docs.sparkSession)
+    at = docs.columns.index("text")
+    return map_batches(spread(docs), lambda b: b.filter(pa.array(_judged(b.column(at).to_pylist(), model)[3])), docs.schema)

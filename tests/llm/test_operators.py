@@ -55,7 +55,7 @@ def _apply(name, docs, labels, model, net):
         "plan": lambda: mixing.plan(docs),
         "mix": lambda: mixing.mix(docs),
         "substrings": lambda: substrings.dedup(docs, with_text=True),
-        "quality": lambda: quality.score(docs, quality.fit(docs, labels), "doc_id"),
+        "quality": lambda: quality.score(docs, quality.fit(docs, labels)),
         "secrets": lambda: secrets.scan(docs, net),
     }[name]()
 
@@ -582,7 +582,7 @@ def test_rolling_hashes():
 
 
 def test_quality_statistics_match_contract(small, texts, labels):
-    rows = rows_by_id(quality.score(small, quality.fit(small, labels), "doc_id"))
+    rows = rows_by_id(quality.score(small, quality.fit(small, labels)))
     for i, t in texts.items():
         ws = WORD.findall(t)
         grams = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
@@ -598,7 +598,7 @@ def test_quality_statistics_match_contract(small, texts, labels):
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     fit_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    got = quality.score(docs, quality.fit(docs, fit_on), "doc_id").join(held, "doc_id").where("not base_failed").collect()
+    got = quality.score(docs, quality.fit(docs, fit_on)).join(held, "doc_id").where("not base_failed").collect()
     good, bad = [r for r in got if r.quality], [r for r in got if not r.quality]
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(not r.kept for r in bad) >= 0.7 * len(bad)
 

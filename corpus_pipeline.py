@@ -17,7 +17,7 @@ SHINGLE, PERCENT = 5, 80
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and trees keep."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=",".join(docs.columns)).where("kept").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

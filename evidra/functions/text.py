@@ -65,17 +65,16 @@ def margin_key(line: Column) -> Column:
 def heading(line: Column) -> Column:
     """struct(kind, number, label) of a heading line, or null: Markdown, numbered, or annex and appendix lines."""
     t = trim_ends(line)
-    markdown = F.regexp_extract(t, r"^(#+)(?: |$)", 1)
     label = trim_ends(F.regexp_replace(t, r"^#+", ""))
-    number = F.regexp_extract(t, r"^([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.? +", 1)
-    title = trim_ends(F.regexp_replace(t, r"^[0-9.]+ +", ""))
-    plain = (F.octet_length(t) >= 3) & (F.octet_length(t) <= 120) & ~F.substring(t, -1, 1).isin(".", ",", ";", ":")
-    numbered = plain & (number != "") & title.rlike(r"^\p{Lu}") & (F.size(tokens(title)) <= 14)
-    annex = plain & t.rlike(r"^(Annex|Appendix|ANNEX|APPENDIX)( |$)")
+    markdown = t.rlike(r"^#[# ]") & (label != "")
+    number = F.regexp_extract(t, rf"^([0-9]{{1,2}}(?:\.[0-9]{{1,2}}){{0,5}})\.?{_SPACE}+", 1)
+    annex = t.rlike(rf"^(Annex|Appendix|ANNEX|APPENDIX){_SPACE}")
+    title = trim_ends(F.regexp_replace(t, rf"^(?:[0-9.]+|Annex|Appendix|ANNEX|APPENDIX){_SPACE}+", ""))
+    plain = (F.octet_length(t) >= 3) & (F.octet_length(t) <= 120) & ~F.substring(t, -1, 1).isin(".", ",", ";", ":") & title.rlike(r"^\p{Lu}") & (F.size(tokens(title)) <= 14)
     return (
-        F.when(markdown != "", F.struct(F.lit("markdown").alias("kind"), F.length(markdown).cast("string").alias("number"), label.alias("label")))
-        .when(numbered, F.struct(F.lit("numbered").alias("kind"), number.alias("number"), F.concat(number, F.lit(" "), title).alias("label")))
-        .when(annex, F.struct(F.lit("annex").alias("kind"), F.lit("").alias("number"), t.alias("label")))
+        F.when(markdown, F.struct(F.lit("markdown").alias("kind"), F.length(F.regexp_extract(t, "^(#+)", 1)).cast("string").alias("number"), label.alias("label")))
+        .when(plain & (number != ""), F.struct(F.lit("numbered").alias("kind"), number.alias("number"), F.concat(number, F.lit(" "), title).alias("label")))
+        .when(plain & annex, F.struct(F.lit("annex").alias("kind"), F.lit("").alias("number"), t.alias("label")))
     )
 
 

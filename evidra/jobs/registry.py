@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.jobs import contract_queries
 from evidra.operators import chunks, graph, pages, search
 from evidra.sources.tables import spread, table, written
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = dict(contract_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(contract_queries.ORACLE_SQL)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +138,10 @@ def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
 t AS (SELECT doc_id, line, regexp_replace(regexp_replace(x, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '') AS t FROM lines),
-p AS (SELECT *, regexp_extract(t, '^(#+)(?: |$)', 1) AS md, regexp_extract(t, '^([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.? +', 1) AS num, regexp_replace(t, '^[0-9.]+ +', '') AS title,
-  octet_length(encode(t)) BETWEEN 3 AND 120 AND right(t, 1) NOT IN ('.', ',', ';', ':') AS plain FROM t WHERE t <> ''),
-k AS (SELECT *, CASE WHEN md <> '' THEN 'markdown' WHEN plain AND num <> '' AND regexp_matches(title, '^\p{Lu}') AND len([w FOR w IN regexp_split_to_array(title, '[ \t\n\x0B\f\r]+') IF w <> '']) <= 14 THEN 'numbered'
-  WHEN plain AND regexp_matches(t, '^(Annex|Appendix|ANNEX|APPENDIX)( |$)') THEN 'annex' END AS kind FROM p)
+p AS (SELECT *, CASE WHEN regexp_matches(t, '^#[# ]') AND regexp_replace(t, '^#+[ \t\n\x0B\f\r]*', '') <> '' THEN regexp_extract(t, '^(#+)', 1) ELSE '' END AS md, regexp_extract(t, '^([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.?[ \t\n\x0B\f\r]+', 1) AS num,
+  regexp_replace(t, '^([0-9.]+|Annex|Appendix|ANNEX|APPENDIX)[ \t\n\x0B\f\r]+', '') AS title FROM t WHERE t <> ''),
+r AS (SELECT *, octet_length(encode(t)) BETWEEN 3 AND 120 AND right(t, 1) NOT IN ('.', ',', ';', ':') AND regexp_matches(title, '^\p{Lu}') AND len([w FOR w IN regexp_split_to_array(title, '[ \t\n\x0B\f\r]+') IF w <> '']) <= 14 AS plain FROM p),
+k AS (SELECT *, CASE WHEN md <> '' THEN 'markdown' WHEN plain AND num <> '' THEN 'numbered' WHEN plain AND regexp_matches(t, '^(Annex|Appendix|ANNEX|APPENDIX)[ \t\n\x0B\f\r]') THEN 'annex' END AS kind FROM r)
 SELECT doc_id, CAST(line AS INT) AS line, kind, CASE kind WHEN 'markdown' THEN CAST(length(md) AS VARCHAR) WHEN 'numbered' THEN num ELSE '' END AS number,
   CASE kind WHEN 'markdown' THEN regexp_replace(regexp_replace(t, '^#+', ''), '^[ \t\n\x0B\f\r]+', '') WHEN 'numbered' THEN num || ' ' || title ELSE t END AS label
 FROM k WHERE kind IS NOT NULL

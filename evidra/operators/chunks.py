@@ -12,20 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP, LEAST_MAX = 6000, 500, 64
-_NUMBERED = re.compile(r"([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.?[ \t]+(\S.*)")
-_SENTENCE = re.compile(r'(?<=[.!?])[ \t\r\n\f]+(?=$|[A-Z0-9"]|[^\W\d_a-z])')
+_NUMBERED = re.compile(r"([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.?\s+(\S.*)")
+_ANNEX = re.compile(r"(?:Annex|Appendix|ANNEX|APPENDIX)\s+(\S.*)")
+#: A sentence ends at one of these marks with white space behind it, before an ASCII capital, digit or quote, or at the end.
+_SENTENCE_END = re.compile(r'[.!?][ \t\n\r\f]+(?=[A-Z0-9"]|\Z)')
+_SPACE = re.compile(r"\s")
 
 
 def heading(line: str) -> tuple[str, tuple[int, ...], str] | None:
     """(kind, place in the outline, label)."""
     t = line.strip()
-    if m := re.match(r"(#+)(?: |$)", t):
-        return "markdown", (len(m[1]),), t[len(m[1]) :].strip()
+    if t.startswith("#"):
+        label = t.lstrip("#")
+        depth = len(t) - len(label)
+        return ("markdown", (depth,), label.strip()) if label.strip() and (depth > 1 or label.startswith(" ")) else None
     if not 3 <= len(t.encode()) <= 120 or t[-1] in ".,;:":
         return None
-    if (m := _NUMBERED.fullmatch(t)) and m[2][0].isupper() and len(m[2].split()) <= 14:
-        return "numbered", tuple(map(int, m[1].split("."))), f"{m[1]} {m[2]}"
-    return ("annex", (), t) if t.split()[0] in ("Annex", "Appendix", "ANNEX", "APPENDIX") else None
+    numbered = _NUMBERED.fullmatch(t)
+    found = numbered or _ANNEX.fullmatch(t)
+    title = found[found.lastindex] if found else ""
+    if not title or not title[0].isupper() or len(title.split()) > 14:
+        return None
+    return ("numbered", tuple(map(int, numbered[1].split("."))), f"{numbered[1]} {title}") if numbered else ("annex", (), t)
 
 
 def _above(top, new) -> bool:
@@ -36,40 +44,56 @@ def _above(top, new) -> bool:
     return new[0] == "markdown" and top[1] < new[1]
 
 
-def _sentences(paragraph: str, most: int) -> list[str]:
+def _pieces(sentence: str, most: int) -> list[str]:
+    """A sentence that is too long, cut at the last white space that fits, else anywhere."""
     out = []
-    for s in _SENTENCE.split(paragraph):
-        while len(s) > most:  # cut at white space, else anywhere
-            at = s.rfind(" ", 1, most + 1)
-            at = at if at > 0 else most
-            out.append(s[:at].rstrip())
-            s = s[at:].lstrip()
-        if s:
-            out.append(s)
-    return out
+    while len(sentence) > most:
+        at = max((m.start() for m in _SPACE.finditer(sentence, 0, most)), default=0) or most
+        out.append(sentence[:at])
+        sentence = sentence[at:].lstrip()
+    return out + [sentence] * bool(sentence)
+
+
+def _units(paragraph: str, most: int) -> list[str]:
+    """The paragraph as a whole, if it fits; else its sentences, and pieces of those that don't."""
+    if len(paragraph) <= most:
+        return [paragraph]
+    ends = [0, *(m.end() for m in _SENTENCE_END.finditer(paragraph)), len(paragraph)]
+    sentences = [paragraph[a:b] for a, b in zip(ends, ends[1:], strict=False) if a < b]
+    return [u for s in sentences for u in (_pieces(s, most) if len(s) > most else [s.rstrip()])]
+
+
+def _tail(chunk: str, overlap: int) -> str:
+    """What the next chunk repeats: the last `overlap` characters from the first sentence that begins among them, else from the
+    first word."""
+    if len(chunk) <= overlap:
+        return chunk
+    tail = chunk[len(chunk) - overlap :]
+    end = _SENTENCE_END.search(tail)
+    if end and end.end() < len(tail):
+        return tail[end.end() :].lstrip()
+    space = _SPACE.search(tail)
+    return tail[space.start() :].lstrip() if space else ""
 
 
 def pack(paragraphs: list[str], most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of at most `most` characters; a chunk that follows another begins with its last sentences, if they fit."""
+    """Chunks of at most `most` characters: paragraphs stay whole where they fit, a line apart; a chunk that follows another
+    begins with the end of that one, where the next unit leaves room for it."""
     most = max(LEAST_MAX, most)
     overlap = min(overlap, most // 2)
-    chunks: list[list[tuple[str, str]]] = [[]]
-    size = 0
+    done, now = [], ""
     for p in paragraphs:
-        for k, s in enumerate(_sentences(p, most)):
-            gap = "\n\n" if k == 0 else " "
-            if chunks[-1] and size + len(gap) + len(s) > most:
-                tail, length = [], 0
-                for g, u in reversed(chunks[-1]):
-                    if length + len(u) + 1 > overlap or length + len(u) + 1 + len(gap) + len(s) > most:
-                        break
-                    tail.insert(0, (g, u))
-                    length += len(u) + len(g)
-                chunks.append(tail)
-                size = sum(len(u) + (len(g) if i else 0) for i, (g, u) in enumerate(tail))
-            size += len(s) + (len(gap) if chunks[-1] else 0)
-            chunks[-1].append((gap, s))
-    return ["".join((g if i else "") + u for i, (g, u) in enumerate(c)) for c in chunks if c]
+        for k, unit in enumerate(_units(p, most)):
+            gap = " " if k else "\n\n"
+            if now and len(now) + len(gap) + len(unit) > most:
+                done.append(now)
+                now = _tail(now, overlap) if overlap else ""
+                if len(now) + 1 + len(unit) > most:
+                    now = ""
+                elif len(now) + len(gap) + len(unit) > most:
+                    gap = " "
+            now = f"{now}{gap}{unit}" if now else unit
+    return done + [now] * bool(now.strip())
 
 
 def page_chunks(text: str, stack: list, most: int, overlap: int) -> list[tuple[list[str], str]]:

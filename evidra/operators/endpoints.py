@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.operators.pages import first_by
+from evidra.sources.tables import written
 
 
 def keyed(ops: DataFrame, prefixes: dict[str, str]) -> DataFrame:
@@ -38,6 +39,22 @@ def lookup(asked: DataFrame, ops: DataFrame, documents: DataFrame) -> DataFrame:
     return top.withColumn("others", F.col("same_path") - 1).withColumn("ambiguous", F.col("best_paths") > 1).withColumn("matched_by", F.when(F.col("score") == 3, "exact").otherwise("canonical")).drop("best", "best_paths", "same_path")
 
 
+def lookup_many(asked: DataFrame, ops: DataFrame, documents: DataFrame) -> DataFrame:
+    """As lookup(), for tables in which a key is defined and asked for by very many: what each (version, method, key, asked path)
+    means is found once, from one row a path, and then told to all who ask."""
+    ranked = ops.join(documents.select("source_id", "precedence"), "source_id")
+    best = F.min(F.struct((-F.col("precedence")).alias("p"), F.col("source_id").alias("source_id")))
+    paths = ranked.groupBy("version", "method", "path_key", "path").agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
+    questions = asked.select("version", "method", F.col("path").alias("asked_path"), "path_key").distinct()
+    met = questions.join(paths, ["version", "method", "path_key"]).withColumn("score", T.template_score(F.col("path"), F.col("asked_path")))
+    key = ["version", "method", "path_key", "asked_path"]
+    met = met.withColumn("best", F.max("score").over(W.partitionBy(*key))).where("score = best")
+    met = met.withColumn("paths", F.count(F.lit(1)).over(W.partitionBy(*key)))
+    top = first_by(met, key, "b", "path")
+    answer = top.select(*key, "path", F.col("b.source_id").alias("source_id"), "score", (F.col("n") - 1).alias("others"), (F.col("paths") > 1).alias("ambiguous"), F.when(F.col("score") == 3, "exact").otherwise("canonical").alias("matched_by"))
+    return asked.select("ask_id", "version", "method", "path_key", F.col("path").alias("asked_path")).join(answer, key)
+
+
 def requirement_links(requirements: DataFrame, ops: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """(requirement_id, source_id, method, path, via) from requirements(id, version, endpoints, locators): declared
     endpoints, operation locators (under either name) and path locators, which hold for any method."""
@@ -162,7 +179,7 @@ def schema_facts(schemas: DataFrame) -> DataFrame:
 
 def schema_changes(schemas: DataFrame, old: str, new: str) -> DataFrame:
     """(name, pointer, kind, change, before, after) of schemas that both versions have."""
-    f = schema_facts(schemas).cache()
+    f = written(schema_facts(schemas))
     shared = schemas.where(F.col("version") == old).select("name").intersect(schemas.where(F.col("version") == new).select("name"))
     side = lambda v, n: f.where(F.col("version") == v).join(shared, "name", "left_semi").select("name", "pointer", "kind", F.col("value").alias(n))
     d = side(old, "before").join(side(new, "after"), ["name", "pointer", "kind"], "full")

@@ -10,7 +10,7 @@ from evidra.functions import text as T
 
 K1, B = 1.2, 0.75
 #: Words that say nothing of what a question is about.
-STOPWORDS = "a an and are as at be by can could do does for from had has have how i if in into is it its may more must no not of on or shall should so such than that the their then there these they this to was were what when where which who will with would you".split()
+STOPWORDS = "about after all also and any are been but can case cases does each for from has have into its may might more must not only other same shall should such than that the then there these this those through under used using via was were when where which while will with within would you your".split()
 
 
 def related_terms(text: Column, most: int = 40) -> Column:

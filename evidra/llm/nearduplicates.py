@@ -43,7 +43,7 @@ MARGIN = 0.15
 #: Pairs with a set of fewer shingles are confirmed whatever their estimate, as borrowed registers move it far.
 SMALL = 256
 #: Classes of one part of a tier, and their shingles.
-BLOCK, SHINGLES = 128, 2_000_000
+BLOCK, SHINGLES = 256, 2_000_000
 _TRIES = 64
 _BORROW = np.random.default_rng(7).integers(0, REGISTERS, (_TRIES, REGISTERS))  # whose register an empty one looks at
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -180,8 +180,11 @@ def groups(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     texts = id_text(docs)
     signed = written(map_batches(texts, lambda b: _signed(b, shingle), "doc_id long, n_shingles long, same binary, registers binary"))
     some = signed.where("same is not null and doc_id is not null")
-    classes = some.groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))  # a class's number; stays as written
+    # classes are numbered in the order of their documents, so that a band's first class is its first document's
+    numbers = some.groupBy("same").agg(F.min("doc_id").alias("doc")).repartitionByRange("doc", "same").sortWithinPartitions("doc", "same")
+    numbers = written(numbers.withColumn("id", F.monotonically_increasing_id()))
+    classes = some.groupBy("same").agg(F.first("n_shingles").alias("size"), F.first("registers").alias("registers"))
+    classes = written(classes.join(numbers, "same"))
     links = written(_links(texts, classes, shingle, percent).union(_shared_ids(some, classes)))
     found = written(classes.select("id", "same", "doc").join(components(links).select(F.col("node").alias("id"), "component"), "id"))
     least = found.groupBy("component").agg(F.min("doc").alias("label"))

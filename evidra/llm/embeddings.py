@@ -3,10 +3,10 @@
 Vectors are compared when their labels are equal and not null, by cosine in double precision; a null, empty or zero
 vector, one with a null or non-finite component, and one without an id, link with nothing; neither do vectors of
 different lengths. As unit vectors, linked ones lie within EPSILON of each other. Principal directions, fitted on a
-bounded sample, give each vector leading coordinates, which never make a distance larger; a grid of EPSILON-wide cells on
-the first of them puts vectors in order, and only neighbouring cells are joined, in parts of bounded size. Within a task
-both sequences are halved again and again, and intervals whose boxes on the leading coordinates lie further apart than
-EPSILON are skipped; what remains is compared in full.
+bounded sample, give each vector leading coordinates, which never make a distance larger; EPSILON-wide cells on these, the first
+one counting most, put all vectors in order. The order is cut into intervals of bounded size, and pairs of intervals whose boxes
+on the leading coordinates lie further apart than EPSILON are dropped before any vector moves. Within a task both
+sequences are halved again and again by the same rule; what remains is compared in full.
 
 Equal vectors of a label are one class from the start, however many they are. Links aren't written out: a task returns
 each class's number of links and as many links as connect what it found linked. Repeated rows count as rows; an empty
@@ -14,12 +14,13 @@ table gives an empty result; extra columns don't matter."""
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,10 @@ from evidra.llm.components import components
 COSINE = 0.93
 #: Vectors that the principal directions are fitted on, at most.
 SAMPLE = 4096
-#: Coordinates of the grid, and of the boxes.
-GRID, BOX = 3, 8
-#: Classes of one part of a cell, and of the shortest interval.
-PART, LEAF = 1024, 128
+#: Leading coordinates: of the grid and of the boxes.
+BOX = 8
+#: Classes and bytes of one interval of the order that goes to a task, and classes of the shortest one.
+PART, PART_BYTES, LEAF = 2048, 8 << 20, 128
 
 
 def _parsed(batch: pa.RecordBatch, wide: bool) -> pa.RecordBatch:
@@ -139,56 +140,64 @@ def groups(table: DataFrame, least: float = COSINE) -> DataFrame:
     axes = directions([bytes(r.vector) for r in classes.join(F.broadcast(chosen), "id").select("vector").orderBy("id").collect()], kind)  # at most SAMPLE rows
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
 
-    def celled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    axis = [f"q{k}" for k in range(BOX)]
+
+    def located(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = batch.column(3).to_pylist()
-        cells = np.zeros((len(raw), GRID), np.int32)
+        q = np.zeros((len(raw), BOX))
         for n in {len(r) for r in raw}:
             at = [i for i, r in enumerate(raw) if len(r) == n]
             x, norm = units([raw[i] for i in at], kind)
-            cells[at] = np.floor(leading(x / norm[:, None], axes)[:, :GRID] / epsilon)
+            q[at] = leading(x / norm[:, None], axes)
         space = pa.array([f"{len(r)}:{x}" for r, x in zip(raw, batch.column(2).to_pylist(), strict=True)], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), space, batch.column(3), *(pa.array(cells[:, k]) for k in range(GRID))], names=["id", "size", "space", "vector", *axis])
-
-    axis = [f"c{k}" for k in range(GRID)]
-    placed = written(map_batches(classes.select("id", "size", "label", "vector"), celled, "id long, size long, space string, vector binary, " + ", ".join(f"{c} int" for c in axis)))
-    cells = written(placed.groupBy("space", *axis).agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts")))
-    # each cell with itself and its neighbours that come after it
-    steps = [d for d in itertools.product((-1, 0, 1), repeat=GRID) if d >= (0,) * GRID]
-    near = cells.withColumn("d", F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(d)]) for d in steps])))
-    near = near.select("space", *[F.col(c).alias(f"a{k}") for k, c in enumerate(axis)], F.col("parts").alias("parts_a"), *[(F.col(c) + F.col(f"d.d{k}")).alias(f"b{k}") for k, c in enumerate(axis)])
-    other = cells.select("space", *[F.col(c).alias(f"b{k}") for k, c in enumerate(axis)], F.col("parts").alias("parts_b"))
-    pairs = written(near.join(other, ["space", *[f"b{k}" for k in range(GRID)]]))
-    ends = {s: [f"{s}{k}" for k in range(GRID)] for s in "ab"}
-    selves = F.lit(True)
-    for x, y in zip(ends["a"], ends["b"], strict=True):
-        selves = selves & (F.col(x) == F.col(y))
-    pairs = pairs.withColumn("self", selves)
-    vectors = placed.join(cells, ["space", *axis]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-
-    def side(s: str) -> DataFrame:
-        on = vectors.select("space", *[F.col(c).alias(e) for c, e in zip(axis, ends[s], strict=True)], "id", "size", "vector", "part")
-        met = on.join(pairs if s == "a" else pairs.where("not self"), ["space", *ends[s]])
-        met = met.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_b" if s == "a" else "parts_a") - 1)))
-        p, q = (F.col("part"), F.col("k")) if s == "a" else (F.col("k"), F.col("part"))
-        own = F.col("self")
-        return met.select("space", *ends["a"], *ends["b"], F.when(own, F.least(p, q)).otherwise(p).alias("p"), F.when(own, F.greatest(p, q)).otherwise(q).alias("q"), "self", F.when(own, (F.col("part") == F.greatest(p, q)) & (p != q)).otherwise(F.lit(s == "b")).alias("right"), "id", "size", "vector")
-
-    key = ["space", *ends["a"], *ends["b"], "p", "q"]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), space, batch.column(3), *(pa.array(q[:, k]) for k in range(BOX))], names=["id", "size", "space", "vector", *axis])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order; an interval ends where it is full or another space begins."""
+        number, rows, size, last = TaskContext.get().partitionId() << 32, 0, 0, None
+        for b in batches:
+            parts = []
+            for space, v in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                n = len(v.as_buffer())
+                if space != last or rows >= PART or size + n > PART_BYTES:
+                    number, rows, size, last = number + 1, 0, 0, space
+                rows, size = rows + 1, size + n
+                parts.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.int64())], names=[*b.schema.names, "part"])
+
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks cost time, not bytes: as many tasks as the cluster is set to
+    columns = "id long, size long, space string, vector binary, " + ", ".join(f"{c} double" for c in axis)
+    placed = written(map_batches(classes.select("id", "size", "label", "vector"), located, columns))
+    order = ["space", *[F.floor(F.col(c) / epsilon) for c in axis], *axis, "id"]
+    parted = written(placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(cut, columns + ", part long"))
+    boxes = written(parted.groupBy("space", "part").agg(*[f(c).alias(f"{e}{k}") for k, c in enumerate(axis) for e, f in (("lo", F.min), ("hi", F.max))]))
+    # two intervals meet in the first cell of the leading coordinate that one has and the other reaches
+    cell = lambda c: F.floor(c / epsilon)
+    ends = [f"{e}{k}" for k in range(BOX) for e in ("lo", "hi")]
+    one = boxes.select("space", F.col("part").alias("x"), *[F.col(c).alias(f"x_{c}") for c in ends], cell(F.col("lo0")).alias("first_x"), F.explode(F.sequence(cell(F.col("lo0")), cell(F.col("hi0")))).alias("cell"))
+    two = boxes.select("space", F.col("part").alias("y"), *[F.col(c).alias(f"y_{c}") for c in ends], cell(F.col("lo0") - epsilon).alias("first_y"), F.explode(F.sequence(cell(F.col("lo0") - epsilon), cell(F.col("hi0") + epsilon))).alias("cell"))
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"x_lo{k}") - F.col(f"y_hi{k}"), F.col(f"y_lo{k}") - F.col(f"x_hi{k}"))
+    apart = sum((gap(k) * gap(k) for k in range(1, BOX)), gap(0) * gap(0))
+    near = one.join(two, ["space", "cell"]).where((F.col("cell") == F.greatest("first_x", "first_y")) & (F.col("x") <= F.col("y")) & (apart <= epsilon * epsilon))
+    pairs = written(near.select("x", "y"))
+    vectors = parted.select(F.col("part").alias("at"), "id", "size", "vector")
+    left = vectors.join(pairs, vectors.at == pairs.x).select("x", "y", F.lit(False).alias("right"), "id", "size", "vector")
+    right = vectors.join(pairs.where("x <> y"), vectors.at == F.col("y")).select("x", "y", F.lit(True).alias("right"), "id", "size", "vector")
+    key = ["x", "y"]
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         x, norm = units([bytes(v) for v in pdf["vector"]], kind)
         q = leading(x / norm[:, None], axes)
-        order = np.lexsort((*q.T[GRID - 1 :: -1], *np.floor(q.T[GRID - 1 :: -1] / epsilon)))  # cells first, then places
+        order = np.lexsort((*q.T[::-1], *np.floor(q.T[::-1] / epsilon)))  # cells first, then places
         right = pdf["right"].to_numpy(bool)
         join = _Join(pdf["id"].to_numpy(), pdf["size"].to_numpy(np.int64), x, norm, q, least, epsilon)
-        same = bool(pdf["self"].iloc[0]) and pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        same = pdf["x"].iloc[0] == pdf["y"].iloc[0]
         join.run(order if same else order[~right[order]], order if same else order[right[order]], same)
         ids = join.ids
         n = np.flatnonzero(join.links)
         return pd.DataFrame({"a": np.concatenate([ids[n], ids[[i for i, _ in join.edges]]]).astype("int64"), "b": np.concatenate([ids[n], ids[[j for _, j in join.edges]]]).astype("int64"), "links": np.concatenate([join.links[n], np.zeros(len(join.edges), np.int64)])})
 
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks cost time, not bytes: as many tasks as the cluster is set to
-    found = written(side("a").unionByName(side("b")).repartition(n, *key).groupBy(*key).applyInPandas(joined, "a long, b long, links long"))
+    found = written(left.unionByName(right).repartition(n, *key).groupBy(*key).applyInPandas(joined, "a long, b long, links long"))
     counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     label = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("id"), "component")
     known = written(classes.select("same", "id", "size").join(counts, "id", "left").join(label, "id", "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))

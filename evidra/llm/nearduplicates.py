@@ -265,7 +265,8 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
 
     kinds = "x long, y long, side int, id long, size long, grp long, registers binary"
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks cost time, not bytes: as many tasks as the cluster is set to
-    some = written(met.repartition(n, *key).groupBy(*key).applyInPandas(likely_in_block, kinds))
+    # ranges hold like numbers of rows, so that no task gets several large blocks while others have none
+    some = written(written(met).repartitionByRange(n, *key).groupBy(*key).applyInPandas(likely_in_block, kinds))
 
     def confirmed_in_block(pdf):
         left, right = _sides(pdf)
@@ -282,7 +283,7 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
 
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
-    more = some.join(sets, "id").repartition(n, *key).groupBy(*key).applyInPandas(confirmed_in_block, "a long, b long")
+    more = some.join(sets, "id").repartitionByRange(n, *key).groupBy(*key).applyInPandas(confirmed_in_block, "a long, b long")
     return links.union(more)
 
 

@@ -144,7 +144,7 @@ def factors(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = written(indexed.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first"))
     # copies are few or many; only those whose words another document has need a look at which is the first
     every = written(indexed.select("doc_id", "n_words", "same", "kept").join(first, "same", "left").select("doc_id", "n_words", "same", "kept", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")))
-    alone = indexed.where("doc_id is not null and size(places) > 0").join(first, "same", "left").where("first is null or first = doc_id").dropDuplicates(["doc_id", "same"])
+    alone = indexed.where("doc_id is not null and size(places) > 0").join(first, "same", "left").where("first is null or first = doc_id")
     runs = F.arrays_zip("blocks", "places", F.slice("places", 2, F.size("places")).alias("next"), "links")
     blocks = written(alone.select("doc_id", "same", F.explode(runs).alias("b")).select("doc_id", "same", F.col("b.blocks").alias("block"), F.col("b.places").alias("place"), (F.col("b.next") + BLOCK).cast("int").alias("end"), F.col("b.links").alias("link")))
     shared = written(blocks.groupBy("block").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("block"))

@@ -129,3 +129,28 @@ def test_url_rules_take_odd_tables(spark):
     assert sorted((r.page_id or 0, r.rule, r.verdict) for r in got if r.rule) == [(0, "org/fr/", "allow"), (4, "net/", "block"), (4, "net/", "block"), (6, "example.com/de/", "block")]
     assert len(got) == len(rows) and all(r.verdict == "allow" and r.host == "" for r in got if r.page_id in (1, 2, 3, 5))
     assert urls.judge(spark.createDataFrame([], kinds)).collect() == []
+
+
+def test_far_intervals_never_meet(spark, monkeypatch):
+    """Vectors about ten directions, all of one label: pairs of intervals grow with the number of vectors, as those of different
+    directions are dropped before vectors move; results are as by brute force."""
+    import numpy as np
+
+    from evidra.llm import embeddings
+    from tests.llm.test_operators import _plain_vectors
+
+    monkeypatch.setattr(embeddings, "PART", 8)
+    seen, true_written = [], embeddings.written
+
+    def counting(df):
+        out = true_written(df)
+        if df.columns == ["x", "y"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(embeddings, "written", counting)
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.eye(10)[i % 10] + rng.normal(0, 0.05, 10)).astype(np.float32).tolist(), 1) for i in range(400)]
+    got = rows_by_id(embeddings.groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == _plain_vectors(rows)
+    assert seen[0] < 0.5 * 50 * 51 / 2, seen

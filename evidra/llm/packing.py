@@ -27,6 +27,8 @@ from evidra.llm.common import id_text, session, written
 
 LENGTH, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
+#: Patterns of one fit, at most.
+PATTERNS = 160_000
 #: Share of the pieces that a fit may miss, and that is left to best fit.
 MISFIT, REST = 0.03, 0.01
 #: Words that a worker keeps the ids of, at most.
@@ -131,7 +133,8 @@ def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> np.nda
     rows = np.unique(rows[length - rows.sum(1) <= slack], axis=0)
     for k in range(4):
         rows = rows[counts[rows[:, k]] >= (rows == rows[:, k : k + 1]).sum(1) * (rows[:, k] > 0)]
-    return rows[np.lexsort((length - rows.sum(1), -rows[:, 1], -rows[:, 0]))]
+    rows = rows[np.lexsort((length - rows.sum(1), -rows[:, 1], -rows[:, 0]))]
+    return rows[:: max(1, -(-len(rows) // PATTERNS))]  # evenly over all lengths
 
 
 def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float = 0.5, steps: int = 600) -> tuple[np.ndarray, float]:

@@ -140,7 +140,7 @@ def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> np.nda
 def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float = 0.5, steps: int = 600) -> tuple[np.ndarray, float]:
     """Repeats of each pattern, not negative, with the least sum of squared differences from the counts, plus a small cost
     of what patterns leave empty; and the sum of the differences. Projected gradient steps with momentum, until the
-    differences are small or no longer fall."""
+    differences are small or no longer fall. Sums are written out: threads of a linear algebra library would take more time to wait than to add."""
     flat, wanted = patterns.ravel(), counts.astype(float)
     wanted[0] = 0
     waste = cost * wanted.sum() / max(np.count_nonzero(wanted), 1) * (length - patterns.sum(1)) / length
@@ -153,14 +153,14 @@ def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float =
     v = np.ones(len(patterns))
     for _ in range(8):  # the steepest direction bounds the step
         v = pieces_of(v)[patterns].sum(1)
-        steep = np.linalg.norm(v)
+        steep = np.sqrt((v * v).sum())
         v /= steep
     steep *= 1.05
     x = np.zeros(len(patterns))
     y, momentum, before = x, 1.0, np.inf
     for step in range(1, steps + 1):
         z = np.maximum(0, y - ((pieces_of(y) - wanted)[patterns].sum(1) + waste) / steep)
-        if np.dot(y - z, z - x) > 0:
+        if ((y - z) * (z - x)).sum() > 0:
             momentum = 1.0
         faster = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         y, x, momentum = z + (momentum - 1) / faster * (z - x), z, faster

@@ -12,20 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table with more bytes than this for each core is not small.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer: a small table in one file would keep one core busy.
-    Tables of any size have more partitions than that, and stay as they are."""
+    """df in as many partitions as there are cores, if it is small and has fewer: a small table in one file would keep one
+    core busy. Larger tables stay as they are, whatever the number of cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.sources.tables import written
 
 K1, B = 1.2, 0.75
 #: Words that say nothing of what a question is about.
@@ -33,12 +34,13 @@ def term_weight(tf: Column, length: Column, mean: Column) -> Column:
 def scored(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, terms: str, boost: float = 1.0) -> DataFrame:
     """(query, key, score) by BM25 of docs(key, text) for queries(query, terms array).
 
-    Statistics are those of all docs. Only terms that some query asks for leave a document's row: its tokens are
-    counted inside the row, so what is shuffled is one row per document and asked term."""
+    Statistics are those of all docs. Only terms that some query asks for are shuffled: one row per document and asked
+    term, which is written once for the terms' frequencies and for the scores."""
     asked = queries.select(query, F.explode(terms).alias("term"))
     words = docs.select(key, T.search_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
     figures = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
     postings = words.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = written(postings)
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = postings.join(frequency, "term").crossJoin(F.broadcast(figures))  # one row
     weighed = weighed.select(key, "term", (boost * idf(F.col("n_docs"), F.col("df")) * term_weight(F.col("tf"), F.col("length"), F.col("mean_length"))).alias("w"))

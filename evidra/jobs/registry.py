@@ -186,11 +186,15 @@ SELECT a.page_id, a.version, b.version AS other_version, b.page_id AS other_page
 FROM r a JOIN r b ON a.key = b.key AND a.host = b.host AND a.page_id <> b.page_id
 QUALIFY row_number() OVER (PARTITION BY a.page_id, b.version ORDER BY b.precedence DESC, b.page_id) = 1""")
 def template_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each endpoint's best counterpart in each version: same host and version-free path, highest precedence."""
+    """Each endpoint's best counterpart in each version: same host and version-free path, highest precedence.
+
+    The two best of each version are enough, as only the endpoint itself is left out; so no pairs of a group are made."""
     e = _endpoints(spark, sf_dir).select("page_id", "host", "version", F.rtrim(F.regexp_replace("path", "^/[a-z]+/", "/"), F.lit("/")).alias("key"), F.when(F.col("path").endswith(".html"), 1).when(F.col("path").endswith("/"), 2).otherwise(3).alias("precedence"))
-    other = e.select(F.col("page_id").alias("other_page"), "host", F.col("version").alias("other_version"), "key", F.col("precedence").alias("other_precedence"))
-    met = e.join(other, ["host", "key"]).where("page_id <> other_page").withColumn("candidates", F.count(F.lit(1)).over(W.partitionBy("page_id", "other_version")))
-    return pages.first_by(met, ["page_id", "other_version"], F.desc("other_precedence"), "other_page").select("page_id", "version", "other_version", "other_page", "candidates")
+    group = W.partitionBy("host", "key", "version")
+    best = e.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("nth", F.row_number().over(group.orderBy(F.desc("precedence"), "page_id"))).where("nth <= 2")
+    other = best.select(F.col("page_id").alias("other_page"), "host", F.col("version").alias("other_version"), "key", "n", "nth")
+    met = e.join(other, ["host", "key"]).where("page_id <> other_page").withColumn("candidates", F.col("n") - (F.col("version") == F.col("other_version")).cast("int"))
+    return pages.first_by(met, ["page_id", "other_version"], "nth").select("page_id", "version", "other_version", "other_page", "candidates")
 
 
 @query(r"""
@@ -301,35 +305,39 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.retrieval_figures(_hits(spark, sf_dir, 10), relevant, "item_id", "doc_id", 10)
 
 
-@query(r"""
-WITH asked AS (SELECT item_id, list_distinct([t FOR t IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF octet_length(encode(t)) >= 4][1:3]) AS ts FROM benchmark),
+def _prefix_sql(least: int) -> str:
+    return rf"""
+WITH asked AS (SELECT item_id, list_distinct([t FOR t IN regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') IF octet_length(encode(t)) >= {least}]) AS ts FROM benchmark),
 q AS (SELECT item_id, len(ts) AS n, unnest(ts) AS token FROM asked),
-d AS (SELECT DISTINCT doc_id, unnest([t FOR t IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF octet_length(encode(t)) >= 2]) AS term FROM documents)
-SELECT q.item_id, d.doc_id FROM d JOIN q ON substr(d.term, 1, 3) = substr(q.token, 1, 3) AND starts_with(d.term, q.token) GROUP BY q.item_id, d.doc_id, q.n HAVING count(DISTINCT q.token) = q.n""")
+d AS (SELECT DISTINCT doc_id, unnest([t FOR t IN regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') IF octet_length(encode(t)) >= 2]) AS term FROM documents),
+m AS (SELECT DISTINCT token, term FROM (SELECT DISTINCT token FROM q) JOIN (SELECT DISTINCT term FROM d) ON starts_with(term, token)),
+held AS (SELECT DISTINCT doc_id, token FROM d JOIN m USING (term))
+SELECT q.item_id, held.doc_id FROM held JOIN q USING (token) GROUP BY q.item_id, held.doc_id, q.n HAVING count(*) = q.n"""
+
+
+@query(_prefix_sql(4))
 def find_by_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which each of a statement's first three longer tokens begins some token."""
-    tokens = F.array_distinct(F.slice(F.filter(T.search_tokens(F.col("text")), lambda t: F.octet_length(t) >= 4), 1, 3))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", tokens.alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token")).withColumn("head", F.substring("token", 1, 3))
-    words = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).withColumn("head", F.substring("term", 1, 3))
-    met = words.join(asked, "head").where(F.col("term").startswith(F.col("token"))).select("item_id", "doc_id", "n", "token").distinct()
-    return met.groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("item_id", "doc_id")
+    """Documents in which each of a statement's tokens of four bytes or more begins some token."""
+    return documents_with_prefixes(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 4)
 
 
-@query()
+@query(_prefix_sql(2))
 def find_by_all_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which each of a statement's tokens begins some token, as in services.find_requirement."""
     return documents_with_prefixes(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-def documents_with_prefixes(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents(doc_id, text) in which each token of benchmark(item_id, text) begins some token.
+def documents_with_prefixes(documents: DataFrame, benchmark: DataFrame, least: int = 2) -> DataFrame:
+    """(item_id, doc_id): documents(doc_id, text) in which each token of `least` bytes or more of benchmark(item_id, text)
+    begins some token.
 
-    Terms are matched with tokens once for all documents and statements; tokens have 2 bytes, so 1 character, at least."""
-    asked = benchmark.select("item_id", F.array_distinct(T.search_tokens(F.col("text"))).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    words = documents.select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).distinct()
+    Terms are matched with tokens once for all documents and statements; tokens have 2 bytes, so 1 character, at least.
+    Tokens of a document are counted for each statement with one row per document and token that some statement asks."""
+    asked = benchmark.select("item_id", F.array_distinct(F.filter(T.search_tokens(F.col("text")), lambda t: F.octet_length(t) >= least)).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    words = documents.select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
     starts = words.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring("term", F.lit(1), k))).alias("token"))
-    met = starts.join(asked.select("token").distinct(), "token")
-    held = words.join(met, "term").select("doc_id", "token").distinct()
+    met = written(starts.join(asked.select("token").distinct(), "token").groupBy("term").agg(F.collect_set("token").alias("tokens")))  # no more than a term has characters
+    held = words.join(met, "term").select("doc_id", F.explode("tokens").alias("token")).distinct()
     return held.join(asked, "token").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("item_id", "doc_id")
 
 
@@ -506,3 +514,30 @@ def cross_source_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))  # one row
     refs = s.crossJoin(n).select("source_id", "version", ((F.col("source_id") % F.col("n")) + 1).alias("next")).join(offers.select(F.col("source_id").alias("next"), "name"), "next").select("source_id", "version", "name").distinct()
     return graph.resolved(refs, offers.join(s, "source_id"))
+
+
+_SCHEMAS_SQL = """
+defs AS (
+  SELECT left(p_brand, 7) AS version, p_brand AS source_id, CAST(right(p_brand, 1) AS BIGINT) AS precedence, p_partkey FROM part
+  UNION ALL SELECT left(p_brand, 7), left(p_brand, 7) || '/shared', 100, p_partkey FROM part WHERE p_size % 5 = 0),
+refs AS (SELECT version, source_id, p_partkey, unnest([p_partkey // 2, p_partkey + 7]) AS target FROM defs),
+best AS (SELECT version, p_partkey AS target, source_id AS best FROM defs QUALIFY row_number() OVER (PARTITION BY version, p_partkey ORDER BY precedence DESC, source_id) = 1),
+edges AS (
+  SELECT r.version, r.source_id, r.p_partkey, coalesce(o.source_id, b.best, '') AS to_source, r.target
+  FROM refs r LEFT JOIN defs o ON o.source_id = r.source_id AND o.p_partkey = r.target LEFT JOIN best b ON b.version = r.version AND b.target = r.target)
+"""
+
+
+@query(f"""WITH RECURSIVE {_SCHEMAS_SQL}, reach(version, root_source, root_key, source_id, p_partkey) AS (
+  SELECT version, source_id, p_partkey, source_id, p_partkey FROM defs
+  UNION SELECT r.version, r.root_source, r.root_key, e.to_source, e.target FROM reach r JOIN edges e ON e.version = r.version AND e.source_id = r.source_id AND e.p_partkey = r.p_partkey)
+SELECT version, root_source, 'P' || root_key AS root_name, nullif(source_id, '') AS source_id, 'P' || p_partkey AS name, source_id <> '' AND source_id <> root_source AS cross_source, source_id = '' AS unresolved FROM reach""")
+def schema_closure_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part's schema refers to, across the brands of one tens digit: the part of half its key and the seventh after it."""
+    p = table(spark, sf_dir, "part").withColumn("version", F.substring("p_brand", 1, 7))
+    own = p.select("version", F.col("p_brand").alias("source_id"), F.right("p_brand", F.lit(1)).cast("long").alias("precedence"), "p_partkey")
+    shared = p.where("p_size % 5 = 0").select("version", F.concat("version", F.lit("/shared")).alias("source_id"), F.lit(100).cast("long").alias("precedence"), "p_partkey")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    defs = written(own.unionByName(shared).withColumn("name", name(F.col("p_partkey"))))
+    refs = defs.select("source_id", "version", "name", F.explode(F.array(F.expr("p_partkey div 2"), F.col("p_partkey") + 7)).alias("target")).withColumn("target", name(F.col("target")))
+    return graph.reference_closure(defs.drop("p_partkey"), refs).drop("depth")

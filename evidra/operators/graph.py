@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidra.sources.tables import written
 
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): what each root reaches over edges(src, dst), itself at depth 0, each at its least depth.
 
@@ -26,11 +27,44 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those from nodes that nothing leads to, or to nodes that lead nowhere, until none of these is left."""
+    n = edges.count()
+    while n:
+        starts, ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = written(edges.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"))
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
-    """(node): nodes that reach themselves."""
-    starts = edges.select(F.col("src").alias("root")).distinct()
-    reached = closure(edges, starts)
-    return reached.join(edges, reached.node == edges.src).where("dst = root").select(F.col("root").alias("node")).distinct()
+    """(node): nodes of edges(src, dst) that reach themselves.
+
+    Each node takes the greatest node that reaches it; those that reach that one in turn are on circles with it. They
+    are taken out, what then lies on no circle is trimmed, and the rest goes on. There is one row a node at all times."""
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    left = trimmed(edges.where("src <> dst"))
+    while not left.isEmpty():
+        nodes = written(left.select(F.col("src").alias("node"), F.col("src").alias("top")).distinct())
+        while True:
+            step = nodes.join(left, nodes.node == left.src).groupBy(F.col("dst").alias("node")).agg(F.max("top").alias("other"))
+            nodes = written(nodes.join(step, "node", "left").select("node", F.greatest("top", "other").alias("top"), F.coalesce(F.col("other") > F.col("top"), F.lit(False)).alias("moved")))
+            if nodes.where("moved").isEmpty():
+                break
+            nodes = nodes.select("node", "top")
+        source, target = nodes.select(F.col("node").alias("src"), "top"), nodes.select(F.col("node").alias("dst"), "top")
+        inner = written(left.join(source, "src").join(target, ["dst", "top"]).select("src", "dst"))
+        last = back = written(nodes.where("node = top").select("node"))
+        while not last.isEmpty():
+            last = written(inner.join(last, inner.dst == last.node).select(F.col("src").alias("node")).distinct().join(back, "node", "left_anti"))
+            back = written(back.unionByName(last))
+        ends = back.select(F.col("node").alias("dst"))
+        found = found.unionByName(inner.join(ends, "dst", "left_semi").join(back.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("node")))
+        left = trimmed(written(left.join(ends, "dst", "left_anti").join(back.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst")))
+    return written(found.distinct())
 
 
 def resolved(refs: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -40,3 +74,15 @@ def resolved(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     w = W.partitionBy("version", "name")
     best = definitions.withColumn("candidates", F.count(F.lit(1)).over(w)).withColumn("n", F.row_number().over(w.orderBy(F.desc("precedence"), "source_id"))).where("n = 1").select("version", "name", F.col("source_id").alias("best"), "candidates")
     return refs.join(own, ["source_id", "name"], "left").join(best, ["version", "name"], "left").select("source_id", "version", "name", F.when(F.col("own"), F.col("source_id")).otherwise(F.col("best")).alias("defined_in"), (~F.coalesce("own", F.lit(False)) & F.col("best").isNotNull()).alias("cross_source"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def reference_closure(definitions: DataFrame, refs: DataFrame) -> DataFrame:
+    """(version, root_source, root_name, source_id, name, depth, cross_source, unresolved): all that each of
+    definitions(source_id, version, name, precedence) refers to over refs(source_id, version, name, target), itself at
+    depth 0. A name that no source of the version defines has no source_id and is unresolved."""
+    where = resolved(refs.select("source_id", "version", F.col("target").alias("name")).distinct(), definitions).select("source_id", "version", F.col("name").alias("target"), "defined_in")
+    node = lambda source, name: F.struct(F.col("version"), F.coalesce(source, F.lit("")).alias("source_id"), F.col(name).alias("name"))
+    edges = refs.join(where, ["source_id", "version", "target"]).select(node(F.col("source_id"), "name").alias("src"), node(F.col("defined_in"), "target").alias("dst"))
+    reached = closure(edges, definitions.select(node(F.col("source_id"), "name").alias("root")))
+    source, unresolved = F.col("node.source_id"), F.col("node.source_id") == ""
+    return reached.select("root.version", F.col("root.source_id").alias("root_source"), F.col("root.name").alias("root_name"), F.when(~unresolved, source).alias("source_id"), "node.name", "depth", (~unresolved & (source != F.col("root.source_id"))).alias("cross_source"), unresolved.alias("unresolved"))

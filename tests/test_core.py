@@ -395,3 +395,36 @@ def test_closure_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(67)], "src int, dst int")
     got = graph.closure(edges, spark.createDataFrame([(0,)], "root int"))
     assert {(r.node, r.depth) for r in got.collect()} == {(i, i) for i in range(68)}
+
+
+def test_cyclic_nodes_of_several_circles(spark):
+    """Against a plain walk: circles that share nodes, tails before and behind, a bridge, a node that refers to itself."""
+    import random
+
+    draw = random.Random(5)
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (6, 7), (8, 1), (9, 9), (10, 11), (None, 1), (2, None)] + [(draw.randrange(20, 60), draw.randrange(20, 60)) for _ in range(45)]
+    after = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            after.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, open_ = set(), list(after.get(a, ()))
+        while open_:
+            x = open_.pop()
+            if x not in seen:
+                seen.add(x)
+                open_ += after.get(x, ())
+        return seen
+
+    got = graph.cyclic(spark.createDataFrame(pairs, "src int, dst int"))
+    assert sorted(r.node for r in got.collect()) == sorted(a for a in after if a in reached(a))
+    assert graph.cyclic(spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")).isEmpty()
+
+
+def test_references_across_sources(spark):
+    """Own definitions first, then the version's best; circles end; what nobody defines is told."""
+    defs = spark.createDataFrame([("a", "v", "X", 1), ("a", "v", "Y", 1), ("b", "v", "Z", 2), ("c", "v", "Z", 3), ("b", "w", "Q", 2)], "source_id string, version string, name string, precedence int")
+    refs = spark.createDataFrame([("a", "v", "X", "Y"), ("a", "v", "Y", "Z"), ("a", "v", "Y", "Q"), ("c", "v", "Z", "X")], "source_id string, version string, name string, target string")
+    got = graph.reference_closure(defs, refs).where("root_name = 'X'")
+    assert {(r.source_id, r.name, r.depth, r.cross_source, r.unresolved) for r in got.collect()} == {("a", "X", 0, False, False), ("a", "Y", 1, False, False), ("c", "Z", 2, True, False), (None, "Q", 2, False, True)}

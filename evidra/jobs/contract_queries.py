@@ -90,6 +90,14 @@ def contract_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("source_id", "version", "name", F.array_join("referenced_schemas", ",").alias("refs"), "json_pointer")
 
 
+@query(rf"""WITH {_PAGES}
+SELECT source_id, 'Schema Page' || k AS title, 'Schema Page' || k || chr(10) || 'object' || chr(10) || 'property next' || chr(10) || '#/components/schemas/Link' || chr(10) AS content FROM p
+UNION ALL SELECT source_id, 'Schema Link', 'Schema Link' || chr(10) || 'string' || chr(10) FROM p""")
+def schema_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index says of each schema."""
+    return contracts.schema_text(contracts.schemas(page_contracts(spark, sf_dir))).select("source_id", "title", "content")
+
+
 @query(rf"""WITH {_PAGES}
 SELECT source_id, version, '3.' || (k % 2) || '.0' AS openapi, host AS title, CAST(page_id AS VARCHAR) AS api_version, CAST(2 AS INT) AS schema_count, CAST(1 AS INT) AS path_count FROM p""")
 def contract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

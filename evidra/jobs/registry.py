@@ -528,16 +528,51 @@ edges AS (
 """
 
 
-@query(f"""WITH RECURSIVE {_SCHEMAS_SQL}, reach(version, root_source, root_key, source_id, p_partkey) AS (
+_REACH_SQL = f"""{_SCHEMAS_SQL}, reach(version, root_source, root_key, source_id, p_partkey) AS (
   SELECT version, source_id, p_partkey, source_id, p_partkey FROM defs
   UNION SELECT r.version, r.root_source, r.root_key, e.to_source, e.target FROM reach r JOIN edges e ON e.version = r.version AND e.source_id = r.source_id AND e.p_partkey = r.p_partkey)
+"""
+
+
+@query(f"""WITH RECURSIVE {_REACH_SQL}
 SELECT version, root_source, 'P' || root_key AS root_name, nullif(source_id, '') AS source_id, 'P' || p_partkey AS name, source_id <> '' AND source_id <> root_source AS cross_source, source_id = '' AS unresolved FROM reach""")
 def schema_closure_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each part's schema refers to, across the brands of one tens digit: the part of half its key and the seventh after it."""
+    """What each part's schema refers to, across the brands of one tens digit."""
+    return graph.reference_closure(*_part_schemas(spark, sf_dir)).drop("depth")
+
+
+def _part_schemas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Definitions and references: a part's schema refers to that of half its key and to the seventh after it."""
     p = table(spark, sf_dir, "part").withColumn("version", F.substring("p_brand", 1, 7))
     own = p.select("version", F.col("p_brand").alias("source_id"), F.right("p_brand", F.lit(1)).cast("long").alias("precedence"), "p_partkey")
     shared = p.where("p_size % 5 = 0").select("version", F.concat("version", F.lit("/shared")).alias("source_id"), F.lit(100).cast("long").alias("precedence"), "p_partkey")
     name = lambda c: F.concat(F.lit("P"), c.cast("string"))
     defs = written(own.unionByName(shared).withColumn("name", name(F.col("p_partkey"))))
     refs = defs.select("source_id", "version", "name", F.explode(F.array(F.expr("p_partkey div 2"), F.col("p_partkey") + 7)).alias("target")).withColumn("target", name(F.col("target")))
-    return graph.reference_closure(defs.drop("p_partkey"), refs).drop("depth")
+    return defs.drop("p_partkey"), refs
+
+
+@query(f"""WITH RECURSIVE {_REACH_SQL},
+asked AS (SELECT s_suppkey AS requirement_id, s_suppkey AS k, 'Brand#' || (1 + s_suppkey % 5) AS version FROM supplier),
+roots AS (
+  SELECT requirement_id, version, 0 AS seq, k AS p_partkey, 'explicit' AS via, NULL AS source_id FROM asked
+  UNION ALL SELECT requirement_id, version, 1, 2 * k, 'source:' || version || '/shared', version || '/shared' FROM asked
+  UNION ALL SELECT requirement_id, version, 2, k + 7, 'operation:GET /' || k, version || '1' FROM asked),
+first AS (SELECT * FROM roots QUALIFY row_number() OVER (PARTITION BY requirement_id, p_partkey ORDER BY seq) = 1),
+direct AS (
+  SELECT f.requirement_id, f.version, f.seq, f.p_partkey, f.via, CASE WHEN f.source_id IS NULL THEN b.best ELSE d.source_id END AS source_id
+  FROM first f LEFT JOIN best b ON b.version = f.version AND b.target = f.p_partkey LEFT JOIN defs d ON d.source_id = f.source_id AND d.p_partkey = f.p_partkey AND d.version = f.version),
+ways AS (
+  SELECT requirement_id, p_partkey, via, source_id, seq, 0 AS level FROM direct
+  UNION ALL SELECT d.requirement_id, r.p_partkey, 'transitive:P' || d.p_partkey, r.source_id, d.seq, 1 FROM direct d JOIN reach r ON r.version = d.version AND r.root_source = d.source_id AND r.root_key = d.p_partkey
+    WHERE r.source_id <> '' AND NOT (r.source_id = d.source_id AND r.p_partkey = d.p_partkey))
+SELECT requirement_id, 'P' || p_partkey AS name, via, source_id, source_id IS NOT NULL AS found FROM ways QUALIFY row_number() OVER (PARTITION BY requirement_id, p_partkey ORDER BY seq, level, source_id) = 1""")
+def traced_schemas_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as requirements that name schemas outright, by a cited source and by an operation."""
+    i = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(i.alias("requirement_id"), F.concat(F.lit("Brand#"), (1 + i % 5).cast("string")).alias("version"))
+    i, v, name = F.col("requirement_id"), F.col("version"), lambda c: F.concat(F.lit("P"), c.cast("string"))
+    root = lambda seq, key, via, source: F.struct(F.lit(seq).alias("seq"), name(key).alias("name"), via.alias("via"), source.alias("source_id"))
+    shared = F.concat(v, F.lit("/shared"))
+    ways = F.array(root(0, i, F.lit("explicit"), F.lit(None).cast("string")), root(1, 2 * i, F.concat(F.lit("source:"), shared), shared), root(2, i + 7, F.concat(F.lit("operation:GET /"), i.cast("string")), F.concat(v, F.lit("1"))))
+    return graph.traced(s.select("requirement_id", "version", F.explode(ways).alias("r")).select("requirement_id", "version", "r.*"), *_part_schemas(spark, sf_dir))

@@ -76,13 +76,33 @@ def resolved(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     return refs.join(own, ["source_id", "name"], "left").join(best, ["version", "name"], "left").select("source_id", "version", "name", F.when(F.col("own"), F.col("source_id")).otherwise(F.col("best")).alias("defined_in"), (~F.coalesce("own", F.lit(False)) & F.col("best").isNotNull()).alias("cross_source"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-def reference_closure(definitions: DataFrame, refs: DataFrame) -> DataFrame:
+def reference_closure(definitions: DataFrame, refs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(version, root_source, root_name, source_id, name, depth, cross_source, unresolved): all that each of
     definitions(source_id, version, name, precedence) refers to over refs(source_id, version, name, target), itself at
-    depth 0. A name that no source of the version defines has no source_id and is unresolved."""
+    depth 0; given roots(version, source_id, name), of these only. A name that no source of the version defines has no source_id and is unresolved."""
     where = resolved(refs.select("source_id", "version", F.col("target").alias("name")).distinct(), definitions).select("source_id", "version", F.col("name").alias("target"), "defined_in")
     node = lambda source, name: F.struct(F.col("version"), F.coalesce(source, F.lit("")).alias("source_id"), F.col(name).alias("name"))
     edges = refs.join(where, ["source_id", "version", "target"]).select(node(F.col("source_id"), "name").alias("src"), node(F.col("defined_in"), "target").alias("dst"))
-    reached = closure(edges, definitions.select(node(F.col("source_id"), "name").alias("root")))
+    reached = closure(edges, (definitions if roots is None else roots).select(node(F.col("source_id"), "name").alias("root")))
     source, unresolved = F.col("node.source_id"), F.col("node.source_id") == ""
     return reached.select("root.version", F.col("root.source_id").alias("root_source"), F.col("root.name").alias("root_name"), F.when(~unresolved, source).alias("source_id"), "node.name", "depth", (~unresolved & (source != F.col("root.source_id"))).alias("cross_source"), unresolved.alias("unresolved"))
+
+
+def traced(roots: DataFrame, definitions: DataFrame, refs: DataFrame) -> DataFrame:
+    """(requirement_id, name, via, source_id, found): the schemas that requirements name, and those that these refer to.
+
+    roots(requirement_id, version, seq, name, via, source_id) are the names in the order in which they count; a name with a
+    source_id must be defined there, others have the version's best definition. What a root reaches follows it as
+    transitive; each name keeps the first way it is come by."""
+    first = roots.withColumn("nth", F.row_number().over(W.partitionBy("requirement_id", "name").orderBy("seq"))).where("nth = 1").drop("nth")
+    best = definitions.groupBy("version", "name").agg(F.min_by("source_id", F.struct(-F.col("precedence"), F.col("source_id"))).alias("best"))
+    own = definitions.select("version", "name", "source_id", F.col("source_id").alias("own")).distinct()
+    direct = first.join(best, ["version", "name"], "left").join(own, ["version", "name", "source_id"], "left").select("requirement_id", "version", "seq", "name", "via", F.when(F.col("source_id").isNull(), F.col("best")).otherwise(F.col("own")).alias("source_id"))
+    direct = written(direct)
+    known = direct.where("source_id is not null")
+    reached = reference_closure(definitions, refs, known.select("version", "source_id", "name").distinct()).where("depth > 0 and not unresolved")
+    after = reached.select("version", F.col("root_source").alias("source_id"), F.col("root_name").alias("name"), F.col("source_id").alias("to_source"), F.col("name").alias("to_name"))
+    after = known.join(after, ["version", "source_id", "name"]).select("requirement_id", F.col("to_name").alias("name"), F.concat(F.lit("transitive:"), "name").alias("via"), F.col("to_source").alias("source_id"), "seq", F.lit(1).alias("level"))
+    both = direct.select("requirement_id", "name", "via", "source_id", "seq", F.lit(0).alias("level")).unionByName(after)
+    kept = both.groupBy("requirement_id", "name").agg(F.min_by(F.struct("via", "source_id"), F.struct("seq", "level", "source_id")).alias("k"))
+    return kept.select("requirement_id", "name", "k.via", "k.source_id", F.col("k.source_id").isNotNull().alias("found"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -163,3 +164,43 @@ def search_text(ops: DataFrame, params: DataFrame, answers: DataFrame) -> DataFr
     )
     ids = F.concat(F.array("path", F.concat_ws(" ", "method", "path"), "operation_id"), F.coalesce(F.transform("ps", lambda q: q["name"]), F.array().cast(_LIST)), F.coalesce(F.flatten(F.transform("rs", lambda q: q["headers"])), F.array().cast(_LIST)))
     return x.select(*_OP, F.concat_ws(" ", "method", "path", F.coalesce("summary", "operation_id")).alias("title"), F.array_join(F.filter(lines, lambda l: l.isNotNull()), "\n").alias("content"), F.array_distinct(F.transform(F.filter(ids, lambda i: i.isNotNull()), F.lower)).alias("identifiers"))
+
+
+#: The keys of a schema whose texts are searched.
+SPOKEN = frozenset("description title enum format type pattern $ref".split())
+
+
+def _spoken(node, key: str | None) -> Iterator[str]:
+    """The lines that a schema's part says, in its order; items of a list stand for the list's key."""
+    if isinstance(node, str):
+        if key in SPOKEN:
+            yield node
+    elif isinstance(node, list):
+        for part in node:
+            yield from _spoken(part, key)
+    elif isinstance(node, dict):
+        for k, part in node.items():
+            if k != "properties":
+                yield from _spoken(part, k)
+            elif isinstance(part, dict):
+                for name, said in part.items():
+                    yield f"property {name}"
+                    yield from _spoken(said, None)
+
+
+def schema_text(named: DataFrame) -> DataFrame:
+    """named(source_id, version, name, schema, …) with title and content for the search index; a schema that is no JSON has
+    its name alone."""
+
+    @F.pandas_udf("string")
+    def lines(schemas: pd.Series) -> pd.Series:
+        def said(text: str | None) -> str:
+            try:
+                return "".join(f"{line}\n" for line in _spoken(json.loads(text or "null"), None))
+            except ValueError:
+                return ""
+
+        return schemas.map(said)
+
+    title = F.concat(F.lit("Schema "), "name")
+    return named.withColumn("title", title).withColumn("content", F.concat(title, F.lit("\n"), lines("schema")))

@@ -428,3 +428,11 @@ def test_references_across_sources(spark):
     refs = spark.createDataFrame([("a", "v", "X", "Y"), ("a", "v", "Y", "Z"), ("a", "v", "Y", "Q"), ("c", "v", "Z", "X")], "source_id string, version string, name string, target string")
     got = graph.reference_closure(defs, refs).where("root_name = 'X'")
     assert {(r.source_id, r.name, r.depth, r.cross_source, r.unresolved) for r in got.collect()} == {("a", "X", 0, False, False), ("a", "Y", 1, False, False), ("c", "Z", 2, True, False), (None, "Q", 2, False, True)}
+
+
+def test_schema_text(spark):
+    """Properties by name, texts of the keys that are searched, items of lists, in the source's order; no JSON, no lines."""
+    schema = '{"type":["string","null"],"x-note":"not said","properties":{"b":{"enum":["x","y",1],"title":"B"},"description":{"$ref":"#/a"}},"minimum":"3","allOf":[{"pattern":"p"}]}'
+    named = spark.createDataFrame([("s", "v", "Thing", schema), ("s", "v", "Broken", "{"), ("s", "v", "None", None)], "source_id string, version string, name string, schema string")
+    got = {r.name: r.content for r in contracts.schema_text(named).collect()}
+    assert got == {"Thing": "Schema Thing\nstring\nnull\nproperty b\nx\ny\nB\nproperty description\n#/a\np\n", "Broken": "Schema Broken\n", "None": "Schema None\n"}

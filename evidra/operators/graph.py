@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from evidra.sources.tables import written
 
+#: Levels of a closure that are kept as tables of their own before they become one.
+MERGED = 8
+
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): what each root reaches over edges(src, dst), itself at depth 0, each at its least depth.
 
-    One join a level against what isn't reached yet; each level is written, so a lost executor costs one level."""
+    One join a level against what isn't reached yet; each level is written, so a lost executor costs one level, and
+    all of them are written again every MERGED levels only."""
     edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     reached = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     last = reached
@@ -23,7 +27,9 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         last = written(step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
             break
-        reached = written(reached.unionByName(last))
+        reached = reached.unionByName(last)
+        if depth % MERGED == 0:
+            reached = written(reached)
     return reached
 
 

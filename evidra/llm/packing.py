@@ -12,7 +12,6 @@ doc_id stays null. A length that holds most pieces is numbered in about the squa
 from __future__ import annotations
 
 import base64
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,31 +30,13 @@ VOCABULARY = "byte_bpe_50k"
 PATTERNS = 160_000
 #: Share of the pieces that a fit may miss, and that is left to best fit.
 MISFIT, REST = 0.03, 0.01
-#: Words that a worker keeps the ids of, at most.
-KEPT_WORDS = 100_000
 _SPECIAL = {"<|endoftext|>": 50256}
 #: Up to U+027F all versions of Unicode agree on what is a letter; other texts go to the reference tokenizer.
 _PLAIN = bytes([*range(0xCA), *range(0xF8, 0x100)])
-_SPACES = [chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0)]
-
-
-class _Words(dict):
-    """Word -> bytes of the ids of a space and the word."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        got = self[word] = self.encode(" " + word)
-        return got
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts: a token never goes across a single space, so words are encoded one by one and
-    remembered; texts where white space precedes a space, and characters beyond U+027F, take the direct way."""
+    """Ids of texts: tiktoken with the same vocabulary where it is proven equal, the reference tokenizer elsewhere."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers as P
@@ -65,19 +46,11 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(f"{vocabulary}.tiktoken"), "rb"))}
         self.fast = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=_SPECIAL)
         self.full = cache(lambda: Tokenizer.from_file(P.path(f"{vocabulary}.json")))
-        self.words = _Words(self._direct)
-
-    def _direct(self, text: str) -> bytes:
-        ids = self.fast.encode(text, allowed_special="all") if "<|" in text else self.fast.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> np.ndarray:
         if text.encode("utf-8", "surrogatepass").translate(None, _PLAIN):
-            return np.asarray(self.full().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if any(s in text for s in _SPACES):
-            return self._direct(text)
-        first, *rest = text.split(" ")
-        return self._direct(first) + b"".join(map(self.words.__getitem__, rest))
+            return np.asarray(self.full().encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, allowed_special="all" if "<|" in text else set(), disallowed_special=()).astype("<u4", copy=False)
 
 
 @cache
@@ -96,7 +69,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: st
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encode(text) + tail
+                raw = encode(text).tobytes() + tail
                 n = len(raw) // 4
                 a, k = 0, 0
                 while a < n:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import embeddings, licences, merkle, mixing, nearduplicates, packing, pii, quality, secrets, substrings, tokenids, urls
+from evidra.llm import embeddings, licences, merkle, mixing, nearduplicates, packing, pii, quality, ranking, secrets, substrings, tokenids, urls
 from evidra.llm.common import table
 
 
@@ -61,5 +61,10 @@ def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read(spark, folder, shards)
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op7_substring_dedup, op8_quality_rules, op9_embedding_near_dedup, op10_secret_scan, op11_merkle_manifest, op12_token_ids)}
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": nearduplicates.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL, "op7_substring_dedup": substrings.ORACLE_SQL, "op9_embedding_near_dedup": embeddings.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, figures = ranking.index(table(spark, sf_dir, "documents"))
+    return ranking.search(blocks, figures, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_pii, op3_minhash_near_dedup, op4_best_fit_packing, op5_source_mixing, op6_url_rules, op7_substring_dedup, op8_quality_rules, op9_embedding_near_dedup, op10_secret_scan, op11_merkle_manifest, op12_token_ids, op13_ranked_search)}
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": nearduplicates.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL, "op6_url_rules": urls.ORACLE_SQL, "op7_substring_dedup": substrings.ORACLE_SQL, "op9_embedding_near_dedup": embeddings.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_ranked_search": ranking.ORACLE_SQL}

@@ -2,9 +2,10 @@
 
 A document's ids are those of a byte-level BPE vocabulary, then one end id; null text is empty text. Documents longer than
 a sequence, and no others, are cut into full pieces, what is left over coming first. The pieces' lengths are counted (at
-most one row a length), patterns of one to four lengths that occur are fitted to the counts by non-negative least squares,
-rounded and fitted again to what is left, and the last hundredth of the pieces is packed best fit, longest first. Pieces of one length are then
-numbered and dealt to the places that the patterns have for it.
+most one row a length), patterns of one to four lengths that occur (short ones in runs of equal pieces) are fitted to the
+counts by non-negative least squares, rounded and fitted again to what is left, and what no nearly full pattern takes is put
+into open space or packed best fit, longest first. Pieces of one length are then numbered and dealt to the places that the
+patterns have for it.
 
 Repeated rows are documents like any other; an empty table gives an empty result; extra columns don't matter; a null
 doc_id stays null. A length that holds most pieces is numbered in about the square root of as many parts."""
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,10 +28,14 @@ from evidra.llm.common import id_text, session, written
 
 LENGTH, END = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-#: Patterns of one fit, at most.
-PATTERNS = 160_000
-#: Share of the pieces that a fit may miss, and that is left to best fit.
-MISFIT, REST = 0.03, 0.01
+#: Patterns of few lengths that one fit takes, at most; greedy ones, which make up any counts, come on top.
+PATTERNS = 40_000
+#: Share of the tokens that is left to best fit.
+REST = 0.01
+#: Share of a sequence that a fitted pattern may leave open, and the part of it up to which a piece is short.
+SLACK, SHORT = 0.01, 8
+#: Kinds of short pieces that are tried to fill one open space.
+FILLERS = 2
 _SPECIAL = {"<|endoftext|>": 50256}
 #: Up to U+027F all versions of Unicode agree on what is a letter; other texts go to the reference tokenizer.
 _PLAIN = bytes([*range(0xCA), *range(0xF8, 0x100)])
@@ -86,63 +92,114 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, vocabulary: st
     return id_text(docs).mapInArrow(cut, schema)
 
 
-def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> np.ndarray:
-    """Patterns of one to four lengths that occur, longest first (rows of 4, 0: none), that leave at most slack of a
-    sequence and that the counts have the pieces for: all pairs, each with the longest third that fits, with the longest
-    two that fit in turn, and with two that share what is left."""
+def runs(counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, times), by ascending total: what patterns are made of. Each length that occurs, once; and short ones as often
+    as fit in a half, a third and a fourth of a sequence, as far as there are so many."""
     have = np.flatnonzero(counts)
-    upto = np.zeros(length + 1, np.int64)  # the longest length that occurs, up to each
-    upto[have] = have
-    upto = np.maximum.accumulate(upto)
-    i, j = np.tril_indices(len(have))
-    fits = have[i] + have[j] <= length
-    a, b = have[i][fits], have[j][fits]
-    left, none = length - a - b, np.zeros(fits.sum(), np.int64)
-    rows = [np.stack([have, *[np.zeros_like(have)] * 3], 1), np.stack([a, b, none, none], 1), np.stack([a, b, upto[np.minimum(left, b)], none], 1)]
+    short = have[have <= length // SHORT]
+    piece, times = [have], [np.ones(len(have), np.int64)]
+    for share in (2, 3, 4):
+        piece.append(short), times.append(np.minimum(length // share // np.maximum(short, 1), counts[short]))
+    piece, times = np.concatenate(piece), np.concatenate(times)
+    piece, times = np.unique(np.stack([piece, times], 1)[times > 0], axis=0).T if len(piece) else (piece, times)
+    order = np.lexsort((piece, piece * times))
+    return piece[order], times[order]
+
+
+def fillers(counts: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every open space the short pieces that, repeated, leave least of it: a few (piece, times) by space."""
+    short = np.flatnonzero(counts[: length // SHORT + 1])
+    if not len(short):
+        return []
+    space = np.arange(length + 1)[:, None]
+    times = space // short
+    rest = np.where((times > 0) & (times <= counts[short]), space - times * short, length)
+    order = np.argsort(rest, axis=1, kind="stable")[:, : min(FILLERS, len(short))]
+    return [(np.where(rest[space[:, 0], o] < length, short[o], 0), np.where(rest[space[:, 0], o] < length, times[space[:, 0], o], 0)) for o in order.T]
+
+
+def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, times), four columns each (0: none): patterns of one to four runs, longest first, that leave at most slack of a
+    sequence and that the counts have the pieces for: all pairs, each with the longest third that fits, with the longest
+    two that fit in turn, and with two that share what is left. Short lengths begin a pattern as runs only."""
+    piece, times = runs(counts, length)
+    total = piece * times
+    upto = np.searchsorted(total, np.arange(length + 1), side="right") - 1  # the longest run, up to each length; -1: none
+    lead = np.flatnonzero(total > length // SHORT) if (total > length // SHORT).any() else np.arange(len(total))
+    i, j = np.tril_indices(len(lead))
+    i, j = lead[i], lead[j]
+    fits = total[i] + total[j] <= length
+    a, b = i[fits], j[fits]
+    sizes = np.append(total, 0)  # of the run -1
+    left, none = length - total[a] - total[b], np.full(len(a), -1)
+    below = lambda space, run: np.minimum(upto[np.maximum(space, 0)], run)
+    alone, empty = np.arange(len(total)), np.full(len(total), -1)
+    rows = [np.stack([alone, *[empty] * 3], 1), np.stack([a, b, none, none], 1)]
     for share in (1, 2, 3):
-        c = upto[np.minimum(left // share, b)]
-        rows.append(np.stack([a, b, c, upto[np.minimum(left - c, c)]], 1))
+        c = below(left // share, b)
+        d = below(left - sizes[c], c)
+        rows.append(np.stack([a, b, c, np.where(c < 0, -1, d)], 1))
+        if share == 1:
+            rows.append(np.stack([a, b, c, none], 1))
     rows = np.concatenate(rows)
-    rows = np.unique(rows[length - rows.sum(1) <= slack], axis=0)
+    pieces, many = [np.append(piece, 0)[rows]], [np.append(times, 0)[rows]]
+    for v, k in fillers(counts, length):  # short pieces as often as fit into what one or two leave
+        for first in (np.stack([alone, empty], 1), np.stack([a, b], 1)):
+            space = length - sizes[first].sum(1)
+            for known, given, filler in ((pieces, piece, v), (many, times, k)):
+                known.append(np.concatenate([np.append(given, 0)[first], np.stack([filler[space], 0 * space], 1)], 1))
+    pieces, many = np.concatenate(pieces), np.concatenate(many)
+    close = length - (pieces * many).sum(1) <= slack
+    both = np.unique(np.concatenate([pieces[close], many[close]], 1), axis=0)
+    pieces, many = both[:, :4], both[:, 4:]
+    ok = np.ones(len(pieces), bool)
     for k in range(4):
-        rows = rows[counts[rows[:, k]] >= (rows == rows[:, k : k + 1]).sum(1) * (rows[:, k] > 0)]
-    rows = rows[np.lexsort((length - rows.sum(1), -rows[:, 1], -rows[:, 0]))]
-    return rows[:: max(1, -(-len(rows) // PATTERNS))]  # evenly over all lengths
-
-
-def fitted(counts: np.ndarray, patterns: np.ndarray, length: int, cost: float = 0.5, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Repeats of each pattern, not negative, with the least sum of squared differences from the counts, plus a small cost
-    of what patterns leave empty; and the sum of the differences. Projected gradient steps with momentum, until the
-    differences are small or no longer fall. Sums are written out: threads of a linear algebra library would take more time to wait than to add."""
-    flat, wanted = patterns.ravel(), counts.astype(float)
-    wanted[0] = 0
-    waste = cost * wanted.sum() / max(np.count_nonzero(wanted), 1) * (length - patterns.sum(1)) / length
+        ok &= counts[pieces[:, k]] >= (many * (pieces == pieces[:, k : k + 1])).sum(1) * (pieces[:, k] > 0)
+    pieces, many = pieces[ok], many[ok]
+    waste = length - (pieces * many).sum(1)
+    order = np.lexsort((waste, -pieces[:, 1], -pieces[:, 0]))
+    order = order[:: max(1, -(-len(order) // PATTERNS))]  # evenly over all lengths
+    return pieces[order], many[order]
+
+
+def fitted(counts: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], waste: np.ndarray, cost: float = 2.0, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Repeats of each pattern, not negative, with the least sum of squared differences from the counts, plus a cost
+    of what patterns leave empty; and the sum of the differences. rows: (pattern, piece, times), waste: the empty share of each.
+
+    Projected gradient steps with momentum, until the differences are small or no longer fall. Sums are written out:
+    threads of a linear algebra library would take more time to wait than to add."""
+    pattern, piece, times = rows
+    wanted, n = counts.astype(float), len(waste)
+    scale = 1 / np.sqrt(np.bincount(pattern, times * times, n))  # a pattern of many pieces is steep: its step is shorter
+    times = times * scale[pattern]
+    cost = cost * wanted.sum() / max(np.count_nonzero(wanted), 1) * waste * scale
 
     def pieces_of(x: np.ndarray) -> np.ndarray:
-        out = np.bincount(flat, np.repeat(x, patterns.shape[1]), len(wanted))
-        out[0] = 0  # places that a pattern doesn't use
-        return out
+        return np.bincount(piece, x[pattern] * times, len(wanted))
+
+    def patterns_of(off: np.ndarray) -> np.ndarray:
+        return np.bincount(pattern, off[piece] * times, n)
 
-    v = np.ones(len(patterns))
+    v = np.ones(n)
     for _ in range(8):  # the steepest direction bounds the step
-        v = pieces_of(v)[patterns].sum(1)
+        v = patterns_of(pieces_of(v))
         steep = np.sqrt((v * v).sum())
         v /= steep
     steep *= 1.05
-    x = np.zeros(len(patterns))
+    x = np.zeros(n)
     y, momentum, before = x, 1.0, np.inf
     for step in range(1, steps + 1):
-        z = np.maximum(0, y - ((pieces_of(y) - wanted)[patterns].sum(1) + waste) / steep)
+        z = np.maximum(0, y - (patterns_of(pieces_of(y) - wanted) + cost) / steep)
         if ((y - z) * (z - x)).sum() > 0:
             momentum = 1.0
         faster = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         y, x, momentum = z + (momentum - 1) / faster * (z - x), z, faster
         if step % 50 == 0:
             off = float(np.abs(wanted - pieces_of(x)).sum())
-            if off <= 0.002 * wanted.sum() or off > 0.98 * before:
+            if off <= 0.002 * wanted.sum() or off > 0.995 * before:
                 break
             before = off
-    return x, float(np.abs(wanted - pieces_of(x)).sum())
+    return scale * x, float(np.abs(wanted - pieces_of(x)).sum())
 
 
 def best_fit(counts: list[int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -172,42 +229,65 @@ def best_fit(counts: list[int], length: int) -> list[tuple[tuple[int, ...], int]
         out.append((tuple(pattern), repeats))
 
 
+def filled(plan: list[tuple[tuple[int, ...], int]], left: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with pieces that are left put into its open space, longest first, each where the least stays open; left
+    loses them."""
+    room: list[list] = [[] for _ in range(length + 1)]
+    for pattern, n in plan:
+        room[length - sum(pattern)].append((pattern, n))
+    for v in np.flatnonzero(left)[::-1].tolist():
+        for space in range(v, length + 1):
+            while left[v] and room[space]:
+                pattern, n = room[space].pop()
+                k = min(n, int(left[v]))
+                if k < n:
+                    room[space].append((pattern, n - k))
+                room[space - v].append(((*pattern, v), k))
+                left[v] -= k
+    return [x for some in room for x in some]
+
+
 def planned(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that use up the counts of lengths.
 
-    Patterns that fill a sequence are fitted first; where these can't make up the counts to within MISFIT of the pieces, those
-    that leave a little more are allowed, too. Repeats are rounded down; where that places few pieces, fractions are added up in
-    the patterns' order and give one more whenever they reach a whole. What is left is fitted again, until REST of the pieces
-    remain or a round places next to none; those are packed best fit."""
+    Patterns of few lengths that leave at most SLACK open, and those of a greedy pass, which can make up any counts, are
+    fitted together. Repeats are rounded down; where that places few pieces, fractions are added up in the patterns' order
+    and give one more whenever they reach a whole. What is left is fitted again, until REST of the tokens remain or a round
+    places next to none; pieces that remain go to open space, and else are packed best fit."""
     left = np.zeros(length + 1, np.int64)
     for v, n in counts.items():
         left[v] = n
     out = [((length,), int(left[length]))] if left[length] else []
     left[length] = 0
-    total, slack = int(left.sum()), 0
-    while left.sum() > REST * total + 8:
-        while True:
-            patterns = few_document_patterns(left, length, slack)
-            if len(patterns):
-                repeats, off = fitted(left, patterns, length)
-                if off <= MISFIT * left.sum():
-                    break
-            if slack >= length:
-                break
-            slack = min(length, max(1, 3 * slack))
+    tokens = np.arange(length + 1)
+    total = int((left * tokens).sum())
+    while (left * tokens).sum() > REST * total + length:
+        few, many = few_document_patterns(left, length, int(length * SLACK))
+        at, column = np.nonzero(few)
+        rows = [np.stack([at, few[at, column], many[at, column]])]
+        greedy = [sorted(Counter(p).items()) for p, _ in best_fit(left.tolist(), length)]
+        rows.append(np.array([(len(few) + i, v, k) for i, p in enumerate(greedy) for v, k in p]).T)
+        pattern, piece, times = np.concatenate(rows, 1)
+        n = len(few) + len(greedy)
+        repeats, _ = fitted(left, (pattern, piece, times), 1 - np.bincount(pattern, piece * times, n) / length)
         whole = np.floor(repeats + 1e-6).astype(np.int64)
-        if (whole * (patterns > 0).sum(1)).sum() < 0.2 * left.sum():
+        sizes = np.bincount(pattern, times, n)
+        if (whole * sizes).sum() < 0.2 * left.sum():
             whole += np.diff(np.floor(np.cumsum(repeats - whole) + 0.5), prepend=0).astype(np.int64)
-        before, some = int(left.sum()), np.flatnonzero(whole)
+        before, some = int((left * tokens).sum()), np.flatnonzero(whole)
+        begins = np.searchsorted(pattern, np.arange(n + 1))
         for i in some[np.argsort(-repeats[some], kind="stable")].tolist():
-            pattern = tuple(v for v in patterns[i].tolist() if v)
-            n = min(int(whole[i]), *(int(left[v]) // pattern.count(v) for v in pattern))
-            if n > 0:
-                for v in pattern:
-                    left[v] -= n
-                out.append((pattern, n))
-        if before - left.sum() < 0.05 * before:
+            need = Counter()
+            for v, k in zip(piece[begins[i] : begins[i + 1]].tolist(), times[begins[i] : begins[i + 1]].tolist(), strict=True):
+                need[v] += k
+            k = min(int(whole[i]), *(int(left[v]) // k for v, k in need.items()))
+            if k > 0:
+                for v, m in need.items():
+                    left[v] -= m * k
+                out.append((tuple(need.elements()), k))
+        if before - (left * tokens).sum() < 0.05 * before:
             break
+    out = filled(out, left, length)
     return out + best_fit(left.tolist(), length)
 
 

@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
-from evidra.jobs import contract_queries
+from evidra.jobs import contract_queries, version_queries
 from evidra.operators import chunks, graph, pages, search
 from evidra.sources.tables import spread, table, written
 
-QUERIES: dict = dict(contract_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(contract_queries.ORACLE_SQL)
+QUERIES: dict = contract_queries.QUERIES | version_queries.QUERIES
+ORACLE_SQL: dict[str, str] = contract_queries.ORACLE_SQL | version_queries.ORACLE_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

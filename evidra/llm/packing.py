@@ -36,6 +36,8 @@ REST = 0.01
 SLACK, SHORT = 0.01, 8
 #: Kinds of short pieces that are tried to fill one open space.
 FILLERS = 2
+#: Runs that begin patterns which are made at a time.
+LEADS = 128
 _SPECIAL = {"<|endoftext|>": 50256}
 #: Up to U+027F all versions of Unicode agree on what is a letter; other texts go to the reference tokenizer.
 _PLAIN = bytes([*range(0xCA), *range(0xF8, 0x100)])
@@ -126,32 +128,42 @@ def few_document_patterns(counts: np.ndarray, length: int, slack: int) -> tuple[
     total = piece * times
     upto = np.searchsorted(total, np.arange(length + 1), side="right") - 1  # the longest run, up to each length; -1: none
     lead = np.flatnonzero(total > length // SHORT) if (total > length // SHORT).any() else np.arange(len(total))
-    i, j = np.tril_indices(len(lead))
-    i, j = lead[i], lead[j]
-    fits = total[i] + total[j] <= length
-    a, b = i[fits], j[fits]
-    sizes = np.append(total, 0)  # of the run -1
-    left, none = length - total[a] - total[b], np.full(len(a), -1)
+    sizes, of, by = (np.append(x, 0).astype(np.int32) for x in (total, piece, times))  # of the run -1, too
     below = lambda space, run: np.minimum(upto[np.maximum(space, 0)], run)
-    alone, empty = np.arange(len(total)), np.full(len(total), -1)
-    rows = [np.stack([alone, *[empty] * 3], 1), np.stack([a, b, none, none], 1)]
-    for share in (1, 2, 3):
-        c = below(left // share, b)
-        d = below(left - sizes[c], c)
-        rows.append(np.stack([a, b, c, np.where(c < 0, -1, d)], 1))
-        if share == 1:
-            rows.append(np.stack([a, b, c, none], 1))
-    rows = np.concatenate(rows)
-    pieces, many = [np.append(piece, 0)[rows]], [np.append(times, 0)[rows]]
-    for v, k in fillers(counts, length):  # short pieces as often as fit into what one or two leave
-        for first in (np.stack([alone, empty], 1), np.stack([a, b], 1)):
-            space = length - sizes[first].sum(1)
-            for known, given, filler in ((pieces, piece, v), (many, times, k)):
-                known.append(np.concatenate([np.append(given, 0)[first], np.stack([filler[space], 0 * space], 1)], 1))
-    pieces, many = np.concatenate(pieces), np.concatenate(many)
-    close = length - (pieces * many).sum(1) <= slack
-    both = np.unique(np.concatenate([pieces[close], many[close]], 1), axis=0)
-    pieces, many = both[:, :4], both[:, 4:]
+    found: list[np.ndarray] = []
+
+    def keep(space: np.ndarray, *columns: tuple[np.ndarray, np.ndarray]) -> None:
+        """Of the patterns of these (pieces, times) columns, those that leave at most slack."""
+        close = np.flatnonzero(space <= slack)
+        some = [c[close] for pair in columns for c in pair]
+        found.append(np.stack(some[0::2] + [0 * close] * (4 - len(columns)) + some[1::2] + [0 * close] * (4 - len(columns)), 1).astype(np.int32))
+
+    run = lambda r: (of[r], by[r])
+    alone = np.arange(len(total))
+    keep(length - sizes[alone], run(alone))
+    fill = fillers(counts, length)  # short pieces as often as fit into what one or two leave
+    for v, k in fill:
+        keep(length - sizes[alone] - (v * k)[length - sizes[alone]], run(alone), (v[length - sizes[alone]], k[length - sizes[alone]]))
+    steps = range(0, len(lead), LEADS)
+    for first in steps:  # so many leads at a time, which bounds what is held
+        a, b = (x.ravel() for x in np.meshgrid(lead[first : first + LEADS], lead[: first + LEADS], indexing="ij"))
+        fits = (b <= a) & (total[a] + total[b] <= length)
+        a, b = a[fits], b[fits]
+        left = length - sizes[a] - sizes[b]
+        kept = len(found)
+        keep(left, run(a), run(b))
+        for share in (1, 2, 3):
+            c = below(left // share, b)
+            d = np.where(c < 0, -1, below(left - sizes[c], c))
+            keep(left - sizes[c] - sizes[d], run(a), run(b), run(c), run(d))
+            if share == 1:
+                keep(left - sizes[c], run(a), run(b), run(c))
+        for v, k in fill:
+            keep(left - (v * k)[left], run(a), run(b), (v[left], k[left]))
+        mine = np.unique(np.concatenate(found[kept:]), axis=0)
+        found[kept:] = [mine[:: max(1, len(mine) * len(steps) // (4 * PATTERNS))]]
+    both = np.unique(np.concatenate(found), axis=0)
+    pieces, many = both[:, :4].astype(np.int64), both[:, 4:].astype(np.int64)
     ok = np.ones(len(pieces), bool)
     for k in range(4):
         ok &= counts[pieces[:, k]] >= (many * (pieces == pieces[:, k : k + 1])).sum(1) * (pieces[:, k] > 0)

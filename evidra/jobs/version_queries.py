@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators import schemas
+from evidra.operators import graph, schemas
 from evidra.sources.tables import table, written
 
 QUERIES: dict = {}
@@ -68,3 +68,40 @@ UNION ALL SELECT root, ptr || '/properties/home/properties/main', 'property_remo
 def schema_changes_through_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's schema in two versions, through the brands and types that it refers to."""
     return schemas.differences(*part_schemas(spark, sf_dir))
+
+
+@query(r"""
+WITH RECURSIVE defs AS (SELECT DISTINCT left(p_brand, 7) AS version, p_brand AS source_id, right(p_brand, 1)::BIGINT AS precedence, p_partkey // 10 AS name FROM part),
+refs AS (SELECT source_id, version, name, unnest([name // 2, name + 7, name // 3]) AS target, unnest([0, 1, 2]) AS position FROM defs),
+links AS (SELECT source_id, version, name, target, min(position) AS position FROM refs GROUP BY ALL),
+best AS (SELECT version, name, source_id AS best, count(*) OVER (PARTITION BY version, name) AS candidates FROM defs QUALIFY row_number() OVER (PARTITION BY version, name ORDER BY precedence DESC, source_id) = 1),
+walk(root_source, root_name, name, version, source_id, referenced_from, depth, place, cross_source, candidates) USING KEY (root_source, root_name, name) AS (
+  SELECT source_id, name, -1::BIGINT, version, source_id, source_id, 0, 1::BIGINT, false, NULL::BIGINT FROM defs
+  UNION
+  SELECT root_source, root_name, name, version, source_id, referenced_from, depth, place, cross_source, candidates FROM (
+    SELECT *, row_number() OVER (PARTITION BY root_source, root_name ORDER BY parent, position) AS place,
+      coalesce(count(source_id) OVER (PARTITION BY root_source, root_name ORDER BY parent, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + had AS before
+    FROM (
+      SELECT n.*, CASE WHEN o.source_id IS NOT NULL THEN n.referenced_from ELSE b.best END AS source_id, o.source_id IS NULL AND b.best IS NOT NULL AS cross_source, CASE WHEN o.source_id IS NULL THEN b.candidates END AS candidates
+      FROM (
+        SELECT w.root_source, w.root_name, l.target AS name, w.version, w.source_id AS referenced_from, w.depth + 1 AS depth, w.place AS parent, l.position, h.had
+        FROM walk w JOIN links l ON l.source_id = w.source_id AND l.version = w.version AND l.name = CASE WHEN w.depth = 0 THEN w.root_name ELSE w.name END
+        JOIN (SELECT root_source, root_name, count(source_id) - 1 AS had FROM recurring.walk GROUP BY ALL) h ON h.root_source = w.root_source AND h.root_name = w.root_name
+        LEFT JOIN recurring.walk s ON s.root_source = w.root_source AND s.root_name = w.root_name AND s.name = l.target WHERE s.name IS NULL
+        QUALIFY row_number() OVER (PARTITION BY w.root_source, w.root_name, l.target ORDER BY w.place, l.position) = 1) n
+      LEFT JOIN defs o ON o.source_id = n.referenced_from AND o.version = n.version AND o.name = n.name LEFT JOIN best b ON b.version = n.version AND b.name = n.name))
+  WHERE before < 25),
+kept AS (SELECT * FROM walk WHERE depth > 0),
+cut AS (
+  SELECT DISTINCT w.root_source, w.root_name FROM walk w JOIN links l ON l.source_id = w.source_id AND l.version = w.version AND l.name = CASE WHEN w.depth = 0 THEN w.root_name ELSE w.name END
+  ANTI JOIN kept s ON s.root_source = w.root_source AND s.root_name = w.root_name AND s.name = l.target)
+SELECT k.root_source, k.root_name, k.name, k.version, k.source_id, k.referenced_from, k.depth::INT AS depth, k.cross_source, k.candidates, k.source_id IS NULL AS unresolved, c.root_name IS NOT NULL AS truncated
+FROM kept k LEFT JOIN cut c ON c.root_source = k.root_source AND c.root_name = k.root_name""")
+def ordered_closure_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each brand's tens of parts refer to, each name once; several brands of a version define one name. At most 25."""
+    p = table(spark, sf_dir, "part").select(F.substring("p_brand", 1, 7).alias("version"), F.col("p_brand").alias("source_id"), F.right("p_brand", F.lit(1)).cast("long").alias("precedence"), F.expr("p_partkey div 10").alias("name")).distinct()
+    defs = written(p)
+    refs = defs.select("source_id", "version", "name", F.posexplode(F.array(F.expr("name div 2"), F.col("name") + 7, F.expr("name div 3"))).alias("position", "target"))
+    root = F.struct("source_id", "name").alias("root")
+    asked = refs.select(root, "version", "source_id", F.col("target").alias("name"), "position")
+    return graph.ordered_closure(asked, defs, refs, 25).select(F.col("root.source_id").alias("root_source"), F.col("root.name").alias("root_name"), "name", "version", "source_id", "referenced_from", "depth", "cross_source", "candidates", "unresolved", "truncated")

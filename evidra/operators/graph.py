@@ -82,16 +82,65 @@ def resolved(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     return refs.join(own, ["source_id", "name"], "left").join(best, ["version", "name"], "left").select("source_id", "version", "name", F.when(F.col("own"), F.col("source_id")).otherwise(F.col("best")).alias("defined_in"), (~F.coalesce("own", F.lit(False)) & F.col("best").isNotNull()).alias("cross_source"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
+#: Definitions of one closure, at most; what is told beyond is that there is more.
+MAX_CLOSURE = 2000
+
+
+def ordered_closure(asked: DataFrame, definitions: DataFrame, refs: DataFrame, most: int = MAX_CLOSURE) -> DataFrame:
+    """(root, name, version, source_id, referenced_from, depth, place, cross_source, candidates, unresolved, truncated): all
+    that each root asks for and refers to, each name once.
+
+    asked(root, version, source_id, name, position): the names that a root refers to, in order; definitions(source_id, version,
+    name, precedence); refs(source_id, version, name, target, position). The walk is level by level. The first to arrive
+    (by the referring name's place in its level, then the reference's position) settles a name for its root: in the source
+    that refers to it, else, as a cross-source reference, in the version's best of so many candidates, else it is
+    unresolved. Once a root has `most` definitions, the next name that it would settle makes it truncated, and no more is added."""
+    own = definitions.select("source_id", "version", "name").distinct().withColumn("own", F.lit(True)).withColumnRenamed("source_id", "from")
+    w = W.partitionBy("version", "name")
+    best = definitions.withColumn("candidates", F.count(F.lit(1)).over(w)).withColumn("n", F.row_number().over(w.orderBy(F.desc("precedence"), "source_id"))).where("n = 1").select("version", "name", F.col("source_id").alias("best"), "candidates")
+    links = written(refs.groupBy("source_id", "version", "name", "target").agg(F.min("position").alias("position")))
+    level = asked.select("root", "version", "name", F.col("source_id").alias("from"), F.struct(F.lit(0).alias("parent"), F.col("position").cast("long").alias("position")).alias("way"))
+    columns = ["root", "version", "name", "from", "depth", "place", "source_id", "cross_source", "candidates"]
+    done = cut = None
+    for depth in count(1):  # ends, as each level settles names or is the last
+        if done is not None:
+            level = level.join(done.select("root", "name"), ["root", "name"], "left_anti")
+        first = level.withColumn("n", F.row_number().over(W.partitionBy("root", "name").orderBy("way"))).where("n = 1").drop("n")
+        met = first.join(own, ["from", "version", "name"], "left").join(best, ["version", "name"], "left")
+        met = met.withColumn("source_id", F.when(F.col("own"), F.col("from")).otherwise(F.col("best"))).withColumn("cross_source", F.col("own").isNull() & F.col("best").isNotNull())
+        in_order = W.partitionBy("root").orderBy("way")
+        met = met.withColumn("place", F.row_number().over(in_order)).withColumn("before", F.coalesce(F.count("source_id").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        if done is not None:
+            met = met.join(done.groupBy("root").agg(F.count("source_id").alias("had")), "root", "left").withColumn("before", F.col("before") + F.coalesce("had", F.lit(0)))
+        met = written(met.withColumn("depth", F.lit(depth)).withColumn("candidates", F.when(F.col("cross_source"), F.col("candidates"))).select(*columns, (F.col("before") < most).alias("fits")))
+        beyond = met.where("not fits").select("root").distinct()
+        cut = beyond if cut is None else cut.unionByName(beyond)
+        fresh = met.where("fits").drop("fits")
+        if fresh.isEmpty():
+            break
+        done = fresh if done is None else done.unionByName(fresh)
+        if depth % MERGED == 0:
+            done = written(done)
+        level = fresh.where("source_id is not null").select("root", "version", "name", "source_id", "place").join(links, ["source_id", "version", "name"])
+        level = level.select("root", "version", F.col("target").alias("name"), F.col("source_id").alias("from"), F.struct(F.col("place").alias("parent"), F.col("position").cast("long").alias("position")).alias("way"))
+    done = met.drop("fits") if done is None else done  # nothing was asked
+    out = done.join(cut.distinct().withColumn("truncated", F.lit(True)), "root", "left")
+    return out.select("root", "name", "version", "source_id", F.col("from").alias("referenced_from"), "depth", "place", "cross_source", "candidates", F.col("source_id").isNull().alias("unresolved"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def reference_closure(definitions: DataFrame, refs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(version, root_source, root_name, source_id, name, depth, cross_source, unresolved): all that each of
-    definitions(source_id, version, name, precedence) refers to over refs(source_id, version, name, target), itself at
-    depth 0; given roots(version, source_id, name), of these only. A name that no source of the version defines has no source_id and is unresolved."""
-    where = resolved(refs.select("source_id", "version", F.col("target").alias("name")).distinct(), definitions).select("source_id", "version", F.col("name").alias("target"), "defined_in")
-    node = lambda source, name: F.struct(F.col("version"), F.coalesce(source, F.lit("")).alias("source_id"), F.col(name).alias("name"))
-    edges = refs.join(where, ["source_id", "version", "target"]).select(node(F.col("source_id"), "name").alias("src"), node(F.col("defined_in"), "target").alias("dst"))
-    reached = closure(edges, (definitions if roots is None else roots).select(node(F.col("source_id"), "name").alias("root")))
-    source, unresolved = F.col("node.source_id"), F.col("node.source_id") == ""
-    return reached.select("root.version", F.col("root.source_id").alias("root_source"), F.col("root.name").alias("root_name"), F.when(~unresolved, source).alias("source_id"), "node.name", "depth", (~unresolved & (source != F.col("root.source_id"))).alias("cross_source"), unresolved.alias("unresolved"))
+    definitions(source_id, version, name, precedence) refers to over refs(source_id, version, name, target), each name once as in
+    ordered_closure, itself at depth 0; given roots(version, source_id, name), of these only. A name that no source of the
+    version defines has no source_id and is unresolved; references of one definition count in their names' order."""
+    given = (definitions if roots is None else roots).select("version", "source_id", "name").distinct()
+    refs = refs.select("source_id", "version", "name", "target").distinct().withColumn("position", F.row_number().over(W.partitionBy("source_id", "version", "name").orderBy("target")))
+    root = F.struct("version", "source_id", "name").alias("root")
+    asked = given.join(refs, ["source_id", "version", "name"]).select(root, "version", "source_id", F.col("target").alias("name"), "position")
+    found = ordered_closure(asked, definitions, refs).where("name <> root.name")
+    found = found.select("version", F.col("root.source_id").alias("root_source"), F.col("root.name").alias("root_name"), "source_id", "name", "depth", F.coalesce(F.col("source_id") != F.col("root.source_id"), F.lit(False)).alias("cross_source"), "unresolved")
+    itself = given.select("version", F.col("source_id").alias("root_source"), F.col("name").alias("root_name"), "source_id", "name", F.lit(0).alias("depth"), F.lit(False).alias("cross_source"), F.lit(False).alias("unresolved"))
+    return itself.unionByName(found)
 
 
 def traced(roots: DataFrame, definitions: DataFrame, refs: DataFrame) -> DataFrame:

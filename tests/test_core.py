@@ -436,3 +436,34 @@ def test_schema_text(spark):
     named = spark.createDataFrame([("s", "v", "Thing", schema), ("s", "v", "Broken", "{"), ("s", "v", "None", None)], "source_id string, version string, name string, schema string")
     got = {r.name: r.content for r in contracts.schema_text(named).collect()}
     assert got == {"Thing": "Schema Thing\nstring\nnull\nproperty b\nx\ny\nB\nproperty description\n#/a\np\n", "Broken": "Schema Broken\n", "None": "Schema None\n"}
+
+
+def _closure(spark, defs, refs, asked, most=2000):
+    d = spark.createDataFrame(defs, "source_id string, version string, name string, precedence long")
+    r = spark.createDataFrame([(s, "v", n, t, i) for s, n, targets in refs for i, t in enumerate(targets)], "source_id string, version string, name string, target string, position int")
+    a = spark.createDataFrame(asked, "root string, version string, source_id string, name string, position int")
+    got = graph.ordered_closure(a, d, r, most).orderBy("depth", "place").collect()
+    return [(x["root"], x["name"], x["source_id"], x["depth"]) for x in got], got
+
+
+def test_ordered_closure_settles_a_name_once(spark):
+    """Two sources define Y: the first reference to arrive decides which one counts; circles end; a cross-source reference
+    has its candidates; what no source defines is unresolved."""
+    defs = [("a", "v", "X", 1), ("a", "v", "Y", 1), ("b", "v", "Y", 5), ("b", "v", "Z", 5), ("c", "v", "Z", 9)]
+    refs = [("a", "X", ["Z", "Y"]), ("c", "Z", ["Y", "Q"]), ("a", "Y", ["X"]), ("b", "Y", ["never"])]
+    names, rows = _closure(spark, defs, refs, [("r", "v", "a", "X", 0)])
+    assert names == [("r", "X", "a", 1), ("r", "Z", "c", 2), ("r", "Y", "a", 2), ("r", "Q", None, 3)]
+    assert [(x["cross_source"], x["candidates"], x["unresolved"], x["truncated"]) for x in rows] == [(False, None, False, False), (True, 2, False, False), (False, None, False, False), (False, None, True, False)]
+    names, _ = _closure(spark, defs, [("a", "X", ["Z"]), *refs[1:]], [("r", "v", "a", "X", 0)])
+    assert ("r", "Y", "b", 3) in names and ("r", "never", None, 4) in names
+
+
+def test_ordered_closure_tells_what_it_leaves_out(spark):
+    defs = [("a", "v", n, 1) for n in "ABCDE"]
+    refs = [("a", "A", ["B", "none", "C", "D"]), ("a", "B", ["A"]), ("a", "C", ["E"])]
+    asked = [("r", "v", "a", "A", 0), ("s", "v", "a", "B", 0), ("t", "v", "a", "E", 0)]
+    names, rows = _closure(spark, defs, refs, asked, 3)
+    assert {x["root"]: x["truncated"] for x in rows} == {"r": True, "s": True, "t": False}
+    assert {n for r, n, *_ in names if r == "r"} == {"A", "B", "none", "C"} and {n for r, n, *_ in names if r == "s"} == {"B", "A", "none", "C"}
+    assert _closure(spark, defs, refs, asked[2:], 1)[0] == [("t", "E", "a", 1)] and not _closure(spark, defs, refs, asked[2:], 1)[1][0]["truncated"]
+    assert _closure(spark, defs, refs, asked[:0])[0] == []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.jobs import contract_queries, version_queries
-from evidra.operators import chunks, graph, pages, search
+from evidra.operators import chunks, graph, pages, phrases, search
 from evidra.sources.tables import spread, table, written
 
 QUERIES: dict = contract_queries.QUERIES | version_queries.QUERIES
@@ -350,6 +350,58 @@ def bm25_fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(search.ask(d, written(postings), written(figures), "doc_id", asked, ["version"]), "q", "doc_id", 10)
 
 
+_PLACES_SQL = r"""
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ws FROM documents),
+figures AS (SELECT count(*) AS n, avg(len(ws)) AS mean_length FROM words),
+asked AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')[1:3] AS ph FROM benchmark),
+terms AS (SELECT item_id, len(ph) AS n_terms, unnest(ph) AS term, unnest(range(len(ph))) AS place FROM asked),
+places AS (SELECT * FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS term, unnest(range(len(ws))) AS position FROM words) WHERE term IN (SELECT term FROM terms)),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM places GROUP BY term)
+"""
+
+
+@query(f"""WITH {_PLACES_SQL},
+starts AS (SELECT item_id, doc_id, length, position - place AS start FROM places JOIN terms USING (term) GROUP BY ALL HAVING count(*) = any_value(n_terms)),
+found AS (SELECT item_id, doc_id, length, count(*) AS tf FROM starts GROUP BY ALL),
+weights AS (SELECT item_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS weight FROM terms JOIN df USING (term) CROSS JOIN figures GROUP BY item_id),
+scores AS (SELECT item_id, doc_id, tf, round(weight * 2.2::DOUBLE * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)), 3) AS score FROM found JOIN weights USING (item_id) CROSS JOIN figures)
+SELECT item_id, doc_id, tf, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for the first three words of each statement as a phrase, and how often it stands there."""
+    d = _documents(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.array(F.array_join(F.slice(phrases.words(F.col("text")), 1, 3), " ")).alias("phrases"))
+    terms = written(phrases.phrase_terms(asked))
+    where = written(phrases.positions(d, "doc_id", ["text"]).join(terms.select("term").distinct(), "term", "left_semi"))
+    figures = d.agg(F.lit("text").alias("field"), F.count(F.lit(1)).alias("n"), F.avg(F.size(phrases.words(F.col("text")))).alias("mean_length")).select("field", "n", "mean_length")
+    scores = phrases.phrase_scores(where, figures, "doc_id", terms, {}, exact_lengths=True).withColumn("score", F.round("score", 3))
+    tf = phrases.phrase_matches(where, "doc_id", terms).select("q", "doc_id", "tf")
+    return search.top(scores.join(tf, ["q", "doc_id"]), "q", "doc_id", 10).select(F.col("q").alias("item_id"), "doc_id", "tf", "score", "rank")
+
+
+@query(rf"""WITH {_BM25_SQL},
+hits AS (SELECT item_id, doc_id FROM ranked WHERE rank <= 3),
+weights AS (SELECT DISTINCT t.item_id, t.term, 1.0::DOUBLE / (1 + df) AS w FROM terms t JOIN df USING (term)),
+runs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS rs FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+spots AS (
+  SELECT doc_id, lower(run) AS term, start, start + length(run) AS stop
+  FROM (SELECT doc_id, run, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT doc_id, unnest(rs) AS run, unnest(range(len(rs))) AS nth FROM runs)) WHERE regexp_matches(run, '[\p{{L}}\p{{N}}]')),
+met AS (SELECT h.item_id, p.doc_id, p.start, p.stop, w.w FROM hits h JOIN spots p USING (doc_id) JOIN weights w ON w.item_id = h.item_id AND w.term = p.term),
+totals AS (SELECT a.item_id, a.doc_id, a.start, round(sum(b.w), 9) AS total FROM met a JOIN met b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.start >= a.start AND b.stop <= a.start + 400 GROUP BY ALL),
+begun AS (SELECT item_id, doc_id, start FROM totals QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY total DESC, start) = 1),
+parts AS (SELECT h.item_id, h.doc_id, d.text, coalesce(b.start, 0) AS start, substr(d.text, CAST(coalesce(b.start, 0) + 1 AS BIGINT), 400) AS part FROM hits h JOIN documents d USING (doc_id) LEFT JOIN begun b USING (item_id, doc_id)),
+ended AS (SELECT *, length(text) > start + 400 AND regexp_matches(substr(text, CAST(start + 401 AS BIGINT), 1), '[\p{{L}}\p{{N}}]') AND regexp_matches(substr(part, 400, 1), '[\p{{L}}\p{{N}}]') AND regexp_matches(part, '[^\p{{L}}\p{{N}}][\p{{L}}\p{{N}}]+$') AS cut FROM parts)
+SELECT item_id, doc_id, regexp_replace(CASE WHEN cut THEN regexp_replace(part, '[\p{{L}}\p{{N}}]+$', '') ELSE part END, '[^\p{{L}}\p{{N}}]+$', '') AS fragment FROM ended""")
+def best_fragments_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each of the three best documents that says most of a statement, rare words counting most."""
+    hits = written(_hits(spark, sf_dir, 3).select(F.col("item_id").alias("q"), "doc_id"))
+    d = _documents(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.explode(search.related_terms(F.col("text"))).alias("term")).distinct()
+    df = d.select("doc_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = asked.join(df, "term").select("q", "term", (1 / (1 + F.col("df"))).alias("w"))
+    return phrases.best_fragments(hits, d, "doc_id", "text", weights).withColumnRenamed("q", "item_id")
+
+
 # --- catalogue: lookups, joins, ranks
 
 

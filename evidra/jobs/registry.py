@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.jobs import contract_queries, version_queries
-from evidra.operators import chunks, graph, pages, phrases, search
+from evidra.operators import chunks, evidence, graph, pages, phrases, search
 from evidra.sources.tables import spread, table, written
 
 QUERIES: dict = contract_queries.QUERIES | version_queries.QUERIES
@@ -628,3 +628,114 @@ def traced_schemas_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = F.concat(v, F.lit("/shared"))
     ways = F.array(root(0, i, F.lit("explicit"), F.lit(None).cast("string")), root(1, 2 * i, F.concat(F.lit("source:"), shared), shared), root(2, i + 7, F.concat(F.lit("operation:GET /"), i.cast("string")), F.concat(v, F.lit("1"))))
     return graph.traced(s.select("requirement_id", "version", F.explode(ways).alias("r")).select("requirement_id", "version", "r.*"), *_part_schemas(spark, sf_dir))
+
+
+# --- evidence of many endpoints
+
+
+_EVIDENCE_SQL = r"""
+k AS (SELECT s_suppkey AS k, 'v' || (s_suppkey % 2) AS version, CASE WHEN s_suppkey % 4 < 2 THEN 'GET' ELSE 'POST' END AS method, '/suppliers/' || (s_suppkey // 4) AS base FROM supplier),
+items AS (SELECT item_id AS i, text, 'R' || lpad(item_id::VARCHAR, 8, '0') AS id, 'v' || (item_id % 2) AS version, CASE WHEN item_id % 4 < 2 THEN 'GET' ELSE 'POST' END AS method, '/suppliers/' || (item_id // 4) AS base FROM benchmark),
+many AS (SELECT count(*) AS n FROM benchmark), convs AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+asks AS (
+  SELECT k AS ask_id, k, version, method, base || '/{key}' AS path, true AS found FROM k
+  UNION ALL SELECT 1000000 + i, k.k, items.version, items.method, items.base || '/{sid}', k.k IS NOT NULL FROM items LEFT JOIN k ON k.k = items.i),
+links AS (SELECT ask_id, id, items.i FROM asks JOIN items ON items.i = CASE WHEN ask_id >= 1000000 THEN ask_id - 1000000 ELSE k END),
+pages AS (SELECT 'conv-' || conv_id AS source_id, turn + 1 AS page, sha256(coalesce(text, '')) AS sha FROM conversations),
+conv_docs AS (SELECT DISTINCT 'conv-' || conv_id AS source_id, conv_id, 'v' || (conv_id % 2) AS version, conv_id % 3 AS precedence, CASE WHEN conv_id % 4 < 2 THEN 'normative' ELSE 'technical' END AS authority FROM conversations),
+cited AS (
+  SELECT id, 0 AS place, 'conv-' || (i % n) AS source_id, 'page:1' AS locator, 1 AS page, CASE i % 3 WHEN 1 THEN left(p.sha, 12) WHEN 2 THEN '000000000000' END AS pin FROM items CROSS JOIN convs LEFT JOIN pages p ON p.source_id = 'conv-' || (i % n) AND p.page = 1
+  UNION ALL SELECT id, 1, 'conv-' || ((i + 6) % n), CASE WHEN i % 4 = 0 THEN 'page:49' ELSE 'document' END, CASE WHEN i % 4 = 0 THEN 49 END, NULL FROM items CROSS JOIN convs
+  UNION ALL SELECT id, 2, 'conv-' || (i % n), 'page:1', 1, NULL FROM items CROSS JOIN convs WHERE i % 2 = 0
+  UNION ALL SELECT id, 3, 'nowhere', 'document', NULL, NULL FROM items WHERE i % 5 = 0),
+status AS (
+  SELECT c.*, d.version AS dv, d.precedence, d.authority, CASE WHEN c.page IS NULL THEN sha256(c.source_id) ELSE p.sha END AS sha,
+    CASE WHEN d.source_id IS NULL THEN 'unknown_source' WHEN d.conv_id % 11 = 0 THEN 'unavailable' WHEN c.page IS NOT NULL AND p.sha IS NULL THEN 'dangling' WHEN pin IS NOT NULL AND NOT starts_with(p.sha, pin) THEN 'stale' ELSE 'resolved' END AS status
+  FROM cited c LEFT JOIN conv_docs d ON d.source_id = c.source_id LEFT JOIN pages p ON p.source_id = c.source_id AND p.page = c.page)
+"""
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Suppliers are operations of two versions, nations schemas, statements curated requirements, conversations what these
+    cite, and documents the texts that may be related."""
+    i, text = F.col("item_id"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    n = b.agg(F.count(F.lit(1)).alias("n"))  # one row
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    k = F.col("k")
+    shape = lambda c: [text("v", c % 2).alias("version"), F.when(c % 4 < 2, "GET").otherwise("POST").alias("method"), text("/suppliers/", F.floor(c / 4)).alias("base")]
+    ops = s.crossJoin(F.broadcast(n)).withColumn("item_id", k % F.col("n")).join(b.withColumnRenamed("text", "summary"), "item_id")
+    ops = ops.select("k", "summary", *shape(k)).withColumn("source", F.explode(F.when(k % 3 == 0, F.array(F.lit("api-"), F.lit("copy-"))).otherwise(F.array(F.lit("api-")))))
+    ops = ops.select(
+        F.concat("source", "version").alias("source_id"), "version", "method", F.concat("base", F.lit("/{id}")).alias("path"), F.lit("readSupplier").alias("operation_id"), "summary", F.array(text("t", k % 3)).alias("tags"),
+        F.array(text("S", k % 7), text("S", k % 30)).alias("referenced_schemas"), F.concat(F.lit("op:"), "method", F.lit(" "), "base", F.lit("/{id}")).alias("locator"), F.sha2(text(F.when((F.col("source") == "copy-") & (k % 9 > 0), "other ").otherwise("op "), k), 256).alias("sha256"))
+    x = F.col("n_nationkey")
+    defs = table(spark, sf_dir, "nation").select(x, F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("version")).select(x, F.concat(F.when(x % 4 == 3, "copy-").otherwise("api-"), "version").alias("source_id"), "version", text("S", x).alias("name"))
+    defs = defs.withColumn("precedence", F.when(F.col("source_id").startswith("api"), 90).otherwise(50).cast("long")).withColumn("sha256", F.sha2(F.concat("name", "version"), 256))
+    refs = defs.select("source_id", "version", "name", F.posexplode(F.array(text("S", 2 * x), text("S", F.floor(x / 3)))).alias("position", "target"))
+    v = table(spark, sf_dir, "conversations").select("conv_id", text("conv-", F.col("conv_id")).alias("source_id"), (F.col("turn") + 1).alias("page"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    c = F.col("conv_id")
+    docs = v.select("conv_id", "source_id").distinct().select("source_id", text("v", c % 2).alias("version"), (c % 3).alias("precedence"), F.when(c % 4 < 2, "normative").otherwise("technical").alias("authority"), F.when(c % 11 == 0, "missing").otherwise("indexed").alias("status"), F.sha2("source_id", 256).alias("sha256"))
+    contracts_ = defs.select("source_id", "version", "precedence", F.lit("technical").alias("authority"), F.lit("indexed").alias("status"), F.sha2("source_id", 256).alias("sha256")).distinct()
+    convs = v.agg((F.max("conv_id") + 1).alias("m"))  # one row
+    first = v.where("page = 1").select("source_id", F.substring("sha256", 1, 12).alias("head"))
+    needs = b.crossJoin(F.broadcast(convs)).withColumn("one", text("conv-", i % F.col("m"))).join(first.withColumnRenamed("source_id", "one"), "one", "left")
+    cite = lambda source, locator, pin: F.struct(source.alias("source_id"), locator.alias("locator"), pin.cast("string").alias("sha256"))
+    none = F.lit(None)
+    cites = F.array(
+        cite(F.col("one"), F.lit("page:1"), F.when(i % 3 == 1, F.col("head")).when(i % 3 == 2, "000000000000")), cite(text("conv-", (i + 6) % F.col("m")), F.when(i % 4 == 0, "page:49").otherwise("document"), none),
+        F.when(i % 2 == 0, cite(F.col("one"), F.lit("page:1"), none)), F.when(i % 5 == 0, cite(F.lit("nowhere"), F.lit("document"), none)))
+    name = lambda c: F.concat(F.lit("R"), F.lpad(c.cast("string"), 8, "0"))
+    needs = needs.select(name(i).alias("id"), *shape(i), F.filter(cites, lambda s: s.isNotNull()).alias("sources"), F.filter(F.array(F.when(i % 5 == 0, name(i + 1)), F.when(i % 7 == 0, "R-none")), lambda s: s.isNotNull()).alias("conflicts_with"))
+    needs = needs.select("id", "version", F.array(F.concat("method", F.lit(" "), "base", F.lit("/{rid}"))).alias("endpoints"), "sources", "conflicts_with")
+    asked = s.select(k.alias("ask_id"), *shape(k)).withColumn("path", F.concat("base", F.lit("/{key}")))
+    asked = asked.unionByName(b.select((1000000 + i).alias("ask_id"), *shape(i)).withColumn("path", F.concat("base", F.lit("/{sid}"))))
+    asked = asked.unionByName(s.where("k % 10 = 0").select((2000000 + k).alias("ask_id"), *shape(k)).withColumn("path", F.concat(F.lit("/nothing"), "base")))
+    d = _documents(spark, sf_dir).select(text("doc-", F.col("doc_id")).alias("record_id"), text("doc-", F.col("doc_id")).alias("source_id"), text("v", F.col("doc_id") % 2).alias("version"), F.lit("page:1").alias("locator"), F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("content"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return evidence.bundles(asked, ops, defs.drop("n_nationkey"), refs, written(needs), docs.unionByName(contracts_), v, d)
+
+
+_QUESTIONS = r"""
+questions AS (
+  SELECT ask_id AS item_id, b.text || ' read Supplier suppliers ' || (k // 4) || ' t' || (k % 3) AS text FROM asks CROSS JOIN many JOIN benchmark b ON b.item_id = k % n WHERE found
+  UNION ALL SELECT ask_id, translate(path, '/{}', '   ') FROM asks WHERE NOT found)
+"""
+
+
+@query(rf"""WITH RECURSIVE {_EVIDENCE_SQL}, {_QUESTIONS}, {_BM25_SQL.replace("FROM benchmark", "FROM questions")},
+names AS (SELECT n_nationkey AS x FROM nation),
+reach(ask_id, version, x) AS (
+  SELECT ask_id, version, x FROM asks JOIN names ON x = k % 7 OR x = k % 30 WHERE found
+  UNION SELECT r.ask_id, r.version, n.x FROM reach r JOIN names n ON n.x = 2 * r.x OR n.x = r.x // 3),
+docs AS (SELECT 'doc-' || doc_id AS record_id, doc_id, doc_id % 2 AS v, sha256(coalesce(text, '')) AS sha FROM documents),
+near AS (SELECT a.ask_id, d.record_id, d.sha, row_number() OVER (PARTITION BY a.ask_id ORDER BY s.score DESC, d.record_id) AS rank FROM asks a JOIN scores s ON s.item_id = a.ask_id JOIN docs d USING (doc_id) WHERE a.version = 'v' || d.v),
+related AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY rank) AS place FROM (SELECT * FROM near WHERE rank <= 15 QUALIFY row_number() OVER (PARTITION BY ask_id, sha ORDER BY rank) = 1)),
+rows AS (
+  SELECT ask_id, 'openapi_operation' AS role, 0 AS turn, '' AS a, 0 AS b, 'api-' || version AS source_id, 'op:' || method || ' /suppliers/' || (k // 4) || '/{{id}}' AS locator, sha256('op ' || k) AS sha256 FROM asks WHERE found
+  UNION ALL SELECT ask_id, 'openapi_schema', 1, 'S' || x, 0, CASE WHEN x % 4 = 3 THEN 'copy-' ELSE 'api-' END || version, 'schema:S' || x, sha256('S' || x || version) FROM reach
+  UNION ALL SELECT ask_id, 'requirement_source', 2, id, place, source_id, locator, CASE WHEN status IN ('resolved', 'stale') THEN sha END FROM links JOIN status USING (id)
+  UNION ALL SELECT ask_id, 'discovered_evidence', 3, '', place, record_id, 'page:1', sha FROM related WHERE place <= 5),
+firsts AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY ask_id, role, source_id, locator, sha256 ORDER BY turn, a, b) = 1)
+SELECT ask_id, row_number() OVER (PARTITION BY ask_id ORDER BY turn, a, b)::INT AS nth, role, source_id, locator, sha256 FROM firsts""")
+def evidence_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is cited for each endpoint that is asked for, in order: its operation, schemas, requirements' sources, related texts."""
+    return _evidence(spark, sf_dir)["citations"].select("ask_id", "nth", "role", "source_id", "locator", "sha256")
+
+
+@query(rf"""WITH {_EVIDENCE_SQL},
+known AS (SELECT id FROM items),
+declared AS (SELECT id, 'R' || lpad((i + 1)::VARCHAR, 8, '0') AS other FROM items WHERE i % 5 = 0 UNION SELECT id, 'R-none' FROM items WHERE i % 7 = 0),
+pairs AS (SELECT id, other FROM declared UNION SELECT other, id FROM declared WHERE other IN (SELECT id FROM known)),
+ties AS (SELECT id, dv, precedence, string_agg(DISTINCT source_id, ', ' ORDER BY source_id) AS ss, string_agg(DISTINCT authority, ' and ' ORDER BY authority) AS aa, count(DISTINCT authority) AS n FROM status WHERE status IN ('resolved', 'stale', 'dangling') GROUP BY ALL),
+told AS (
+  SELECT id, CASE WHEN status = 'stale' THEN 'stale_hash' ELSE 'dangling_reference' END AS kind, id || ' cites ' || source_id || ' ' || locator || ': ' || status AS description FROM status WHERE status <> 'resolved'
+  UNION ALL SELECT id, 'precedence_tie', id || ': ' || ss || ' of ' || dv || ' share precedence ' || precedence || ' but are ' || aa FROM ties WHERE n > 1
+  UNION ALL SELECT id, CASE WHEN other IN (SELECT id FROM known) THEN 'declared' ELSE 'dangling_reference' END, id || CASE WHEN other IN (SELECT id FROM known) THEN ' and ' || other || ' are declared to conflict' ELSE ' names ' || other || ', which there is none of' END FROM pairs),
+every AS (
+  SELECT ask_id, kind, description FROM links JOIN told USING (id)
+  UNION SELECT ask_id, 'duplicate_definition', 'operation ' || method || ' /suppliers/' || (k // 4) || '/{{id}} is defined otherwise by copy-' || version || ' than by api-' || version FROM asks WHERE found AND k % 3 = 0 AND k % 9 > 0
+  UNION SELECT ask_id, 'dangling_reference', 'requirements name ' || method || ' ' || path || ', which no operation of ' || version || ' defines' FROM asks WHERE NOT found)
+SELECT ask_id, row_number() OVER (PARTITION BY ask_id ORDER BY kind, description)::INT AS nth, kind, description FROM every""")
+def evidence_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conflicts of each endpoint that is asked for, each once, by kind and description."""
+    return _evidence(spark, sf_dir)["conflicts"].select("ask_id", "nth", "kind", "description")

@@ -77,19 +77,45 @@ def conflict_pairs(requirements: DataFrame) -> DataFrame:
     return both.join(requirements.select(F.col("id").alias("requirement_id")), "requirement_id", "left_semi").join(known, "other_id", "left").select("requirement_id", "other_id", F.when(F.col("known"), "declared").otherwise("dangling_reference").alias("kind"))
 
 
-def source_status(citations: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """citations(requirement_id, source_id, locator, pin) with status unknown_source, unavailable, dangling, stale or
-    resolved; page locators are looked up, others count as found."""
+def locator_keys(chunks: DataFrame, operations: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(source_id, kind, key, sha256): all that section, chunk, operation, path and schema locators can name; a section under
+    each of its beginnings that end before a point, a space or a slash."""
+    s = F.col("section")
+    ends = F.filter(F.sequence(F.lit(1), F.length(s)), lambda i: (i == F.length(s)) | F.substr(s, i + 1, F.lit(1)).isin(".", " ", "/"))
+    none = F.lit(None).cast("string").alias("sha256")
+    sections = chunks.where("section is not null and section <> ''").select("source_id", F.lit("section").alias("kind"), F.explode(F.transform(ends, lambda i: F.substr(s, F.lit(1), i))).alias("key"), none)
+    named = chunks.select("source_id", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    ops = operations.select("source_id", F.lit("operation").alias("kind"), F.concat_ws(" ", "method", "path").alias("key"), "sha256")
+    paths = operations.select("source_id", F.lit("path").alias("kind"), F.col("path").alias("key"), none)
+    parts = schemas.select("source_id", F.lit("schema").alias("kind"), F.col("name").alias("key"), "sha256")
+    all_ = sections.unionByName(named).unionByName(ops).unionByName(paths).unionByName(parts)
+    return all_.groupBy("source_id", "kind", "key").agg(F.max("sha256").alias("sha256"))
+
+
+def resolved_citations(citations: DataFrame, documents: DataFrame, pages: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """citations(requirement_id, source_id, locator, pin, …) with status unknown_source, unavailable, dangling, stale or
+    resolved, and the sha256 of what is cited. Pages are looked up; given locator_keys, so are sections, chunks, operations,
+    paths and schemas, which else count as found."""
     c = citations.withColumn("l", T.locator(F.col("locator"))).join(documents.select("source_id", F.col("status").alias("doc_status"), F.col("sha256").alias("doc_sha"), F.lit(True).alias("known")), "source_id", "left")
     p = pages.select("source_id", F.col("page").alias("first"), F.col("sha256").alias("page_sha"))
-    c = c.withColumn("first", F.col("l.first")).join(p, ["source_id", "first"], "left")
-    sha = F.when(F.col("first").isNotNull(), F.col("page_sha")).otherwise(F.col("doc_sha"))
+    c = c.withColumn("first", F.col("l.first")).join(p, ["source_id", "first"], "left").withColumn("kind", F.col("l.kind"))
+    c = c.withColumn("key", F.when(F.col("kind") == "operation", F.concat_ws(" ", "l.method", "l.value")).when(F.col("kind").isin("section", "chunk", "path", "schema"), F.col("l.value")))
+    if keys is None:
+        c = c.withColumn("key_sha", F.lit(None).cast("string")).withColumn("held", F.lit(True))
+    else:
+        c = c.join(keys.select("source_id", "kind", "key", F.col("sha256").alias("key_sha"), F.lit(True).alias("held")), ["source_id", "kind", "key"], "left")
+    sha = F.when(F.col("first").isNotNull(), F.col("page_sha")).otherwise(F.coalesce("key_sha", "doc_sha"))
+    lost = F.col("kind").isNull() | (F.col("first").isNotNull() & F.col("page_sha").isNull()) | (F.col("key").isNotNull() & F.col("held").isNull())
     status = (
         F.when(F.col("known").isNull(), "unknown_source").when(F.col("doc_status").isin("missing", "failed"), "unavailable")
-        .when(F.col("l.kind").isNull() | (F.col("first").isNotNull() & F.col("page_sha").isNull()), "dangling")
-        .when(F.col("pin").isNotNull() & ~sha.startswith(F.lower("pin")), "stale").otherwise("resolved")
+        .when(lost, "dangling").when(F.col("pin").isNotNull() & ~F.coalesce(sha.startswith(F.lower("pin")), F.lit(True)), "stale").otherwise("resolved")
     )
-    return c.select("requirement_id", "source_id", "locator", "pin", status.alias("status"))
+    return c.withColumn("status", status).select(*citations.columns, "status", F.when(F.col("status").isin("resolved", "stale"), sha).alias("sha256"))
+
+
+def source_status(citations: DataFrame, documents: DataFrame, pages: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """citations(requirement_id, source_id, locator, pin) with their status, as in resolved_citations."""
+    return resolved_citations(citations, documents, pages, keys).select("requirement_id", "source_id", "locator", "pin", "status")
 
 
 # --- differences

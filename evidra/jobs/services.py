@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
-from evidra.operators import endpoints, search
+from evidra.jobs import index
+from evidra.operators import endpoints, phrases, search
 from evidra.sources.generations import Generations
+from evidra.sources.tables import written
 
 MAX_QUERY, MAX_PAGES = 1000, 50
 
@@ -32,7 +34,10 @@ class Catalog:
         newest = self.store.current()
         if newest == self.number:
             return False
-        self.documents, self.pages, self.chunks = (self.store.read(n, newest) for n in ("documents", "pages", "chunks"))
+        self.documents, self.pages, self.chunks, self.operations, self.schemas, self.records, self.terms, self.places, self.requirements = (
+            self.store.read(n, newest) for n in ("documents", "pages", "chunks", "operations", "schemas", "records", "terms", "places", "requirements")
+        )
+        self.figures = None if self.records is None else written(index.search_figures(self.records))
         self.number = newest
         return True
 
@@ -40,9 +45,10 @@ class Catalog:
         d = self.documents if version is None else self.documents.where(F.col("version") == version)
         return d.orderBy("version", F.desc("precedence"), "source_id")
 
-    def search(self, query: str, version: str | None = None, source_id: str | None = None, limit: int = 10) -> DataFrame:
-        """Best chunks for a question; those with equal text stand behind the first of them. Statistics are those of all
-        chunks, whatever the filters."""
+    def search(self, query: str, version: str | None = None, source_id: str | None = None, limit: int = 10, kind: str | None = None) -> DataFrame:
+        """Best chunks, operations and schemas for a question: words and quoted phrases over titles, sections and contents,
+        identifiers as they are. Equal texts, pages and schemas stand behind the first of them. Statistics are those of all
+        records, whatever the filters, and each filter adds its value's weight."""
         query = " ".join(query.split())
         if not query or len(query) > MAX_QUERY:
             raise Refused("invalid_input", "a question has 1 to 1000 characters")
@@ -51,15 +57,21 @@ class Catalog:
         if source_id is not None and self.documents.where(F.col("source_id") == source_id).isEmpty():
             raise Refused("not_found", "no such source is indexed")
         limit = max(1, min(limit, 50))
-        asked = self.spark.createDataFrame([(0, query)], "q int, text string").select("q", T.search_tokens(F.col("text")).alias("terms"))
-        scores = search.scored(self.chunks, "chunk_id", "text", asked, "q", "terms")
-        wanted = self.chunks.join(self.documents.select("source_id", "version"), "source_id")
-        for c, v in (("version", version), ("source_id", source_id)):
-            wanted = wanted if v is None else wanted.where(F.col(c) == v)
-        hits = search.top(scores.join(wanted, "chunk_id"), "q", "chunk_id", max(3 * limit, limit + 10))
-        hits = search.collapse(hits.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256)), ["version", "sha256"], "rank")
-        behind = hits.groupBy("first_rank").agg(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("chunk_id")))).alias("duplicates"))
-        return hits.where("kept").drop("first_rank", "kept", "q").join(behind, F.col("rank") == F.col("first_rank")).drop("first_rank").withColumn("excerpt", T.excerpt(F.col("text"), 400)).orderBy("rank").limit(limit)
+        filters = {"version": version, "source_id": source_id, "kind": kind}
+        asked = self.spark.createDataFrame([(0, query, *filters.values())], "q int, text string, version string, source_id string, kind string")
+        terms = phrases.phrase_terms(asked.select("q", phrases.quoted(F.col("text")).alias("phrases")), stem=True)
+        quoted = phrases.phrase_scores(self.places, self.figures, "record_id", terms, search.BOOSTS) if '"' in query else None
+        words = asked.withColumn("text", phrases.unquoted(F.col("text"))) if '"' in query else asked
+        scores = search.ask(self.records, self.terms, self.figures, "record_id", words, list(filters), quoted)
+        hits = written(search.top(scores, "q", "record_id", max(3 * limit, limit + 10)).join(self.records, "record_id"))
+        rows = hits.select("q", "rank", F.col("record_id").alias("key_id"), "version", "sha256", "source_id", "page", "locator", "record_type")
+        attached = written(search.collapse_hits(rows, limit).join(hits.select("rank", "record_id"), "rank"))
+        behind = attached.groupBy("kept_by").agg(F.array_sort(F.collect_list(F.when(F.col("kept_by") != F.col("rank"), F.col("record_id")))).alias("duplicates"))
+        kept = hits.join(behind, F.col("rank") == F.col("kept_by")).drop("kept_by", "lengths")
+        stems = phrases.phrase_terms(asked.select("q", F.array("text").alias("phrases"))).select("q", "term").distinct()
+        weights = stems.withColumn("w", F.length("term").cast("double"))  # longer words say more
+        parts = phrases.best_fragments(kept.select("q", "record_id"), self.records, "record_id", "content", weights).select("record_id", F.col("fragment").alias("excerpt"))
+        return kept.join(parts, "record_id").drop("q").orderBy("rank").limit(limit)
 
     def read(self, source_id: str, locator: str) -> DataFrame:
         """What a locator of a source says: the document's row, pages, or chunks of a section."""
@@ -84,6 +96,12 @@ class Catalog:
             return mine(self.chunks).where((s == v) | (s.startswith(v) & F.substring(s, len(v) + 1, 1).isin(".", " ", "/"))).orderBy("page", "ordinal")
         if p.kind == "chunk":
             return mine(self.chunks).where(F.col("chunk_id") == p.value)
+        if row.kind == "openapi" and p.kind in ("operation", "path", "schema"):
+            o = mine(self.operations).where((F.col("path") == p.value) & (F.lit(p.method is None) | (F.col("method") == p.method)))
+            found = mine(self.schemas).where(F.col("name") == p.value) if p.kind == "schema" else o
+            if found.isEmpty():
+                raise Refused("not_found", locator)
+            return found
         raise Refused("invalid_input", f"{locator} doesn't fit a text")
 
 

@@ -94,10 +94,11 @@ def index_terms(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return stems.unionByName(raw.where("field = 'identifiers'")), figures
 
 
-def ask(records: DataFrame, postings: DataFrame, figures: DataFrame, key: str, queries: DataFrame, filters: list[str]) -> DataFrame:
+def ask(records: DataFrame, postings: DataFrame, figures: DataFrame, key: str, queries: DataFrame, filters: list[str], more: DataFrame | None = None) -> DataFrame:
     """(q, key, score) for queries(q, text, and one column for each filter; null: any): BM25 over all fields, words that a
     question repeats counting twice, and identifiers; statistics are those of all records, before any filter, and each
-    filter adds the weight of its own value, as a required term does."""
+    filter adds the weight of its own value, as a required term does. more(q, key, score): scores that are added, of phrases
+    for one."""
     from evidra.functions.stem import stemmed
 
     words = queries.select("q", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("term"))
@@ -112,6 +113,8 @@ def ask(records: DataFrame, postings: DataFrame, figures: DataFrame, key: str, q
     w = boost * idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), quantised(F.col("length")), F.col("mean_length"))
     weighed = asked.join(df, ["field", "term"]).join(F.broadcast(figures), "field").select(key, "field", "term", w.alias("w"))  # four fields
     scores = weighed.join(wanted, ["field", "term"]).groupBy("q", key).agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    if more is not None:
+        scores = scores.unionByName(more.select("q", key, "score")).groupBy("q", key).agg(F.sum("score").alias("score"))
     out = scores.join(records.select(key, *filters), key).join(queries.select("q", *[F.col(f).alias(f"_{f}") for f in filters]), "q")
     total = F.broadcast(records.agg(F.count(F.lit(1)).alias("n")))  # one row
     out = out.crossJoin(total)

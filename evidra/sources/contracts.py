@@ -50,6 +50,19 @@ def read(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content").mapInArrow(parse, "path string, size_bytes long, sha256 string, json string, error string")
 
 
+def parsed(sources: DataFrame) -> DataFrame:
+    """(source_id, version, json, error) of sources(source_id, version, text) that are contracts, JSON or YAML; a dialect that
+    isn't supported is an error."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_to_json(t.encode(), ".json" if t.lstrip()[:1] == "{" else ".yaml") for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([j for j, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["source_id", "version", "json", "error"])
+
+    rows = sources.where("text is not null").select("source_id", "version", "text").mapInArrow(parse, "source_id string, version string, json string, error string")
+    return rows.withColumn("error", F.coalesce("error", F.when(dialect(F.col("json")).isNull(), "unsupported_dialect")))
+
+
 def dialect(root: Column) -> Column:
     """3.0, 3.1, or null for what isn't supported."""
     v = F.get_json_object(root, "$.openapi")

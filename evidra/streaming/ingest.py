@@ -28,7 +28,7 @@ def index_new_files(spark: SparkSession, folder: str, schema: str, root: str, ch
 
 def _with_sources(store: Generations, sources: DataFrame) -> Generations:
     publish = store.publish
-    store.publish = lambda tables: publish(tables | {"sources": sources})
+    store.publish = lambda tables, *parts: publish(tables | {"sources": sources}, *parts)
     return store
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.llm.common import id_text, session, spread, written
+from evidra.llm.common import id_text, session, written
 from evidra.llm.treap import Treap
 
 #: Documents of a block, and about as many terms with repeats.
@@ -31,7 +31,6 @@ DOCUMENTS, WORDS = 4096, 1 << 20
 #: Terms of a part of the items, but for its last item.
 ASKED = 200_000
 BEST = 50
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes as they count in terms: A-Z lower-cased, what separates terms a space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -58,9 +57,8 @@ def index(docs: DataFrame, figures: tuple[int, int] | None = None) -> tuple[Data
     spark = session(docs.sparkSession)
     rows = id_text(docs)
     if figures is None:
-        n = F.regexp_count("text", F.lit(TERM))
-        got = spread(docs.select(F.coalesce("text", F.lit("")).alias("text"))).select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-        figures = int(got[0]), int(got[1])
+        got = rows.select("text").mapInArrow(_count_terms, "held long, total long").agg(F.sum("held"), F.sum("total")).first()
+        figures = int(got[0] or 0), int(got[1] or 0)
     held, total = figures
 
     def block(ids: list[int | None], words: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
@@ -99,6 +97,12 @@ def index(docs: DataFrame, figures: tuple[int, int] | None = None) -> tuple[Data
     return written(rows.mapInArrow(build, "doc_ids array<long>, m array<long>, terms binary, df binary, treap binary")), figures
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(terms(text.as_py())) for text in batch.column(0)]
+        yield pa.RecordBatch.from_pydict({"held": [sum(x > 0 for x in n)], "total": [sum(n)]})
+
+
 def _names(raw: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
 

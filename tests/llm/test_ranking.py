@@ -13,8 +13,11 @@ from evidra.llm.treap import Treap
 from tests.llm.helpers import documents, odd_documents
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def brute(docs, items, best=50):
-    terms = lambda t: re.findall(ranking.TERM, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    terms = lambda t: re.findall(TERM, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     counted = [(d, Counter(terms(t))) for d, t in docs]
     held, total = sum(bool(c) for _, c in counted), sum(sum(c.values()) for _, c in counted)
     df = Counter(t for _, c in counted for t in c)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidra.llm import boosting, embeddings, licences, mixing, nearduplicates, packing, pii, quality, secrets, substrings, tagger, urls, words
 from evidra.llm.components import components
@@ -514,6 +515,30 @@ def test_url_rules(spark):
         assert list(rows[i][1:]) == want, i
 
 
+def test_links_between_pages(spark):
+    base = "http://a.info/x/p.html"
+    cases = [
+        ("<link rel='canonical' href='../en/c.html'>", "a.info/en/c.html"), ('<link rel="alternate canonical" href="/y">', "a.info/y"), ('<LINK HREF=q.html REL=Canonical>', "a.info/x/q.html"), ('<link data-rel="canonical" href="/no">', None),
+        ('<!-- <link rel="canonical" href="/no"> --><link rel="canonical" href="/yes">', "a.info/yes"), ('<!-- <link rel="canonical" href="/no">', None), ('<link rel="canonicals" href="/no">', None), ('<link rel="canonical" href="mailto:a@b.net">', None),
+        ('<link rel="canonical" href="javascript:go()">', None), ('<link rel="canonical" href="#top">', None), ('<link rel="canonical" href="?k=1">', "a.info/x/p.html?k=1"), ('<link rel="canonical" href="HTTPS://B.info/./z/../w/..">', "b.info/"),
+        ('<link rel="canonical" href="/../../a/./b/.">', "a.info/a/b/"), ('<meta content="3; URL=\'/r\'" http-equiv="refresh">', "a.info/r"), ('<meta name="refresh" content="0; url=/no">', None), ('<link rel="canonical" href="a//b/../c?x=..">', "a.info/x/a//c?x=.."), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, base, h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    for i, (html, want) in enumerate(cases):
+        got = [r["n"] for r in urls.page_edges(df.where(f"page_id = {i}")).select(urls.node(F.col("b")).alias("n")).collect()]
+        assert got == ([want] if want else []), html
+    pages = [(1, "http://a.info/en/c.html", None), (2, "http://a.info/a/../en/./c.html", None), (3, "http://bad.net/", '<link rel="canonical" href="http://a.info/x/../en/c.html">')]
+    pages += [(10 + i, f"{base}?{i}", h) for i, (h, _) in enumerate(cases)] + [(40, "http://b.info/", '<link rel=canonical href="//bad.net/"><link rel=canonical href="/other">'), (41, None, "x"), (42, "none", None), (43, "http://x.org/fr/", '<link rel="canonical" href="http://a.info/y">')]
+    rows = rows_by_id(urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert sorted(db.execute(urls.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in rows.values())
+    assert {rows[i].verdict for i in (10, 11, 40)} == {"block", "allow"} and rows[11].rule is None
+    assert {i: rows[i].verdict for i in (1, 2, 3)} == {1: "block", 2: "block", 3: "block"} and rows[2].path == "/a/../en/./c.html"
+
+
 def test_aliases_share_decisions(spark):
     link = '<html><head><LINK href="{}" rel=canonical></head>'
     refresh = '<meta http-equiv="Refresh" content="0; url={}">'

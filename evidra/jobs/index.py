@@ -11,7 +11,7 @@ from evidra.sources import contracts
 from evidra.sources.generations import Generations, bucket
 from evidra.sources.tables import written
 
-FORMAT = 2
+FORMAT = 3
 
 
 def fingerprint(sources: DataFrame, **settings) -> DataFrame:
@@ -66,18 +66,21 @@ def run(store: Generations, sources: DataFrame, force: bool = False, max_chars:
     touched = None if before is None else [r["bucket"] for r in done.where("action <> 'skipped'").select("bucket").distinct().collect()]  # no more than there are buckets
     todo = written(now.join(done.where("action = 'indexed'"), "source_id", "left_semi"))
     p = written(pages.with_quality(pages.with_status(pages.split_pages(todo.where("kind <> 'openapi'"), "source_id", "text"), min_chars)))
-    figures = pages.document_figures(p, "source_id")
+    clean = written(pages.cleaned(p, "source_id"))
+    figures = pages.document_figures(p, "source_id").join(pages.cleaning_figures(p, clean, "source_id"), "source_id", "left")
     parsed = written(contracts.parsed(todo.where("kind = 'openapi'")))
     listed = now.join(done.where("action in ('indexed', 'missing')"), "source_id", "left_semi").join(figures, "source_id", "left").join(parsed.select("source_id", "error"), "source_id", "left")
     documents = written(listed.select(
         "source_id", T.document_id(F.col("source_id"), F.col("sha256")).alias("document_id"), "version", "precedence", "kind", "authority", "title", "sha256", "fingerprint",
         F.when(F.col("text").isNull(), "missing").when(F.col("error").isNotNull(), "failed").when(F.col("kind") == "openapi", "indexed").otherwise(F.col("status")).alias("status"), "error", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("ocr_required", F.lit(0)).alias("ocr_required"), F.coalesce("low_quality_pages", F.lit(0)).alias("low_quality_pages"),
+        F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"), F.coalesce("repairs", F.lit(0)).alias("repairs"), F.coalesce("patterns", F.array().cast("array<string>")).alias("removed_patterns"),
     ))
     given = parsed.where("error is null").select("source_id", "version", "json")
     ops, parts = written(contracts.operations(given)), contracts.components(given)
     texts = contracts.search_text(ops, contracts.parameters(ops, parts), contracts.responses(ops, parts))
     named = written(contracts.schemas(given))
-    chunk_rows = written(chunks.chunk_pages(p, "source_id", max_chars, overlap))
+    body = p.select("source_id", F.col("page").cast("long").alias("page"), "status").join(clean.select("source_id", "page", "text"), ["source_id", "page"])
+    chunk_rows = written(chunks.chunk_pages(body, "source_id", max_chars, overlap))
     records = written(search_records(documents, chunk_rows, ops, texts, named))
     terms = search.index_terms(records, "record_id")[0].join(records.select("record_id", "source_id"), "record_id")
     places = phrases.positions(records, "record_id", list(search.BOOSTS), stem=True).join(records.select("record_id", "source_id"), "record_id")

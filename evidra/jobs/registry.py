@@ -119,6 +119,35 @@ def clean_pages_margin_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.clean_margins(_turns(spark, sf_dir), "conv_id")
 
 
+def _marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as paged documents with a running head and foot, and with a word that a line's end splits."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    c = c.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("conv_id")))
+    i, k = F.col("conv_id").cast("string"), F.col("page").cast("string")
+    mark = F.substring(F.sha2(F.concat(i, F.lit(":"), k), 256), 1, 16)
+    lines = [F.concat(F.lit("Log of conversation "), i), F.concat(mark, F.lit("x")), F.col("text"), F.lit("a broken ex-"), F.lit("ample here."), mark, F.concat(F.lit("page "), k, F.lit(" of "), F.col("n").cast("string"))]
+    return pages.with_quality(pages.with_status(c.select("conv_id", "page", F.array_join(F.array(*lines), "\n").alias("text"))))
+
+
+@query(r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n, substr(sha256(conv_id || ':' || turn), 1, 16) AS mark FROM conversations)
+SELECT conv_id, turn AS page, CASE WHEN n >= 4 THEN 2 ELSE 0 END AS removed, 1 AS repairs,
+  CASE WHEN n >= 4 THEN '' ELSE 'Log of conversation ' || conv_id || chr(10) END || mark || 'x' || chr(10) || text || chr(10) || 'a broken example here.' || chr(10) || mark || CASE WHEN n >= 4 THEN '' ELSE chr(10) || 'page ' || turn || ' of ' || n END AS text
+FROM turns""")
+def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the heads and feet that run through a document of four pages or more, split words joined."""
+    return pages.cleaned(_marked_turns(spark, sf_dir), "conv_id")
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN n >= 4 THEN 2 * n ELSE 0 END AS removed_lines, n AS repairs, CASE WHEN n >= 4 THEN 'Log of conversation #|page # of #' ELSE '' END AS patterns FROM c""")
+def cleaning_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cleaning takes out of each document, and how many words it joins."""
+    p = _marked_turns(spark, sf_dir)
+    return pages.cleaning_figures(p, pages.cleaned(p, "conv_id"), "conv_id").withColumn("patterns", F.array_join("patterns", "|"))
+
+
 @query()
 def dehyphenated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.rejoined(pages.split_pages(_documents(spark, sf_dir), "doc_id", "text"), "doc_id")

@@ -97,6 +97,21 @@ def rejoined(pages: DataFrame, key: str) -> DataFrame:
     return pages.select(key, F.col("page").cast("long").alias("page"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"{key} {kind}, page long, text string, repairs long")
 
 
+def cleaned(pages: DataFrame, key: str) -> DataFrame:
+    """(key, page, text, removed, repairs): pages as they are chunked: without repeated margin lines, then with words that a
+    line's end has split joined; pages that aren't extracted keep their text."""
+    without = clean_margins(pages, key)
+    joined = rejoined(without, key).withColumnRenamed("text", "__text")
+    return without.select(key, F.col("page").cast("long").alias("page"), "removed").join(joined, [key, "page"]).select(key, "page", F.col("__text").alias("text"), "removed", "repairs")
+
+
+def cleaning_figures(pages: DataFrame, clean: DataFrame, key: str) -> DataFrame:
+    """(key, removed_lines, repairs, patterns): what cleaning has changed in each document, and the margins that it took out."""
+    sums = clean.groupBy(key).agg(F.sum("removed").alias("removed_lines"), F.sum("repairs").alias("repairs"))
+    patterns = repeated_margins(pages, key).groupBy(key).agg(F.array_sort(F.collect_list("margin")).alias("patterns"))
+    return sums.join(patterns, key, "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
+
+
 def document_figures(pages: DataFrame, key: str) -> DataFrame:
     """Per document: counts by page status, mean garbage share, low-quality pages and the document's status."""
     is_ = lambda s: F.count_if(F.col("status") == s)

@@ -93,3 +93,17 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert Generations(spark, str(root)).buckets == 8 and not Path(root, "generations", "2", "pages", f"bucket={where['s3']}").exists()
     unchanged = {r["action"] for r in index.run(store, sources(spark, *rows())).collect()}
     assert unchanged == {"skipped"} and store.read("pages").count() == 23
+
+
+def test_chunks_are_of_cleaned_pages(spark, tmp_path):
+    """Running heads and feet are taken out and split words joined before chunking; pages keep their text; figures tell."""
+    store = Generations(spark, str(tmp_path / "index"))
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    text = "\f".join(f"Handbook of cards\n{w} opens\nThis sentence has a bro-\nken word in it.\n{w} closes\nPage {i} of 5" for i, w in enumerate(words, 1))
+    index.run(store, sources(spark, ("book", "v", 1, text, "text"), ("short", "v", 1, "Handbook of cards\nonly one page with enough text", "text")))
+    d = {r["source_id"]: r for r in store.read("documents").collect()}
+    assert (d["book"]["removed_lines"], d["book"]["repairs"], d["book"]["removed_patterns"]) == (10, 5, ["Handbook of cards", "Page # of #"])
+    assert (d["short"]["removed_lines"], d["short"]["repairs"], d["short"]["removed_patterns"]) == (0, 0, [])
+    chunk = {r["source_id"]: r["text"] for r in store.read("chunks").collect()}
+    assert "Handbook" in chunk["short"] and all("broken word" in r["text"] and "Handbook" not in r["text"] and "Page" not in r["text"] for r in store.read("chunks").where("source_id = 'book'").collect())
+    assert all("bro-\nken" in r["text"] for r in store.read("pages").where("source_id = 'book'").collect())

@@ -75,11 +75,12 @@ def contract_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {_PAGES}
-SELECT source_id, method, path, '200' AS status, 'page ' || page_id AS description, 'ETag,X-Trace' AS headers FROM p
-UNION ALL SELECT source_id, method, path, '404', 'no such page', '' FROM p""")
+SELECT source_id, method, path, '200' AS status, 'page ' || page_id AS description, 'ETag,X-Trace' AS headers, NULL AS error FROM p
+UNION ALL SELECT source_id, method, path, '404', 'no such page', '', NULL FROM p
+UNION ALL SELECT source_id, method, path, '410', NULL, '', 'unresolved_reference: #/components/responses/nowhere' FROM p""")
 def contract_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = contracts.responses(*_ops(spark, sf_dir))
-    return r.select("source_id", "method", "path", "status", "description", F.array_join("headers", ",").alias("headers"))
+    return r.select("source_id", "method", "path", "status", "description", F.array_join("headers", ",").alias("headers"), "error")
 
 
 @query(rf"""WITH {_PAGES}

@@ -73,12 +73,25 @@ def _entries(c: Column, path: str) -> Column:
     return F.map_entries(F.from_json(F.get_json_object(c, path), _MAP))
 
 
+def pointed(contracts: DataFrame) -> DataFrame:
+    """(source_id, pointer, json): what every local reference of a contract points at, wherever that stands; one row a
+    reference, none for those that lead nowhere. Segments of digits are keys of a mapping or places in a list."""
+    refs = contracts.select("source_id", F.explode(F.array_distinct(F.regexp_extract_all("json", F.lit(r'"\$ref"\s*:\s*"(#/[^"]+)"'), 1))).alias("pointer"))
+    steps = F.transform(F.slice(F.split("pointer", "/"), 2, 1 << 30), lambda s: F.replace(F.replace(s, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    path = lambda step: F.concat(F.lit("$"), F.array_join(F.transform(steps, step), ""))
+    key = lambda s: F.concat(F.lit("['"), s, F.lit("']"))
+    rows = refs.withColumns({"keys": path(key), "places": path(lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(key(s)))})
+    got = rows.join(contracts.select("source_id", "json"), "source_id").select("source_id", "pointer", F.expr("coalesce(get_json_object(json, keys), get_json_object(json, places))").alias("json"))
+    return got.where("json is not null")
+
+
 def components(contracts: DataFrame) -> DataFrame:
-    """(source_id, pointer, json, first_ref): components by JSON pointer, references followed up to MAX_REFS times;
-    those that lead nowhere or in a circle are left out."""
+    """(source_id, pointer, json): components, and all else that local references point at, by JSON pointer, references
+    followed up to MAX_REFS times; those that lead nowhere or in a circle are left out."""
     parts = contracts.select("source_id", F.explode(_entries(F.col("json"), "$.components")).alias("s")).select("source_id", F.col("s.key").alias("section"), F.explode(F.map_entries(F.from_json("s.value", _MAP))).alias("c"))
     all_ = parts.select("source_id", F.concat(F.lit("#/components/"), "section", F.lit("/"), T.pointer_escape(F.col("c.key"))).alias("pointer"), F.col("c.value").alias("json"))
     all_ = written(all_)
+    all_ = written(all_.unionByName(pointed(contracts).join(all_.select("source_id", "pointer"), ["source_id", "pointer"], "left_anti")))
     found = all_.withColumn("ref", F.get_json_object("json", "$.$ref"))
     target = all_.select("source_id", F.col("pointer").alias("ref"), F.col("json").alias("target"))
     done, open_ = found.where("ref is null").select("source_id", "pointer", "json"), found.where("ref is not null").select("source_id", "pointer", "ref")
@@ -136,11 +149,12 @@ def parameters(ops: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def responses(ops: DataFrame, parts: DataFrame) -> DataFrame:
-    """(operation, status, description, content, headers) of each response; headers are sorted names."""
+    """(operation, status, description, content, headers, error) of each response; headers are sorted names. A response whose
+    reference leads nowhere stays, with an error."""
     rows = ops.select(*_OP, F.explode(_entries(F.col("operation"), "$.responses")).alias("r")).where(~F.col("r.key").startswith("x-")).select(*_OP, F.col("r.key").alias("status"), F.col("r.value").alias("json"))
-    d = deref(rows, parts).where("json is not null")
+    d = deref(rows, parts)
     headers = F.array_sort(F.map_keys(F.from_json(F.get_json_object("json", "$.headers"), _MAP)))
-    return d.select(*_OP, "status", F.get_json_object("json", "$.description").alias("description"), F.from_json(F.get_json_object("json", "$.content"), _MAP).alias("content"), F.coalesce(headers, F.array().cast(_LIST)).alias("headers"))
+    return d.select(*_OP, "status", F.get_json_object("json", "$.description").alias("description"), F.from_json(F.get_json_object("json", "$.content"), _MAP).alias("content"), F.coalesce(headers, F.array().cast(_LIST)).alias("headers"), F.when(F.col("unresolved"), F.concat(F.lit("unresolved_reference: "), "ref")).alias("error"))
 
 
 def media_types(ops: DataFrame, parts: DataFrame) -> DataFrame:
@@ -166,6 +180,7 @@ def metadata(contracts: DataFrame) -> DataFrame:
 
 def search_text(ops: DataFrame, params: DataFrame, answers: DataFrame) -> DataFrame:
     """(operation, title, content, identifiers) for the search index."""
+    answers = answers.where("error is null")
     p = params.groupBy(*_OP).agg(F.array_sort(F.collect_list(F.struct("position", "name", "location", "required", "description"))).alias("ps"))
     r = answers.groupBy(*_OP).agg(F.array_sort(F.collect_list(F.struct("status", "description", "headers"))).alias("rs"))
     x = ops.join(p, _OP, "left").join(r, _OP, "left")

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators import graph, schemas
+from evidra.operators import endpoints, graph, schemas
+from evidra.sources import contracts
 from evidra.sources.tables import table, written
 
 QUERIES: dict = {}
@@ -105,3 +106,44 @@ def ordered_closure_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.struct("source_id", "name").alias("root")
     asked = refs.select(root, "version", "source_id", F.col("target").alias("name"), "position")
     return graph.ordered_closure(asked, defs, refs, 25).select(F.col("root.source_id").alias("root_source"), F.col("root.name").alias("root_name"), "name", "version", "source_id", "referenced_from", "depth", "cross_source", "candidates", "unresolved", "truncated")
+
+
+def supplier_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, version, json): a contract a supplier and version; some suppliers have but the old, some but the new one."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(F.lit(False), F.lit(True))).alias("new"))
+    k, new, text = F.col("k"), F.col("new"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    s = s.where((new & (k % 5 != 0)) | (~new & (k % 5 != 1)))
+    name = F.when(new, "supplierId").otherwise("supplier-id")
+    parameters = text(
+        '[{"name":"', name, '","in":"path","required":true},{"name":"limit","in":"query","required":', F.when(new & (k % 2 == 0), "true").otherwise("false"), "}",
+        F.when(new, "").otherwise(',{"name":"X-Old","in":"header"}'), "]")
+    body = F.when(new & (k % 7 == 0), '{"type":"integer"}').otherwise('{"type":"string"}')
+    answers = text('{"200":{"description":"it","headers":{"ETag":{}},"content":{"application/json":{"schema":', body, "}}}", F.when(new & (k % 4 == 0), ',"429":{"description":"later"}').otherwise(""), "}")
+    operation = text('{"operationId":"read', k, F.when(new & (k % 3 == 0), "x").otherwise(""), '","parameters":', parameters, ',"responses":', answers, "}")
+    version = F.when(new, "v2").otherwise("v1")
+    json = text('{"openapi":"3.0.1","info":{"title":"s","version":"1"},"paths":{"/', version, "/suppliers/", k, "/{", name, '}":{"get":', operation, "}}}")
+    return s.select(text("supplier-", k, "-", version).alias("source_id"), version.alias("version"), json.alias("json"))
+
+
+@query(r"""
+WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' END AS side FROM supplier),
+items AS (
+  SELECT k, side, 'operation' AS area, '' AS item, CASE WHEN k % 3 = 0 THEN 'modified' ELSE 'unchanged' END AS change FROM s
+  UNION ALL SELECT k, side, 'parameter', 'path:#0', 'modified' FROM s
+  UNION ALL SELECT k, side, 'parameter', 'query:limit', CASE WHEN k % 2 = 0 THEN 'modified' ELSE 'unchanged' END FROM s
+  UNION ALL SELECT k, side, 'parameter', 'header:x-old', 'removed' FROM s WHERE side IS DISTINCT FROM 'added'
+  UNION ALL SELECT k, side, 'response', '200', 'unchanged' FROM s
+  UNION ALL SELECT k, side, 'response', '429', 'added' FROM s WHERE k % 4 = 0 AND side IS DISTINCT FROM 'removed'
+  UNION ALL SELECT k, side, 'media_type', '200 application/json', CASE WHEN k % 7 = 0 THEN 'modified' ELSE 'unchanged' END FROM s)
+SELECT 'GET' AS method, '/suppliers/' || k || '/{}' AS path_key, area, item, coalesce(side, change) AS change FROM items""")
+def compared_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations, parameters, responses and bodies of two versions, met by path without the version and parameters' names."""
+    c = written(supplier_contracts(spark, sf_dir))
+    parts = contracts.components(c)
+    ops = written(endpoints.keyed(contracts.operations(c), {"v1": "/v1", "v2": "/v2"}))
+    of = ops.select("source_id", "version", "method", "path", "path_key")
+    key = ["source_id", "version", "method", "path"]
+    tables = {"parameters": contracts.parameters(ops, parts), "responses": contracts.responses(ops, parts), "media": contracts.media_types(ops, parts)}
+    tables = {"operations": ops} | {n: written(t.join(of, key)) for n, t in tables.items()}
+    side = lambda v: {n: t.where(F.col("version") == v) for n, t in tables.items()}
+    return endpoints.compare(side("v1"), side("v2")).select("method", "path_key", "area", "item", "change")

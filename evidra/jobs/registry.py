@@ -164,8 +164,8 @@ def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_pages(paged, "doc_id").select("doc_id", "page", "ordinal", "chunk_id", "section", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query(r"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+_HEADINGS_SQL = r"""
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
 t AS (SELECT doc_id, line, regexp_replace(regexp_replace(x, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '') AS t FROM lines),
 p AS (SELECT *, CASE WHEN regexp_matches(t, '^#[# ]') AND regexp_replace(t, '^#+[ \t\n\x0B\f\r]*', '') <> '' THEN regexp_extract(t, '^(#+)', 1) ELSE '' END AS md, regexp_extract(t, '^([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.?[ \t\n\x0B\f\r]+', 1) AS num,
   regexp_replace(t, '^([0-9.]+|Annex|Appendix|ANNEX|APPENDIX)[ \t\n\x0B\f\r]+', '') AS title FROM t WHERE t <> ''),
@@ -175,9 +175,27 @@ SELECT doc_id, CAST(line AS INT) AS line, kind, CASE kind WHEN 'markdown' THEN C
   CASE kind WHEN 'markdown' THEN regexp_replace(regexp_replace(t, '^#+', ''), '^[ \t\n\x0B\f\r]+', '') WHEN 'numbered' THEN num || ' ' || title ELSE t END AS label
 FROM k WHERE kind IS NOT NULL
 UNION ALL
-SELECT doc_id, -1, 'lines', CAST(count(*) AS VARCHAR), '' FROM p GROUP BY doc_id""")
+SELECT doc_id, -1, 'lines', CAST(count(*) AS VARCHAR), '' FROM p GROUP BY doc_id"""
+
+
+@query(f"WITH {_HEADINGS_SQL}")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir)
+    return _headings(_documents(spark, sf_dir))
+
+
+@query(f"""WITH marked AS (
+  SELECT doc_id, chr(10) || CASE doc_id % 6 WHEN 0 THEN '## Part ' || doc_id WHEN 1 THEN doc_id % 90 || '.2. Scope of part' WHEN 2 THEN '  Annex B Terms ' WHEN 3 THEN '7 Not a heading, as it ends:' WHEN 4 THEN '#no heading' ELSE '3.1 lower case' END || chr(10) || text AS text FROM documents),
+{_HEADINGS_SQL.replace("FROM documents", "FROM marked")}""")
+def headings_of_marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin with a heading of each kind, or with a line that only looks like one."""
+    i = F.col("doc_id")
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    line = F.when(i % 6 == 0, text("## Part ", i)).when(i % 6 == 1, text(i % 90, ".2. Scope of part")).when(i % 6 == 2, "  Annex B Terms ").when(i % 6 == 3, "7 Not a heading, as it ends:").when(i % 6 == 4, "#no heading").otherwise("3.1 lower case")
+    return _headings(_documents(spark, sf_dir).select("doc_id", F.concat(F.lit("\n"), line, F.lit("\n"), "text").alias("text")))
+
+
+def _headings(d: DataFrame) -> DataFrame:
+    """Each heading's line, and each document's number of lines that say something."""
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x")).where(T.trim_ends(F.col("x")) != "")
     found = lines.withColumn("h", T.heading(F.col("x"))).where("h is not null").select("doc_id", "line", "h.kind", "h.number", "h.label")
     counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).cast("string").alias("number")).select("doc_id", F.lit(-1).alias("line"), F.lit("lines").alias("kind"), "number", F.lit("").alias("label"))
@@ -270,7 +288,8 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.split_camel(F.concat("source", F.lit("Name"))).alias("spaced"), T.pointer_escape(F.concat(F.lit("/a~b/"), "lang")).alias("pointer"), F.size(T.search_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query()
+@query("""
+SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) <= 1200 THEN text ELSE left(text, (SELECT max(n) FROM range(299, 1201) r(n) WHERE strlen(left(text, n)) <= 1200)) || '…' END AS excerpt FROM documents""")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 

@@ -1,15 +1,19 @@
 """Chunks of paged text: headings with the stack of those above, and sentence-aligned packing with overlap.
 
-Pages of a document must be read in order, because headings reach over page ends."""
+Headings reach over page ends, so what is open at a page depends on all pages before it: blocks of pages learn it by a prefix
+scan and are then chunked each for itself."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_CHARS, OVERLAP, LEAST_MAX = 6000, 500, 64
 _NUMBERED = re.compile(r"([0-9]{1,2}(?:\.[0-9]{1,2}){0,5})\.?\s+(\S.*)")
@@ -121,11 +125,91 @@ def page_chunks(text: str, stack: list, most: int, overlap: int) -> list[tuple[l
     return [(path, chunk) for path, paragraphs in groups for chunk in pack(paragraphs, most, overlap)]
 
 
-def chunk_pages(pages: DataFrame, key: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+#: Pages of a document that one task reads in turn.
+BLOCK = 256
+_STACK = pa.list_(pa.struct([("kind", pa.string()), ("place", pa.list_(pa.int32())), ("label", pa.string())]))
+_STACK_SQL = "array<struct<kind:string,place:array<int>,label:string>>"
+
+
+def meet(a: tuple, b: tuple) -> tuple:
+    """(kind, place) below just those headings that are above both of two."""
+    if a[0] != b[0] or a[0] == "annex":
+        return ("annex", ())  # nothing is above an annex
+    if a[0] == "markdown":
+        return min(a[:2], b[:2])
+    short = min(len(a[1]), len(b[1]))
+    same = next((i for i in range(short) if a[1][i] != b[1][i]), short)
+    return ("numbered", a[1][: min(same + 1, short)])  # above it: what both begin with, and not all of either
+
+
+def then(first: list, second: list) -> list:
+    """The outline of two stretches of text, one after the other.
+
+    An outline is empty for a text without headings, else the meet of all its headings and then those that are open at its end:
+    of headings open before, the text leaves open those above the meet. Associative, so that parts of a document can be told
+    each for itself and be put together."""
+    if not first or not second:
+        return first or second
+    below = second[0]
+    return [(*meet(first[0], below), ""), *(h for h in first[1:] if _above(h, below)), *second[1:]]
+
+
+def outline(text: str) -> list:
+    return reduce(then, ([h, h] for line in text.split("\n") if (h := heading(line))), [])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _stack(rows: list[dict] | None) -> list[tuple]:
+    return [(r["kind"], tuple(r["place"]), r["label"]) for r in rows or ()]
+
+
+def open_headings(pages: DataFrame, key: str) -> DataFrame:
+    """(key, block, stack): the headings that are open where a block of pages(key, block, page, text) begins, if there are any.
+
+    A prefix scan: pages become outlines where they lie, those of a block one, and those of a document's blocks are put
+    together in turn. Texts don't move; the task of a document reads a short row for each of its blocks."""
+    kind = dict(pages.dtypes)[key]
+    schema = pa.schema([(key, to_arrow_type(pages.schema[key].dataType)), ("block", pa.int64()), ("page", pa.int64()), ("stack", _STACK)])
+
+    def packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows, 1024):
+            *columns, stacks = zip(*some, strict=True)
+            stacks = [[{"kind": k, "place": list(p), "label": t} for k, p, t in s] for s in stacks]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, stacks], schema.types, strict=True)], schema=schema)
+
+    def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed((k, n, page, outline(text)) for k, n, page, text in _rows(batches))
+
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = groupby(_rows(batches), lambda r: r[:2])
+        yield from packed((*at, None, reduce(then, (_stack(r[3]) for r in rows), [])) for at, rows in groups)
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan() -> Iterator[tuple]:
+            for k, rows in groupby(_rows(batches), lambda r: r[0]):
+                now: list = []
+                for _, n, _, more in rows:
+                    if now[1:]:
+                        yield k, n, None, now[1:]
+                    now = then(now, _stack(more))
+
+        yield from packed(scan())
+
+    shape = f"{key} {kind}, block long, page long, stack {_STACK_SQL}"
+    told = pages.select(key, "block", "page", "text").mapInArrow(of_pages, shape)
+    told = told.repartition(key, "block").sortWithinPartitions(key, "block", "page").mapInArrow(of_blocks, shape)
+    return told.repartition(key).sortWithinPartitions(key, "block").mapInArrow(before, shape).drop("page")
+
+
+def chunk_pages(pages: DataFrame, key: str, most: int = MAX_CHARS, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
     """(key, page, ordinal, chunk_id, section, section_path, text) of extracted pages(key, page, status, text).
 
-    Documents are dealt out whole and their pages sorted; a partition is read page by page, so that neither a document
-    nor a group has to fit into memory."""
+    Blocks of pages are dealt out, each with the headings that are open where it begins, and read page by page: many tasks share
+    a long document, and neither it nor a block has to fit into memory. Null texts have no chunks."""
     kind = dict(pages.dtypes)[key]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
     names = ["page", "ordinal", "chunk_id", "section", "section_path", "text"]
@@ -134,14 +218,20 @@ def chunk_pages(pages: DataFrame, key: str, most: int = MAX_CHARS, overlap: int
         last, stack = object(), []
         for b in batches:
             keys, rows = [], []
-            for k, page, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != last:
-                    last, stack = k, []
-                for n, (path, chunk) in enumerate(page_chunks(text, stack, most, overlap)):
+            for k, n, page, text, opened in _rows([b]):
+                if (k, n) != last:
+                    last, stack = (k, n), _stack(opened)
+                if text is None:  # the row that tells what is open
+                    continue
+                for i, (path, chunk) in enumerate(page_chunks(text, stack, most, overlap)):
                     keys.append(k)
-                    rows.append((page, n, f"{k}:p{page}:c{n}", path[-1] if path else None, path, chunk))
+                    rows.append((page, i, f"{k}:p{page}:c{i}", path[-1] if path else None, path, chunk))
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[key, *names])
 
     schema = f"{key} {kind}, page long, ordinal long, chunk_id string, section string, section_path array<string>, text string"
-    rows = pages.where("status = 'extracted'").select(key, F.col("page").cast("long").alias("page"), "text")
-    return rows.repartition(key).sortWithinPartitions(key, "page").mapInArrow(run, schema)
+    page = F.col("page").cast("long")
+    rows = pages.where("status = 'extracted' and text is not null").select(key, F.floor((page - 1) / block).alias("block"), page.alias("page"), "text")
+    none = lambda t: F.lit(None).cast(t)
+    opened = open_headings(rows, key).select(key, "block", none("long").alias("page"), none("string").alias("text"), "stack")
+    dealt = rows.withColumn("stack", none(_STACK_SQL)).unionByName(opened).repartition(key, "block")
+    return dealt.sortWithinPartitions(key, "block", F.col("text").isNotNull(), "page").mapInArrow(run, schema)

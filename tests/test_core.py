@@ -1,6 +1,7 @@
 """The library outside llm: functions, pages, contracts, differences, index generations, services, streams."""
 
 import json
+import random
 import re
 from pathlib import Path
 
@@ -134,6 +135,29 @@ def test_sentences_end_where_a_new_one_begins():
     assert chunks._units(text, 40) == ["See e.g. the table.", "It says so!", "Does it?", "4 cases.", '"Yes." done. no split here']
 
 
+def test_blocks_of_a_document_are_chunked_apart(spark):
+    """Any blocks give what reading the pages one after the other gives, over headings of all kinds, pages without any, gaps and
+    several documents; outlines may be put together in any order of steps."""
+    rng = random.Random(5)
+    lines = ["# Top", "## Under", "### Deeper", "1 First", "1.2 Second part", "1.2.3 Third", "2.1 Other", "Annex Tables", "plain words here.", "", "more words, and more."]
+    texts = {(d, p): "\n".join(rng.choices(lines, k=rng.randrange(6))) for d in "abc" for p in range(1, 40) if rng.random() < 0.9}
+    want = set()
+    for d in "abc":
+        stack = []
+        for (k, p), text in sorted(texts.items()):
+            if k == d and text.strip():
+                want |= {(d, p, i, tuple(path), chunk) for i, (path, chunk) in enumerate(chunks.page_chunks(text, stack, 80, 20))}
+    assert len({w[3] for w in want}) > 15
+    pages_ = spark.createDataFrame([(d, p, "extracted" if t.strip() else "blank", t) for (d, p), t in texts.items()] + [("a", 50, "extracted", None)], "source_id string, page int, status string, text string")
+    for block in (1, 4, 1000):
+        got = chunks.chunk_pages(pages_.repartition(5), "source_id", 80, 20, block).collect()
+        assert {(r.source_id, r.page, r.ordinal, tuple(r.section_path), r.text) for r in got} == want and len(got) == len(want)
+    assert chunks.chunk_pages(pages_.limit(0), "source_id").count() == 0
+    outlines = [chunks.outline(t) for t in texts.values()]
+    for x, y, z in zip(outlines, outlines[1:], outlines[2:], strict=False):
+        assert chunks.then(chunks.then(x, y), z) == chunks.then(x, chunks.then(y, z))
+
+
 def test_chunks_hold_all_of_a_text(spark):
     """Without overlap, a page's chunks in order are its words in order."""
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("doc_id < 60")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.jobs import index
-from evidra.operators import endpoints, phrases, search
+from evidra.operators import endpoints, phrases, records, search
 from evidra.sources.generations import Generations
 from evidra.sources.tables import written
 
@@ -22,6 +22,14 @@ class Refused(ValueError):
         self.code = code
 
 
+def among(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """rows whose column has one of these values: a filter that the scan knows, or for long lists a semi-join."""
+    if len(values) <= 100:
+        return rows.where(F.col(column).isin(*values)) if values else rows.where(F.lit(False))
+    asked = rows.sparkSession.sql("SELECT explode(:v) AS v", args={"v": F.array(*map(F.lit, values))})
+    return rows.join(asked.select(F.col("v").alias(column)).distinct(), column, "left_semi").select(*rows.columns)
+
+
 class Catalog:
     """The tables of the generation that was current when this was made; reload() follows a newer one."""
 
@@ -45,6 +53,45 @@ class Catalog:
         d = self.documents if version is None else self.documents.where(F.col("version") == version)
         return d.orderBy("version", F.desc("precedence"), "source_id")
 
+    def of_sources(self, name: str, source_ids: list[str]) -> DataFrame:
+        """A table's rows of these sources; only the files of their buckets are opened."""
+        rows = self.store.read(name, self.number, self.store.buckets_of(source_ids))
+        return among(rows, "source_id", source_ids)
+
+    def get_documents(self, source_ids: list[str]) -> DataFrame:
+        return self.of_sources("documents", source_ids).orderBy("source_id")
+
+    def page_chunks(self, source_id: str, page: int) -> DataFrame:
+        return self.of_sources("chunks", [source_id]).where(F.col("page") == page).orderBy("ordinal")
+
+    def source_operations(self, source_id: str, path: str, method: str | None = None) -> DataFrame:
+        rows = self.of_sources("operations", [source_id]).where(F.col("path") == path)
+        return (rows if method is None else rows.where(F.col("method") == method)).orderBy("method")
+
+    def source_schemas(self, source_id: str, names: list[str]) -> DataFrame:
+        return among(self.of_sources("schemas", [source_id]), "name", names).orderBy("name")
+
+    def find_schemas(self, version: str, names: list[str]) -> DataFrame:
+        """All definitions of these names in a version: by name, the most binding source first."""
+        rows = among(self.schemas.where(F.col("version") == version), "name", names)
+        ranks = self.documents.select("source_id", "precedence")
+        return rows.join(ranks, "source_id").orderBy("name", F.desc("precedence"), "source_id").select(*rows.columns, "precedence")
+
+    def get_requirements(self, version: str | None = None, ids: list[str] | None = None) -> DataFrame:
+        rows = self.requirements if version is None else self.requirements.where(F.col("version") == version)
+        return (rows if ids is None else among(rows, "id", ids)).orderBy("id")
+
+    def cited_texts(self, cited: DataFrame, most: int = records.EXCERPT) -> DataFrame:
+        """cited(source_id, locator, …) with text, what each says; all in one pass."""
+        about = F.to_json(F.struct("title", "version", "kind", "authority", "pages", "sha256"))
+        return records.cited_texts(cited, self.pages, self.chunks, self.operations, self.schemas, self.documents.select("source_id", about.alias("metadata")), most)
+
+    def meta(self) -> DataFrame:
+        """One row: schema_version, generation, indexed_at and the hash of the requirements' file, if it is known."""
+        known = self.requirements is not None and "mapping" in self.requirements.columns
+        sha = self.requirements.agg(F.max("mapping.file_sha256")).first()[0] if known else None
+        return self.store.read("meta", self.number).withColumn("requirements_file_sha256", F.lit(sha).cast("string"))
+
     def search(self, query: str, version: str | None = None, source_id: str | None = None, limit: int = 10, kind: str | None = None) -> DataFrame:
         """Best chunks, operations and schemas for a question: words and quoted phrases over titles, sections and contents,
         identifiers as they are. Equal texts, pages and schemas stand behind the first of them. Statistics are those of all
@@ -78,7 +125,7 @@ class Catalog:
         p = self.spark.range(1).select(T.locator(F.lit(locator)).alias("l")).select("l.*").first()
         if p.error:
             raise Refused("invalid_locator", locator)
-        d = self.documents.where(F.col("source_id") == source_id)
+        d = self.of_sources("documents", [source_id])
         row = d.first()
         if row is None:
             raise Refused("not_found", source_id)
@@ -86,19 +133,19 @@ class Catalog:
             return d
         if row.status in ("missing", "failed"):
             raise Refused("not_found", f"{source_id} is {row.status}")
-        mine = lambda t: t.where(F.col("source_id") == source_id)
+        mine = lambda name: self.of_sources(name, [source_id])
         if p.kind in ("page", "pages"):
             if p.first > row.pages:
                 raise Refused("not_found", f"{source_id} has {row.pages} pages")
-            return mine(self.pages).where(F.col("page").between(p.first, min(p.last, p.first + MAX_PAGES - 1))).orderBy("page")
+            return mine("pages").where(F.col("page").between(p.first, min(p.last, p.first + MAX_PAGES - 1))).orderBy("page")
         if p.kind == "section":
             s, v = F.col("section"), p.value
-            return mine(self.chunks).where((s == v) | (s.startswith(v) & F.substring(s, len(v) + 1, 1).isin(".", " ", "/"))).orderBy("page", "ordinal")
+            return mine("chunks").where((s == v) | (s.startswith(v) & F.substring(s, len(v) + 1, 1).isin(".", " ", "/"))).orderBy("page", "ordinal")
         if p.kind == "chunk":
-            return mine(self.chunks).where(F.col("chunk_id") == p.value)
+            return mine("chunks").where(F.col("chunk_id") == p.value)
         if row.kind == "openapi" and p.kind in ("operation", "path", "schema"):
-            o = mine(self.operations).where((F.col("path") == p.value) & (F.lit(p.method is None) | (F.col("method") == p.method)))
-            found = mine(self.schemas).where(F.col("name") == p.value) if p.kind == "schema" else o
+            o = mine("operations").where((F.col("path") == p.value) & (F.lit(p.method is None) | (F.col("method") == p.method)))
+            found = mine("schemas").where(F.col("name") == p.value) if p.kind == "schema" else o
             if found.isEmpty():
                 raise Refused("not_found", locator)
             return found

@@ -77,13 +77,17 @@ def conflict_pairs(requirements: DataFrame) -> DataFrame:
     return both.join(requirements.select(F.col("id").alias("requirement_id")), "requirement_id", "left_semi").join(known, "other_id", "left").select("requirement_id", "other_id", F.when(F.col("known"), "declared").otherwise("dangling_reference").alias("kind"))
 
 
+def beginnings(section: Column) -> Column:
+    """What a section can be named by: its beginnings that end before a point, a space or a slash, and itself."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(section)), lambda i: (i == F.length(section)) | F.substr(section, i + 1, F.lit(1)).isin(".", " ", "/"))
+    return F.transform(ends, lambda i: F.substr(section, F.lit(1), i))
+
+
 def locator_keys(chunks: DataFrame, operations: DataFrame, schemas: DataFrame) -> DataFrame:
     """(source_id, kind, key, sha256): all that section, chunk, operation, path and schema locators can name; a section under
     each of its beginnings that end before a point, a space or a slash."""
-    s = F.col("section")
-    ends = F.filter(F.sequence(F.lit(1), F.length(s)), lambda i: (i == F.length(s)) | F.substr(s, i + 1, F.lit(1)).isin(".", " ", "/"))
     none = F.lit(None).cast("string").alias("sha256")
-    sections = chunks.where("section is not null and section <> ''").select("source_id", F.lit("section").alias("kind"), F.explode(F.transform(ends, lambda i: F.substr(s, F.lit(1), i))).alias("key"), none)
+    sections = chunks.where("section is not null and section <> ''").select("source_id", F.lit("section").alias("kind"), F.explode(beginnings(F.col("section"))).alias("key"), none)
     named = chunks.select("source_id", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     ops = operations.select("source_id", F.lit("operation").alias("kind"), F.concat_ws(" ", "method", "path").alias("key"), "sha256")
     paths = operations.select("source_id", F.lit("path").alias("kind"), F.col("path").alias("key"), none)

@@ -17,6 +17,8 @@ SCHEMA_VERSION = 2
 KEPT = 2
 #: Buckets of sources; a store keeps the number that it was made with.
 BUCKETS = 64
+#: Columns by which the rows of a bucket are sorted, so that readers skip row groups by their bounds.
+CLUSTERED = {"pages": ["source_id", "page"], "chunks": ["source_id", "page", "ordinal"], "operations": ["version", "path", "method"], "schemas": ["version", "name"], "records": ["record_id"], "terms": ["term"], "places": ["term"]}
 
 
 def bucket(source_id: Column, buckets: int) -> Column:
@@ -54,6 +56,10 @@ class Generations:
             raise ValueError("CURRENT names no generation")
         return int(text[0])
 
+    def buckets_of(self, source_ids: list[str]) -> list[int]:
+        ids = self.spark.sql("SELECT explode(:ids) AS id", args={"ids": F.array(*map(F.lit, source_ids))}) if source_ids else None
+        return [] if ids is None else [r[0] for r in ids.select(bucket(F.col("id"), self.buckets)).distinct().collect()]
+
     def read(self, name: str, number: int | None = None, only: list[int] | None = None) -> DataFrame | None:
         """A table of a generation (the current one), or None where there is none yet; only: the rows of these buckets."""
         number = self.current() if number is None else number
@@ -81,12 +87,13 @@ class Generations:
         layout = {"buckets": self.buckets, "parts": {}}
         for name, df in (parts or {}).items():
             rows = df.withColumn("bucket", bucket(F.col("source_id"), self.buckets))
-            rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{staging.toString()}/{name}")
+            order = [c for c in CLUSTERED.get(name, []) if c in df.columns]
+            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{staging.toString()}/{name}")
             places = {b: g for b, g in before.get(name, {"places": {}})["places"].items() if int(b) not in touched}
             written = [s.getPath().getName() for s in self.fs.listStatus(self._path("staging", str(number), name))]
             places |= {d.removeprefix("bucket="): number for d in written if d.startswith("bucket=")}
             layout["parts"][name] = {"schema": df.schema.jsonValue(), "places": places}
-        meta = self.spark.createDataFrame([(SCHEMA_VERSION, number)], "schema_version int, generation long").coalesce(1)
+        meta = self.spark.createDataFrame([(SCHEMA_VERSION, number)], "schema_version int, generation long").withColumn("indexed_at", F.current_timestamp()).coalesce(1)
         meta.write.parquet(f"{staging.toString()}/meta")
         self._put(self._path("staging", str(number), "layout"), json.dumps(layout))
         self.fs.mkdirs(self._path("generations"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 KINDS = ("pdf", "openapi", "text")
 AUTHORITIES = ("normative", "technical", "informative", "project", "test", "unknown")
 SOURCES = "source_id string, kind string, version string, authority string, precedence int, path string, title string, blank_pages array<int>"
-REQUIREMENTS = "id string, version string, title string, description string, sources array<struct<source_id:string,locator:string,sha256:string,note:string>>, endpoints array<string>, schemas array<string>, acceptance_criteria array<string>, conflicts_with array<string>, tags array<string>"
+REQUIREMENTS = "id string, version string, title string, description string, sources array<struct<source_id:string,locator:string,sha256:string,note:string>>, endpoints array<string>, schemas array<string>, acceptance_criteria array<string>, conflicts_with array<string>, tags array<string>, conflict_notes array<string>"
 
 
 class Invalid(ValueError):
@@ -99,7 +99,7 @@ def requirements(spark: SparkSession, raw: str) -> DataFrame:
             _check(s.get("sha256") is None or bool(re.fullmatch("[0-9a-fA-F]{12,64}", s["sha256"])), "requirements", f"pin of {i}")
         others = [c["requirement_id"] for c in r.get("conflicts_with") or []]
         _check(i not in others, "requirements", f"{i} conflicts with itself")
-        rows.append((i, str(r.get("version")), r["title"], r.get("description"), [(s["source_id"], s["locator"], s.get("sha256"), s.get("note")) for s in cited], r.get("endpoints") or [], r.get("schemas") or [], r.get("acceptance_criteria") or [], others, r.get("tags") or []))
+        rows.append((i, str(r.get("version")), r["title"], r.get("description"), [(s["source_id"], s["locator"], s.get("sha256"), s.get("note")) for s in cited], r.get("endpoints") or [], r.get("schemas") or [], r.get("acceptance_criteria") or [], others, r.get("tags") or [], [c.get("note") for c in r.get("conflicts_with") or []]))
     return spark.createDataFrame(rows, REQUIREMENTS)
 
 

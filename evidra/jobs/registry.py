@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
-from evidra.jobs import contract_queries, version_queries
+from evidra.jobs import contract_queries, record_queries, version_queries
 from evidra.operators import chunks, evidence, graph, pages, phrases, search
 from evidra.sources.tables import spread, table, written
 
-QUERIES: dict = contract_queries.QUERIES | version_queries.QUERIES
-ORACLE_SQL: dict[str, str] = contract_queries.ORACLE_SQL | version_queries.ORACLE_SQL
+QUERIES: dict = contract_queries.QUERIES | version_queries.QUERIES | record_queries.QUERIES
+ORACLE_SQL: dict[str, str] = contract_queries.ORACLE_SQL | version_queries.ORACLE_SQL | record_queries.ORACLE_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

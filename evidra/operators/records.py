@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.operators import endpoints
+from evidra.sources.tables import written
 
 #: Bytes of a cited text that are told, and pages of one locator.
 EXCERPT, MAX_PAGES = 1200, 50
+#: Parts that the pieces of one locator are cut down in.
+PARTS = 1024
 #: Control characters whose escapes have letters, which a record writes in lower case.
 _LETTERED = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
 
@@ -37,22 +40,22 @@ def records(requirements: DataFrame, file: str, file_sha256: str) -> DataFrame:
 
 def cited_texts(cited: DataFrame, pages: DataFrame, chunks: DataFrame, operations: DataFrame, schemas: DataFrame, documents: DataFrame | None = None, most: int = EXCERPT) -> DataFrame:
     """cited(source_id, locator, …) with text, what each locator says, at most `most` bytes and a mark where more follows; null
-    where nothing is found.
+    where nothing is found. Null texts of pages and chunks are empty.
 
     Pages (MAX_PAGES of a locator at most) and chunks of a section stand in order, a line each; an operation is its method, path
     and summary; a schema its JSON; a document, where documents(source_id, metadata) are given, its metadata. Each locator is
     looked up once, however often it is cited, by typed joins; no more of a text moves than is told."""
-    at = cited.select("source_id", "locator").distinct().withColumn("l", T.locator(F.col("locator")))
-    kind, key = F.col("l.kind"), F.col("l.value").alias("key")
+    at = written(cited.select("source_id", "locator").distinct().select("source_id", "locator", T.locator(F.col("locator")).alias("l"))).select("source_id", "locator", "l.*")
+    kind, key = F.col("kind"), F.col("value").alias("key")
     named = lambda k, *columns: at.where(kind == k).select("source_id", "locator", *(columns or (key,)))
-    piece = lambda rows, text, *order: rows.select("source_id", "locator", F.array(*[F.coalesce(F.lpad(o.cast("string"), 20, "0") if n else o, F.lit("")) for o, n in order]).alias("place"), F.left(text, F.lit(most + 1)).alias("piece"))
+    piece = lambda rows, text, *order: rows.select("source_id", "locator", F.array(*[F.coalesce(F.lpad(o.cast("string"), 20, "0") if n else o, F.lit("")) for o, n in order]).alias("place"), F.left(F.coalesce(text, F.lit("")), F.lit(most + 1)).alias("piece"))
     c, number = F.col, lambda name: (F.col(name), True)
-    last = F.least("l.last", c("l.first") + (MAX_PAGES - 1))
-    asked_pages = at.where(kind.isin("page", "pages")).select("source_id", "locator", F.explode(F.sequence("l.first", last)).alias("page"))
+    last = F.least("last", c("first") + (MAX_PAGES - 1))
+    asked_pages = at.where(kind.isin("page", "pages")).select("source_id", "locator", F.explode(F.sequence("first", last)).alias("page"))
     chunks, operations, schemas = chunks.select("source_id", "chunk_id", "section", "page", "ordinal", "text"), operations.select("source_id", "method", "path", "summary"), schemas.select("source_id", "name", "schema")
     sections = chunks.where("section is not null and section <> ''").withColumn("key", F.explode(endpoints.beginnings(c("section"))))
     spoken = F.concat_ws(" ", "method", "path", F.coalesce("summary", F.lit("")))
-    by_path = named("path", c("l.value").alias("path")).unionByName(named("operation", c("l.value").alias("path"), c("l.method").alias("wanted")), allowMissingColumns=True)
+    by_path = named("path", c("value").alias("path")).unionByName(named("operation", c("value").alias("path"), c("method").alias("wanted")), allowMissingColumns=True)
     parts = [
         piece(asked_pages.join(pages.select("source_id", c("page").cast("long").alias("page"), "text"), ["source_id", "page"]), c("text"), number("page")),
         piece(named("section").join(sections, ["source_id", "key"]), c("text"), number("page"), number("ordinal")),
@@ -63,8 +66,11 @@ def cited_texts(cited: DataFrame, pages: DataFrame, chunks: DataFrame, operation
     if documents is not None:
         parts.append(piece(named("document", F.lit("")).join(documents, "source_id"), c("metadata"), (F.lit(""), False)))
     all_ = reduce(DataFrame.unionByName, parts)
-    turn = W.partitionBy("source_id", "locator").orderBy("place", "piece")
-    before = F.coalesce(F.sum(F.octet_length("piece") + 1).over(turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    told = all_.withColumn("before", before).where(c("before") <= most).groupBy("source_id", "locator")
+    # no piece is told that has more than `most` bytes before it: first so in parts, as one section may hold very many chunks, then in all
+    all_ = all_.withColumn("part", F.pmod(F.xxhash64("place", "piece"), F.lit(PARTS)))
+    for by in (["source_id", "locator", "part"], ["source_id", "locator"]):
+        turn = W.partitionBy(*by).orderBy("place", "piece").rowsBetween(W.unboundedPreceding, -1)
+        all_ = all_.withColumn("before", F.sum(F.octet_length("piece") + 1).over(turn)).where(F.coalesce("before", F.lit(0)) <= most + 1)
+    told = all_.groupBy("source_id", "locator")
     told = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "\n").alias("text"))
     return cited.join(told.select("source_id", "locator", T.excerpt(c("text"), most).alias("text")), ["source_id", "locator"], "left").select(*cited.columns, "text")

@@ -90,7 +90,18 @@ def test_texts_of_citations(spark, catalog):
     above = "1.1 Limits\n\nThe limit is kept for a day.\n1.1.1 Days\n\nA day ends at midnight, as said.\n"  # and what page 3 goes on with
     assert got["guide", "section:1.1"] == above + "ü" * ((1200 - len(above)) // 2) + "…"
     assert got["guide", "section:1.1 Limits"] == "1.1 Limits\n\nThe limit is kept for a day." and got["guide", f"chunk:{chunk}"] == "1 Cards\n\nOne card has one limit."
-    assert got["guide", "page:3"] == "ü" * 600 + "…"
+    assert got["guide", "page:3"] == "ü" * 600 + "…"  # cut at a character's end
     assert got["api", "op:GET /cards"] == "GET /cards Read cards" and got["api", "path:/cards"] == "GET /cards Read cards\nPOST /cards Make a card" and json.loads(got["api", "schema:Card"]) == {"type": "object"}
     assert json.loads(got["guide", "document"])["version"] == "v1"
     assert all(got[k] is None for k in (("guide", "page:9"), ("guide", "section:1.2"), ("guide", "nonsense"), ("api", "schema:None"), ("api", "op:PUT /cards"), ("nowhere", "page:1")))
+
+
+def test_bounds_of_a_cited_text(spark):
+    """A text that ends where the bound is has a mark if more follows; pieces of one place stand by their text; nulls are empty."""
+    pages = spark.createDataFrame([("a", 1, "x" * 10), ("a", 2, "y"), ("b", 1, "x" * 10), ("b", 2, None), ("c", 1, "two"), ("c", 1, "one"), ("d", 1, None)], "source_id string, page int, text string")
+    chunks = spark.createDataFrame([("s", f"c{n}", "1.2", n, 0, f"{n % 10}") for n in range(500)], "source_id string, chunk_id string, section string, page int, ordinal int, text string")
+    none = lambda columns: spark.createDataFrame([], columns)
+    ask = lambda *rows: records.cited_texts(spark.createDataFrame(rows, "source_id string, locator string"), pages, chunks, none("source_id string, method string, path string, summary string"), none("source_id string, name string, schema string"), most=10)
+    got = {(r["source_id"], r["locator"]): r["text"] for r in ask(("a", "pages:1-2"), ("a", "page:1"), ("b", "pages:1-2"), ("c", "page:1"), ("d", "page:1"), ("s", "section:1"), ("s", "section:1.2"), (None, "page:1"), ("a", None)).collect()}
+    few = "0\n1\n2\n3\n4\n…"
+    assert got == {("a", "pages:1-2"): "x" * 10 + "…", ("a", "page:1"): "x" * 10, ("b", "pages:1-2"): "x" * 10 + "…", ("c", "page:1"): "one\ntwo", ("d", "page:1"): "", ("s", "section:1"): few, ("s", "section:1.2"): few, (None, "page:1"): None, ("a", None): None}

@@ -454,6 +454,17 @@ def test_references_across_sources(spark):
     assert {(r.source_id, r.name, r.depth, r.cross_source, r.unresolved) for r in got.collect()} == {("a", "X", 0, False, False), ("a", "Y", 1, False, False), ("c", "Z", 2, True, False), (None, "Q", 2, False, True)}
 
 
+def test_reference_closure_keeps_a_name_of_each_source_that_is_reached(spark):
+    """X of a leads to its own Y, and by Z, which only c has, to the Y of c; beyond 2,000 definitions nothing is left out."""
+    defs = spark.createDataFrame([("a", "v", "X", 1), ("a", "v", "Y", 1), ("c", "v", "Z", 5), ("c", "v", "Y", 5)], "source_id string, version string, name string, precedence long")
+    refs = spark.createDataFrame([("a", "v", "X", "Y"), ("a", "v", "X", "Z"), ("c", "v", "Z", "Y"), ("c", "v", "Y", "X")], "source_id string, version string, name string, target string")
+    got = graph.reference_closure(defs, refs).where("root_name = 'X'")
+    assert sorted((r.source_id, r.name, r.depth) for r in got.collect()) == [("a", "X", 0), ("a", "Y", 1), ("c", "Y", 2), ("c", "Z", 1)]
+    wide = spark.range(2100).selectExpr("'a' AS source_id", "'v' AS version", "concat('N', id) AS name", "1L AS precedence")
+    to = wide.where("name <> 'N0'").selectExpr("source_id", "version", "'N0' AS name", "name AS target")
+    assert graph.reference_closure(wide, to, wide.where("name = 'N0'")).count() == 2100
+
+
 def test_schema_text(spark):
     """Properties by name, texts of the keys that are searched, items of lists, in the source's order; no JSON, no lines."""
     schema = '{"type":["string","null"],"x-note":"not said","properties":{"b":{"enum":["x","y",1],"title":"B"},"description":{"$ref":"#/a"}},"minimum":"3","allOf":[{"pattern":"p"}]}'

@@ -3,6 +3,9 @@ is cited, in order and each once. One pass answers all who ask; conflicts are to
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +34,25 @@ def first_of_each(rows: DataFrame, by: list[str], same: list[str], order: list[s
     return kept.withColumn("nth", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
-def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, refs: DataFrame, requirements: DataFrame, documents: DataFrame, pages: DataFrame, records: DataFrame, prefixes: dict[str, str] | None = None, keys: DataFrame | None = None, limit: int = EVIDENCE) -> dict[str, DataFrame]:
+class Bundles(Mapping):
+    """Tables by name, each made when it is first asked for: who wants the conflicts alone doesn't pay for a search."""
+
+    def __init__(self, made: dict[str, Callable[[], DataFrame]]):
+        self.made, self.known = made, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.known:
+            self.known[name] = self.made[name]()
+        return self.known[name]
+
+    def __iter__(self):
+        return iter(self.made)
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+
+def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, refs: DataFrame, requirements: DataFrame, documents: DataFrame, pages: DataFrame, records: DataFrame, prefixes: dict[str, str] | None = None, keys: DataFrame | None = None, limit: int = EVIDENCE) -> Mapping[str, DataFrame]:
     """Tables by ask_id for asked(ask_id, version, method, path): endpoints, schemas, requirements, related, conflicts, citations.
 
     operations(source_id, version, method, path, operation_id, summary, tags, referenced_schemas, locator, sha256);
@@ -47,11 +68,6 @@ def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, ref
     found = asks.withColumnRenamed("path", "asked_path").join(hit, "ask_id", "left").join(own, ["source_id", "version", "method", "path"], "left").withColumn("found", F.col("source_id").isNotNull())
     found = written(found)
 
-    # schemas that the operation refers to, in order
-    start = found.where("found").select(F.col("ask_id").alias("root"), "version", "source_id", F.posexplode("referenced_schemas").alias("position", "name"))
-    schemas = graph.ordered_closure(start, definitions, refs).withColumnRenamed("root", "ask_id")
-    schemas = written(schemas.join(definitions.groupBy("source_id", "version", "name").agg(F.max("sha256").alias("sha256")), ["source_id", "version", "name"], "left"))
-
     # requirements that mean the endpoint
     needs = requirements.withColumn("locators", F.transform("sources", lambda s: s["locator"]))
     linked = endpoints.requirement_links(needs.select("id", "version", "endpoints", "locators"), ops, prefixes)
@@ -80,14 +96,22 @@ def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, ref
     conflicts = by_need.unionByName(twice).unionByName(undefined).distinct()
     conflicts = conflicts.withColumn("nth", F.row_number().over(W.partitionBy("ask_id").orderBy("kind", "description")))
 
-    # texts that are related: one search for all
-    asking = found.select("ask_id", c("version").alias("of"), search.related_terms(question(found)).alias("terms"))
-    scores = search.scored(records.select("record_id", "content"), "record_id", "content", asking, "ask_id", "terms")
-    near = scores.join(asking.select("ask_id", "of"), "ask_id").join(records.drop("content"), "record_id").where(c("of") == c("version"))
-    near = written(search.top(near, "ask_id", "record_id", max(3 * limit, limit + 10)).select(c("ask_id").alias("q"), "rank", c("record_id").alias("key_id"), "version", "sha256", "source_id", "page", "locator", F.lit("chunk").alias("record_type"), "score"))
-    kept = search.collapse_hits(near.drop("score"), limit).where("kept_by = rank").select("q", "rank")
-    related = near.join(kept, ["q", "rank"]).withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("rank"))).select(c("q").alias("ask_id"), "rank", c("key_id").alias("record_id"), "source_id", "locator", "sha256", "score")
-    related = written(related)
+    @cache
+    def schemas() -> DataFrame:
+        """Schemas that the operation refers to, in order."""
+        start = found.where("found").select(F.col("ask_id").alias("root"), "version", "source_id", F.posexplode("referenced_schemas").alias("position", "name"))
+        reached = graph.ordered_closure(start, definitions, refs).withColumnRenamed("root", "ask_id")
+        return written(reached.join(definitions.groupBy("source_id", "version", "name").agg(F.max("sha256").alias("sha256")), ["source_id", "version", "name"], "left"))
+
+    @cache
+    def related() -> DataFrame:
+        """Texts that are related: one search for all."""
+        asking = found.select("ask_id", c("version").alias("of"), search.related_terms(question(found)).alias("terms"))
+        scores = search.scored(records.select("record_id", "content"), "record_id", "content", asking, "ask_id", "terms")
+        near = scores.join(asking.select("ask_id", "of"), "ask_id").join(records.drop("content"), "record_id").where(c("of") == c("version"))
+        near = written(search.top(near, "ask_id", "record_id", max(3 * limit, limit + 10)).select(c("ask_id").alias("q"), "rank", c("record_id").alias("key_id"), "version", "sha256", "source_id", "page", "locator", F.lit("chunk").alias("record_type"), "score"))
+        kept = search.collapse_hits(near.drop("score"), limit).where("kept_by = rank").select("q", "rank")
+        return written(near.join(kept, ["q", "rank"]).withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("rank"))).select(c("q").alias("ask_id"), "rank", c("key_id").alias("record_id"), "source_id", "locator", "sha256", "score"))
 
     told = links.select("ask_id").distinct().withColumn("curated", F.lit(True))
     out = found.join(told, "ask_id", "left").select("ask_id", "version", "method", "asked_path", "found", "source_id", "path", "matched_by", "ambiguous", "others", F.when(~c("found") & c("curated").isNull(), "not_found").alias("error"))
@@ -95,10 +119,16 @@ def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, ref
     role = lambda r: (F.lit(r).alias("role"), F.lit(_ROLES.index(r)).alias("turn"))
     first = lambda *order: F.to_json(F.array(*order)).alias("place")
     pad = lambda n: F.lpad(n.cast("string"), 10, "0")
-    rows = found.where("found").select("ask_id", *role(_ROLES[0]), first(F.lit("")), "source_id", "locator", "sha256")
-    rows = rows.unionByName(schemas.where("not unresolved").select("ask_id", *role(_ROLES[1]), first(c("name")), "source_id", F.concat(F.lit("schema:"), "name").alias("locator"), "sha256"))
-    rows = rows.unionByName(links.select("ask_id", "requirement_id").join(status, "requirement_id").select("ask_id", *role(_ROLES[2]), first(c("requirement_id"), pad(c("at"))), "source_id", "locator", "sha256"))
-    rows = rows.unionByName(related.select("ask_id", *role(_ROLES[3]), first(pad(c("rank"))), "source_id", "locator", "sha256"))
-    citations = first_of_each(rows.join(known, "ask_id", "left_semi"), ["ask_id"], ["role", "source_id", "locator", "sha256"], ["turn", "place"]).drop("turn", "place")
+
+    def citations() -> DataFrame:
+        rows = found.where("found").select("ask_id", *role(_ROLES[0]), first(F.lit("")), "source_id", "locator", "sha256")
+        rows = rows.unionByName(schemas().where("not unresolved").select("ask_id", *role(_ROLES[1]), first(c("name")), "source_id", F.concat(F.lit("schema:"), "name").alias("locator"), "sha256"))
+        rows = rows.unionByName(links.select("ask_id", "requirement_id").join(status, "requirement_id").select("ask_id", *role(_ROLES[2]), first(c("requirement_id"), pad(c("at"))), "source_id", "locator", "sha256"))
+        rows = rows.unionByName(related().select("ask_id", *role(_ROLES[3]), first(pad(c("rank"))), "source_id", "locator", "sha256"))
+        return first_of_each(rows.join(known, "ask_id", "left_semi"), ["ask_id"], ["role", "source_id", "locator", "sha256"], ["turn", "place"]).drop("turn", "place")
+
     sources = status.select("requirement_id", "at", "source_id", "locator", "pin", "status", "sha256")
-    return {"endpoints": out, "schemas": schemas, "requirements": links, "sources": sources, "related": related.join(known, "ask_id", "left_semi"), "conflicts": conflicts.join(known, "ask_id", "left_semi"), "citations": citations}
+    conflicts = conflicts.join(known, "ask_id", "left_semi")
+    return Bundles({
+        "endpoints": lambda: out, "schemas": schemas, "requirements": lambda: links, "sources": lambda: sources,
+        "related": lambda: related().join(known, "ask_id", "left_semi"), "conflicts": lambda: conflicts, "citations": citations})

@@ -40,6 +40,16 @@ def test_a_bundle(spark, corpus):
     assert (1, "precedence_tie", "R1: api, guide of v share precedence 90 but are normative and technical") in said and (2, "dangling_reference", "requirements name DELETE /cards/{x}, which no operation of v defines") in said
 
 
+def test_conflicts_alone_need_no_search(spark, corpus, monkeypatch):
+    def searched(*_, **__):
+        raise AssertionError("a search for the conflicts alone")
+
+    for name in ("scored", "best"):
+        monkeypatch.setattr(evidence.search, name, searched, raising=False)
+    asked = spark.createDataFrame([(1, "v", "GET", "/cards/{cardId}")], "ask_id long, version string, method string, path string")
+    assert {r["kind"] for r in evidence.bundles(asked, *corpus)["conflicts"].collect()} == {"declared", "dangling_reference", "precedence_tie"}
+
+
 def test_nothing_asked(spark, corpus):
     asked = spark.createDataFrame([], "ask_id long, version string, method string, path string")
     assert all(df.collect() == [] for n, df in evidence.bundles(asked, *corpus).items() if n != "sources")

@@ -107,9 +107,9 @@ def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, ref
     def related() -> DataFrame:
         """Texts that are related: one search for all."""
         asking = found.select("ask_id", c("version").alias("of"), search.related_terms(question(found)).alias("terms"))
-        scores = search.scored(records.select("record_id", "content"), "record_id", "content", asking, "ask_id", "terms")
-        near = scores.join(asking.select("ask_id", "of"), "ask_id").join(records.drop("content"), "record_id").where(c("of") == c("version"))
-        near = written(search.top(near, "ask_id", "record_id", max(3 * limit, limit + 10)).select(c("ask_id").alias("q"), "rank", c("record_id").alias("key_id"), "version", "sha256", "source_id", "page", "locator", F.lit("chunk").alias("record_type"), "score"))
+        near = search.best(records.select("record_id", c("version").alias("of"), "content"), "record_id", "content", asking, "ask_id", "terms", max(3 * limit, limit + 10), "of")
+        near = near.join(records.drop("content"), "record_id")
+        near = written(near.select(c("ask_id").alias("q"), "rank", c("record_id").alias("key_id"), "version", "sha256", "source_id", "page", "locator", F.lit("chunk").alias("record_type"), "score"))
         kept = search.collapse_hits(near.drop("score"), limit).where("kept_by = rank").select("q", "rank")
         return written(near.join(kept, ["q", "rank"]).withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("rank"))).select(c("q").alias("ask_id"), "rank", c("key_id").alias("record_id"), "source_id", "locator", "sha256", "score"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.operators.search import idf, quantised, term_weight
+from evidra.operators.search import PAIRS, idf, quantised, term_weight
 from evidra.sources.tables import written
 
 #: Characters of a fragment, at most.
@@ -53,17 +53,24 @@ def phrase_terms(asked: DataFrame, stem: bool = False) -> DataFrame:
 def phrase_matches(where: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     """(q, phrase, key, field, length, tf): how often each of phrases stands in each field, its words in turn.
 
-    Only occurrences of asked words are joined; each tells where its phrase would begin, and a phrase stands where all its
-    words agree. Aggregates are partial, so a frequent word costs its occurrences and no group."""
-    starts = where.join(phrases, "term").where("position >= place")
-    whole = starts.groupBy("q", "phrase", "n", key, "field", "length", (F.col("position") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("here")).where("here = n")
+    A phrase may begin only where its rarest word says so; the other words are looked up at those places alone, so that a
+    frequent word of many phrases costs no more than its occurrences."""
+    often = where.groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    rarest = F.min_by(F.struct("term", "place"), F.struct(F.coalesce("often", F.lit(0)), F.col("place"))).alias("r")
+    anchors = written(phrases.join(often, "term", "left").groupBy("q", "phrase", "n").agg(rarest).select("q", "phrase", "n", "r.*"))
+    starts = where.join(anchors, "term").where("position >= place").select("q", "phrase", "n", key, "field", "length", (F.col("position") - F.col("place")).alias("start"))
+    starts = written(starts)
+    needed = starts.join(phrases.select("q", "phrase", "place", "term"), ["q", "phrase"]).withColumn("position", F.col("start") + F.col("place"))
+    there = where.join(starts.select(key), key, "left_semi").select(key, "field", "position", "term")
+    whole = needed.join(there, [key, "field", "position", "term"]).groupBy("q", "phrase", "n", key, "field", "length", "start").agg(F.count(F.lit(1)).alias("here")).where("here = n")
     return whole.groupBy("q", "phrase", key, "field", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def phrase_scores(where: DataFrame, figures: DataFrame, key: str, phrases: DataFrame, boosts: dict[str, float], exact_lengths: bool = False) -> DataFrame:
     """(q, key, score): BM25 of phrases, whose weight is that of their words together; figures(field, n, mean_length)."""
     asked = written(where.join(phrases.select("term").distinct(), "term", "left_semi"))
-    df = asked.groupBy("field", "term").agg(F.count_distinct(key).alias("df"))
+    parts = max(int(where.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.count() // PAIRS + 1)  # a task makes so many rows distinct
+    df = asked.select("field", "term", key).repartition(parts, key).distinct().groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = phrases.select("q", "phrase", "place", "term").join(df, "term").join(F.broadcast(figures), "field")  # a row a field
     weights = weights.groupBy("q", "phrase", "field", "mean_length").agg(F.sum(idf(F.col("n"), F.col("df"))).alias("weight"))
     boost = F.lit(1.0)

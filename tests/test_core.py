@@ -465,6 +465,15 @@ def test_reference_closure_keeps_a_name_of_each_source_that_is_reached(spark):
     assert graph.reference_closure(wide, to, wide.where("name = 'N0'")).count() == 2100
 
 
+def test_traced_takes_the_first_source_of_all_that_are_reached(spark):
+    """X of b leads to Y of b and, by Z, to Y of a: both are reached, and a comes first."""
+    defs = spark.createDataFrame([("b", "v", "X", 1), ("b", "v", "Y", 1), ("a", "v", "Z", 5), ("a", "v", "Y", 0)], "source_id string, version string, name string, precedence long")
+    refs = spark.createDataFrame([("b", "v", "X", "Y"), ("b", "v", "X", "Z"), ("a", "v", "Z", "Y")], "source_id string, version string, name string, target string")
+    roots = spark.createDataFrame([("R", "v", 0, "X", "explicit", None)], "requirement_id string, version string, seq int, name string, via string, source_id string")
+    got = graph.traced(roots, defs, refs)
+    assert sorted((r["name"], r.via, r.source_id) for r in got.collect()) == [("X", "explicit", "b"), ("Y", "transitive:X", "a"), ("Z", "transitive:X", "a")]
+
+
 def test_schema_text(spark):
     """Properties by name, texts of the keys that are searched, items of lists, in the source's order; no JSON, no lines."""
     schema = '{"type":["string","null"],"x-note":"not said","properties":{"b":{"enum":["x","y",1],"title":"B"},"description":{"$ref":"#/a"}},"minimum":"3","allOf":[{"pattern":"p"}]}'

@@ -511,3 +511,11 @@ def test_ordered_closure_tells_what_it_leaves_out(spark):
     assert {n for r, n, *_ in names if r == "r"} == {"A", "B", "none", "C"} and {n for r, n, *_ in names if r == "s"} == {"B", "A", "none", "C"}
     assert _closure(spark, defs, refs, asked[2:], 1)[0] == [("t", "E", "a", 1)] and not _closure(spark, defs, refs, asked[2:], 1)[1][0]["truncated"]
     assert _closure(spark, defs, refs, asked[:0])[0] == []
+
+
+def test_ordered_closure_walks_no_further_from_a_root_that_is_cut(spark, monkeypatch):
+    levels, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: levels.append(1) or keep(df) if "place" in df.columns else keep(df))
+    names = [f"B{i:02}" for i in range(30)]
+    names, rows = _closure(spark, [("a", "v", n, 1) for n in ["A", *names, "C"]], [("a", "A", names), *[("a", n, ["C", "A"]) for n in names]], [("r", "v", "a", "A", 0)], 10)
+    assert len(names) == 10 and all(x["truncated"] for x in rows) and len(levels) == 2

@@ -152,11 +152,21 @@ def code_like(t: Column) -> Column:
     return (F.length(t) >= 2) & (F.length(t) <= 200) & t.rlike(r"[\p{L}\p{N}]") & (t.startswith("/") | plain)
 
 
+#: Runs of tokens without capital, -, _, / or letters beyond ASCII: no identifiers, no methods, no paths. Bounded, as Java recurses.
+_PLAIN = rf"(?<![^ \t\n\x0B\f\r])(?:[a-z0-9\"'`()\[\]<>,;:.!?]++{_SPACE}++){{1,64}}+"
+
+
 def identifiers(text: Column) -> Column:
-    """Sorted identifiers of a text, lower-cased, and METHOD /path pairs of neighbouring tokens."""
-    words = F.transform(tokens(text), lambda t: F.regexp_replace(F.regexp_replace(t, f"^{_EDGE}+", ""), f"{_EDGE}+$", ""))
-    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.when(F.upper(a).isin(*METHODS) & (F.upper(a) == a) & b.startswith("/"), F.concat(F.lower(a), F.lit(" "), F.lower(b))))
-    return F.array_sort(F.array_distinct(F.concat(F.transform(F.filter(words, code_like), F.lower), F.filter(pairs, lambda p: p.isNotNull()))))
+    """Sorted identifiers of a text, lower-cased, and METHOD /path pairs of neighbouring tokens.
+
+    Plain words are one token in one pass over the text, so that only what may be an identifier is looked at by itself."""
+    text = F.regexp_replace(text, _PLAIN, ". ")
+    words = tokens(text)
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, f"^{_EDGE}+", ""), f"{_EDGE}+$", "")
+    code = F.filter(F.transform(F.filter(words, lambda t: t.rlike(r"[/_-]|\p{Ll}\p{Lu}")), bare), code_like)
+    pairs = F.zip_with(F.transform(words, bare), F.slice(F.transform(words, bare), 2, 1_000_000_000), lambda a, b: F.when(a.isin(*METHODS) & b.startswith("/"), F.concat(F.lower(a), F.lit(" "), F.lower(b))))
+    pairs = F.when(text.rlike(rf"(?:{'|'.join(METHODS)}){_EDGE}*+{_SPACE}++{_EDGE}*+/"), F.filter(pairs, lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(code, F.lower), pairs)))
 
 
 def query_terms(text: Column) -> Column:

@@ -61,6 +61,15 @@ def test_identifiers(spark):
     assert value(spark, T.identifiers(F.lit(text))) == ["/v2/things/{thing-id}/parts", "get /v2/things/{thing-id}/parts", "sortorder", "x-trace-id"]
 
 
+def test_plain_words_part_identifiers(spark):
+    """However many plain words lie between a method and a path, they are no neighbours; what plain words touch stays whole."""
+    for n in (0, 1, 63, 64, 65, 128, 129):
+        got = value(spark, T.identifiers(F.lit("start GET " + "word, " * n + "(/x) camelCase\u00e9 word-word. end")))
+        assert got == ["/x", "camelcase\u00e9", *["get /x"] * (n == 0), "word-word"]
+    assert value(spark, T.identifiers(F.lit("plain " * 200))) == [] and value(spark, T.identifiers(F.lit(None).cast("string"))) is None
+    assert spark.range(1).select(F.regexp_replace(F.lit("plain words " * 64), T._PLAIN, ". ").alias("x")).first().x == ". . "  # looked at by runs, not one by one
+
+
 def test_many_identifiers_are_all_kept(spark):
     want = [f"key-{i:04}" for i in range(1000)]
     assert value(spark, T.identifiers(F.lit(" ".join(reversed(want))))) == want

@@ -158,9 +158,14 @@ def outline(text: str) -> list:
     return reduce(then, ([h, h] for line in text.split("\n") if (h := heading(line))), [])
 
 
+#: Rows, and characters of texts, that are Python objects at one time: a batch of Arrow may hold 10,000 pages.
+ROWS, CHARS = 64, 1 << 20
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        for i in range(0, b.num_rows, ROWS):
+            yield from zip(*(c.to_pylist() for c in b.slice(i, ROWS).columns), strict=True)
 
 
 def _stack(rows: list[dict] | None) -> list[tuple]:
@@ -211,22 +216,28 @@ def chunk_pages(pages: DataFrame, key: str, most: int = MAX_CHARS, overlap: int
     Blocks of pages are dealt out, each with the headings that are open where it begins, and read page by page: many tasks share
     a long document, and neither it nor a block has to fit into memory. Null texts have no chunks."""
     kind = dict(pages.dtypes)[key]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+    kinds = [to_arrow_type(pages.schema[key].dataType), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
     names = ["page", "ordinal", "chunk_id", "section", "section_path", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, stack = object(), []
-        for b in batches:
-            keys, rows = [], []
-            for k, n, page, text, opened in _rows([b]):
-                if (k, n) != last:
-                    last, stack = (k, n), _stack(opened)
-                if text is None:  # the row that tells what is open
-                    continue
-                for i, (path, chunk) in enumerate(page_chunks(text, stack, most, overlap)):
-                    keys.append(k)
-                    rows.append((page, i, f"{k}:p{page}:c{i}", path[-1] if path else None, path, chunk))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[key, *names])
+        rows, chars = [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[key, *names])
+
+        for k, n, page, text, opened in _rows(batches):
+            if (k, n) != last:
+                last, stack = (k, n), _stack(opened)
+            if text is None:  # the row that tells what is open
+                continue
+            for i, (path, chunk) in enumerate(page_chunks(text, stack, most, overlap)):
+                rows.append((k, page, i, f"{k}:p{page}:c{i}", path[-1] if path else None, path, chunk))
+                chars += len(chunk)
+            if len(rows) >= ROWS or chars >= CHARS:
+                yield packed()
+                rows, chars = [], 0
+        yield packed()
 
     schema = f"{key} {kind}, page long, ordinal long, chunk_id string, section string, section_path array<string>, text string"
     page = F.col("page").cast("long")

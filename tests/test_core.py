@@ -528,3 +528,19 @@ def test_ordered_closure_walks_no_further_from_a_root_that_is_cut(spark, monkeyp
     names = [f"B{i:02}" for i in range(30)]
     names, rows = _closure(spark, [("a", "v", n, 1) for n in ["A", *names, "C"]], [("a", "A", names), *[("a", n, ["C", "A"]) for n in names]], [("r", "v", "a", "A", 0)], 10)
     assert len(names) == 10 and all(x["truncated"] for x in rows) and len(levels) == 2
+
+
+def test_chunks_read_a_batch_in_small_parts():
+    """A batch of Arrow may hold 10,000 pages; few of them are Python objects at one time."""
+    import pyarrow as pa
+
+    real, sizes = pa.RecordBatch.from_pydict({"k": list(range(1000)), "text": ["x"] * 1000}), []
+
+    class Batch:
+        num_rows = 1000
+
+        def slice(self, at, n):
+            sizes.append(n)
+            return real.slice(at, n)
+
+    assert list(chunks._rows([Batch()])) == [(k, "x") for k in range(1000)] and max(sizes) <= chunks.ROWS

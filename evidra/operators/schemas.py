@@ -9,7 +9,7 @@ circles end where they close. Facts only, no verdict."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.operators.endpoints import CONSTRAINTS
-from evidra.sources.tables import written
+from evidra.sources.tables import spread, written
 
 #: References that are followed from one to the next.
 MAX_REFS = 32
@@ -134,18 +134,28 @@ def ends(schemas: DataFrame) -> DataFrame:
 _PAIR = ["old_name", "old", "new_name", "new"]
 
 
+def _told(pairs: Iterable[tuple[str, str, str]]) -> Iterator[tuple]:
+    """(key, pointer, kind, change, before, after) of pairs(key, old, new); neighbours with equal texts are compared once."""
+    last: tuple = ()
+    for key, *texts in pairs:
+        if texts != last:
+            last = texts
+            changes, edges = compared(*map(json.loads, texts))
+            changes += [(at, "edge", "", json.dumps(x), json.dumps(y)) for at, x, y in edges]
+        yield from ((key, *c) for c in changes)
+
+
 def _compare_pairs(pairs: DataFrame) -> DataFrame:
-    """What each of pairs says: its changes, and its edges (kind: edge) with the two parts as before and after."""
+    """What each of pairs says: its changes, and its edges (kind: edge) with the two parts as before and after. Every core takes
+    its share of them, equal ones in a row, as many schemas are written alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, old, new in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                changes, edges = compared(json.loads(old), json.loads(new))
-                rows += [(key, *c) for c in changes] + [(key, at, "edge", "", json.dumps(x), json.dumps(y)) for at, x, y in edges]
+            rows = list(_told(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(6)], names=["pair", "at", "kind", "change", "before", "after"])
 
-    return pairs.select("pair", "old", "new").mapInArrow(run, "pair string, at string, kind string, change string, before string, after string")
+    dealt = spread(pairs.select("pair", "old", "new")).sortWithinPartitions("old", "new")
+    return dealt.mapInArrow(run, "pair string, at string, kind string, change string, before string, after string")
 
 
 def _keyed(pairs: DataFrame) -> DataFrame:

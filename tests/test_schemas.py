@@ -74,3 +74,11 @@ def test_roots_share_pairs_and_may_be_renamed(spark):
 def test_circles_of_references_alone(spark):
     loop = {"A": {"$ref": REF + "B"}, "B": {"$ref": REF + "A"}}
     assert changes(spark, loop, loop) == []
+
+
+def test_equal_texts_are_compared_once(monkeypatch):
+    calls, keep = [], schemas.compared
+    monkeypatch.setattr(schemas, "compared", lambda *a: calls.append(a) or keep(*a))
+    old, new, ref = '{"type":"string"}', '{"type":"integer"}', '{"items":{"$ref":"#/components/schemas/B"}}'
+    rows = list(schemas._told([("p", old, new), ("q", old, new), ("r", ref, ref), ("s", ref, ref), ("t", old, old)]))
+    assert [r[:3] for r in rows] == [("p", "", "type_changed"), ("q", "", "type_changed"), ("r", "/items", "edge"), ("s", "/items", "edge")] and len(calls) == 3

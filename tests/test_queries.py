@@ -41,5 +41,20 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_traced_schemas_of_suppliers_take_the_first_of_several_sources(spark, tmp_path):
+    """P5 is reached in Brand#12, at once, and in Brand#1/shared, by four other parts; the SQL takes the latter."""
+    c = duckdb.connect()
+    parts = "(5, 'Brand#12', 5), (10, 'Brand#12', 1), (17, 'Brand#11', 1), (8, 'Brand#11', 1), (4, 'Brand#11', 1), (11, 'Brand#11', 1)"
+    for name, values in (("part(p_partkey, p_brand, p_size)", parts), ("supplier(s_suppkey)", "(10)")):
+        c.execute(f"CREATE VIEW {name} AS VALUES {values}")
+        table = name.partition("(")[0]
+        c.execute(f"COPY (FROM {table}) TO '{tmp_path}/{table}.parquet'")
+    got = QUERIES["traced_schemas_of_suppliers"](spark, str(tmp_path))
+    c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['traced_schemas_of_suppliers']})")
+    want = c.fetchall()
+    assert (10, "P5", "transitive:P10", "Brand#1/shared", True) in want
+    assert rows(map(tuple, got.collect())) == rows(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

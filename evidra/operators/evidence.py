@@ -98,15 +98,17 @@ def bundles(asked: DataFrame, operations: DataFrame, definitions: DataFrame, ref
 
     @cache
     def schemas() -> DataFrame:
-        """Schemas that the operation refers to, in order."""
-        start = found.where("found").select(F.col("ask_id").alias("root"), "version", "source_id", F.posexplode("referenced_schemas").alias("position", "name"))
-        reached = graph.ordered_closure(start, definitions, refs).withColumnRenamed("root", "ask_id")
-        return written(reached.join(definitions.groupBy("source_id", "version", "name").agg(F.max("sha256").alias("sha256")), ["source_id", "version", "name"], "left"))
+        """Schemas that the operation refers to, in order; operations of a source that refer to the same have one closure."""
+        asks = found.where("found").select("ask_id", F.sha2(F.to_json(F.struct("version", "source_id", "referenced_schemas")), 256).alias("root"), "version", "source_id", "referenced_schemas")
+        start = asks.drop("ask_id").dropDuplicates(["root"]).select("root", "version", "source_id", F.posexplode("referenced_schemas").alias("position", "name"))
+        reached = graph.ordered_closure(start, definitions, refs)
+        reached = written(reached.join(definitions.groupBy("source_id", "version", "name").agg(F.max("sha256").alias("sha256")), ["source_id", "version", "name"], "left"))
+        return reached.join(asks.select("ask_id", "root"), "root").drop("root")
 
     @cache
     def related() -> DataFrame:
         """Texts that are related: one search for all."""
-        asking = found.select("ask_id", c("version").alias("of"), search.related_terms(question(found)).alias("terms"))
+        asking = written(found.select("ask_id", c("version").alias("of"), search.related_terms(question(found)).alias("terms")))
         near = search.best(records.select("record_id", c("version").alias("of"), "content"), "record_id", "content", asking, "ask_id", "terms", max(3 * limit, limit + 10), "of")
         near = near.join(records.drop("content"), "record_id")
         near = written(near.select(c("ask_id").alias("q"), "rank", c("record_id").alias("key_id"), "version", "sha256", "source_id", "page", "locator", F.lit("chunk").alias("record_type"), "score"))

@@ -50,6 +50,14 @@ def test_conflicts_alone_need_no_search(spark, corpus, monkeypatch):
     assert {r["kind"] for r in evidence.bundles(asked, *corpus)["conflicts"].collect()} == {"declared", "dangling_reference", "precedence_tie"}
 
 
+def test_operations_that_refer_to_the_same_have_one_closure(spark, corpus, monkeypatch):
+    roots, closure = [], evidence.graph.ordered_closure
+    monkeypatch.setattr(evidence.graph, "ordered_closure", lambda start, *a: roots.extend(r.root for r in start.select("root").distinct().collect()) or closure(start, *a))
+    asked = spark.createDataFrame([(i, "v", "GET", f"/cards/{{card{i}}}") for i in range(20)], "ask_id long, version string, method string, path string")
+    got = sorted((r["ask_id"], r["depth"], r["name"], r["sha256"]) for r in evidence.bundles(asked, *corpus)["schemas"].collect())
+    assert got == [(i, *x) for i in range(20) for x in ((1, "Card", "ff77"), (1, "Gone", None), (2, "Owner", "ff88"))] and len(roots) == 1
+
+
 def test_nothing_asked(spark, corpus):
     asked = spark.createDataFrame([], "ask_id long, version string, method string, path string")
     assert all(df.collect() == [] for n, df in evidence.bundles(asked, *corpus).items() if n != "sources")
